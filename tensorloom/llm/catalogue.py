@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm import exact_dedup, line_dedup, media, mixing, url_filter
+from tensorloom.llm import config_packing, exact_dedup, line_dedup, media, mixing, simhash, token_output, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.packed_matrices(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op2_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config_packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("row")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -37,6 +49,9 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_output": op1_token_output,
+        "op2_config_packing": op2_config_packing,
+        "op4_simhash": op4_simhash,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_line_dedup": op6_line_dedup,
         "op7_mix_sources": op7_mix_sources,
