@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm import config_packing, exact_dedup, line_dedup, media, mixing, simhash, token_output, url_filter
+from tensorloom.llm import chat, config_packing, exact_dedup, line_dedup, media, mixing, quality, simhash, token_output, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -22,8 +22,12 @@ def op2_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("row")
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +43,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages", "page_id", "url"))
 
@@ -51,10 +59,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
         "op2_config_packing": op2_config_packing,
+        "op3_chat_format": op3_chat_format,
         "op4_simhash": op4_simhash,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_line_dedup": op6_line_dedup,
         "op7_mix_sources": op7_mix_sources,
+        "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
         "op10_media_columns": op10_media_columns,
     }
@@ -62,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_chat_format": chat.SQL,
         "op5_exact_dedup": exact_dedup.SQL,
         "op6_line_dedup": line_dedup.SQL,
         "op9_url_filter": url_filter.SQL,

@@ -88,11 +88,11 @@ def fingerprint(text: str, width: int) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()) if n else 0
 
 
-def _fingerprints(width: int):
+def _fingerprints(width: int, carry: tuple[str, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             marks = [signed(fingerprint(x if isinstance(x, str) else "", width)) for x in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "row": b["row"], "mark": np.array(marks, np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "row": b["row"], **{c: b[c] for c in carry}, "mark": np.array(marks, np.int64)})
 
     return run
 
@@ -170,19 +170,20 @@ def fingerprint_links(marks: DataFrame) -> DataFrame:
         rows = hot.select("mark", F.explode(F.element_at(table, F.col("mask"))).alias("mask"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept, row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept, and the long columns named in carry.
 
     component_id is the smallest id reachable over links of 3 or fewer differing
     bits; equal fingerprints link, those of texts without words (zero) too.
     kept: the one row of each component that stays, that with the smallest id,
     of repeated rows the first read. A null id is never a component's smallest
     unless the component has no other; then component_id is null. Extra columns
-    are not read; no rows give no rows. `row` numbers the rows of this reading.
+    are not read; no rows give no rows.
     """
     ship_code(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    base = stage(base.mapInPandas(_fingerprints(width), "doc_id long, row long, mark long"), "fingerprints")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), *carry)
+    more = "".join(f", {c} long" for c in carry)
+    base = stage(base.mapInPandas(_fingerprints(width, carry), f"doc_id long, row long{more}, mark long"), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("best")
     classes = stage(base.groupBy("mark").agg(best), "fingerprint-classes")
     nodes = classes.select("mark", F.col("best.row").alias("node"))
@@ -195,5 +196,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = owner.select("mark", "root").join(top, "root").select("mark", "top")
     out = base.join(final, "mark")
     return out.select(
-        "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"), "row"
+        "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"), *carry
     )
