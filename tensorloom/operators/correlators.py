@@ -32,13 +32,13 @@ def operator_elementals(terms: DataFrame, phi: Tensor) -> Tensor:
 def vertex(elem: Tensor, gammas: Tensor) -> Tensor:
     """(op, t, j, k, b, c) = sum over an operator's matrices of gamma[j, k] * elemental[b, c]."""
     g = gammas.renamed("gamma", "j", "k")
-    return pair(elem, g, {"op", "t", "j", "k", "b", "c"})
+    return pair(elem, g, {"op", "t", "j", "k", "b", "c"}).ordered("op", "t", "j", "k", "b", "c")
 
 
 def source_vertex(elem: Tensor, source_gammas: Tensor) -> Tensor:
     """The daggered vertex at a source: (op, s, l, i, d, a), elementals conjugated and turned round."""
     g = source_gammas.renamed("gamma", "l", "i")
-    return pair(elem.conj().renamed("op", "gamma", "s", "a", "d"), g, {"op", "s", "l", "i", "d", "a"})
+    return pair(elem.conj().renamed("op", "gamma", "s", "a", "d"), g, {"op", "s", "l", "i", "d", "a"}).ordered("op", "s", "l", "i", "d", "a")
 
 
 def twopoint_terms(tau: Tensor, v: Tensor, w: Tensor) -> list[Tensor]:

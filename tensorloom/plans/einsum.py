@@ -40,6 +40,9 @@ class Tensor:
         columns = [F.col(a).alias(b) for a, b in zip(self.axes, labels, strict=True)]
         return replace(self, frame=self.frame.select(*columns, "re", "im"), axes=labels, sizes=sizes)
 
+    def ordered(self, *axes: str) -> Tensor:
+        return replace(self, frame=self.frame.select(*axes, "re", "im"), axes=axes)
+
     def conj(self) -> Tensor:
         return replace(self, frame=self.frame.withColumn("im", -F.col("im")))
 

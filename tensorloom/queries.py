@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tensorloom import catalog_correlators
+from tensorloom import catalog_correlators, catalog_symbolic
 
-MODULES = [catalog_correlators]
+MODULES = [catalog_correlators, catalog_symbolic]
 
 
 def queries() -> dict:
