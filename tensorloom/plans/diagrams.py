@@ -305,6 +305,77 @@ def evaluate(d: Diagram, propagators: dict[str, Tensor], vertices: dict[str, Ten
     return value
 
 
+def _end(x: int, kind: str) -> list[str]:
+    """Labels of an edge end: a mode, or a point and its colour."""
+    return [f"m{x}"] if kind == "v" else [f"p{x}", f"c{x}"]
+
+
+def point_weights(groups: dict[int, list[str]], volume: int, sampled: int):
+    """The product over sampling groups of the weight of their number of different points, as one column."""
+    from pyspark.sql import functions as F
+
+    total = F.lit(1.0)
+    for labels in groups.values():
+        n = F.size(F.array_distinct(F.array(*[F.col(x) for x in labels])))
+        w = F.lit(0.0)
+        for k in range(1, len(labels) + 1):
+            w = F.when(n == k, F.lit(float(sampling_weight(volume, sampled, k)))).otherwise(w)
+        total = total * w
+    return total
+
+
+def evaluate_currents(
+    d: Diagram, current: list[bool], group_of: list[int], propagators: dict[tuple[str, str], Tensor], vertices: dict[tuple[str, str], Tensor], time_label: dict[int, str], volume: int, sampled: int
+) -> Tensor:
+    """A diagram with current vertices, summed over all choices of mode and point ends.
+
+    propagators by (name, ends sink-source, such as `PV`), vertices by (name,
+    ends left-right, such as `vp`); a point end is two axes, point and colour.
+    Point labels stay until the last sum, where each row is weighted once by how
+    many different points it has in each sampling group.
+    """
+    from pyspark.sql import functions as F
+
+    times = tuple(dict.fromkeys(time_label.values()))
+    total = None
+    for x in expand_currents(d, current):
+        value = None
+        for part in analyse(d):
+            ops, points = [], []
+            for k, e in enumerate(part.edges):
+                left, right = x.states[e.src][0], x.states[e.snk][1]
+                s, t = (time_label[d.vertices[v][0]] for v in (e.src, e.snk))
+                p = propagators[e.prop, (right + left).upper()]
+                labels = [f"s{2 * k + 1}", f"s{2 * k}", *_end(2 * k + 1, right), *_end(2 * k, left)]
+                if s == t:
+                    p = Tensor(p.frame.where("s = t").drop("s"), p.axes[1:], p.sizes)
+                    ops.append(p.renamed(t, *labels))
+                else:
+                    ops.append(p.renamed(s, t, *labels))
+            for v in part.vertices:
+                (l,), (r,) = part.out_ends(v), part.in_ends(v)
+                time, name = d.vertices[v]
+                ops.append(vertices[name, "".join(x.states[v])].renamed(time_label[time], f"s{l}", f"s{r}", *_end(l, x.states[v][0]), *_end(r, x.states[v][1])))
+                points += [(group_of[v], f"p{end}") for end, kind in ((l, x.states[v][0]), (r, x.states[v][1])) if kind == "p"]
+            keep = tuple(a for a in times if any(a in o.axes for o in ops)) + tuple(label for _, label in points)
+            got = contract(ops, keep)
+            names = {label: f"q{part.vertices[0]}_{label}" for _, label in points}
+            got = got.renamed(*[names.get(a, a) for a in got.axes])
+            value = got if value is None else pair(value, got, {*times, *value.axes, *got.axes})
+        groups: dict[int, list[str]] = {}
+        for part in analyse(d):
+            for v in part.vertices:
+                for end, kind in ((part.out_ends(v)[0], x.states[v][0]), (part.in_ends(v)[0], x.states[v][1])):
+                    if kind == "p":
+                        groups.setdefault(group_of[v], []).append(f"q{part.vertices[0]}_p{end}")
+        own = tuple(a for a in times if a in value.axes)
+        weighted = value.scaled(point_weights(groups, volume, sampled)).frame if groups else value.frame
+        frame = weighted.groupBy(*own).agg(F.sum(F.col("re").cast("double")).alias("re"), F.sum(F.col("im").cast("double")).alias("im"))
+        total = frame if total is None else total.unionByName(frame)
+    out = total.groupBy(*own).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return Tensor(out, own, {})
+
+
 def evaluate_sum(e: Expression, propagators: dict[str, Tensor], vertices: dict[str, Tensor], time_label: dict[int, str], axes: tuple[str, ...]):
     """(axes, re, im): the sum, each different diagram planned once and shared by a cache of frames."""
     from pyspark.sql import functions as F

@@ -80,3 +80,45 @@ def test_full_sampling_estimator_is_exact():
     for s in combinations(range(5), 3):
         total += sum(float(sampling_weight(5, 3, len({a, b, c}))) * x[a, b, c] for a in s for b in s for c in s)
     assert abs(total / 10 - x.sum()) < 1e-9
+
+
+def test_current_vertices_sum_over_ends_and_points(spark):
+    """One current and one meson vertex on a loop, random entries, against explicit loops over points."""
+    from itertools import product
+
+    from tensorloom.plans import diagrams as X
+    from tensorloom.plans.einsum import Tensor
+
+    rng = np.random.default_rng(4)
+    def made(kinds, lead):
+        names, shape = [*lead, "x", "y"], [1] * len(lead) + [2, 2]
+        for n, k in enumerate(kinds.lower()):
+            names += [f"m{n}"] if k == "v" else [f"p{n}", f"c{n}"]
+            shape += [2] if k == "v" else [3, 1]
+        x = rng.integers(-3, 4, shape) + 1j * rng.integers(-3, 4, shape)
+        rows = [(*map(int, i), int(x[i].real), int(x[i].imag)) for i in np.ndindex(*shape)]
+        frame = spark.createDataFrame(rows, ", ".join(f"{a} long" for a in [*names, "re", "im"]))
+        return Tensor(frame, tuple(names), dict(zip(names, shape, strict=True))), x
+
+    props, verts = {}, {}
+    for k in ("VV", "VP", "PV", "PP"):
+        props["q", k] = made(k, "st")
+        verts["j", k.lower()] = made(k, "t")
+    verts["m", "vv"] = made("vv", "t")
+    d = X.from_matrix([[0, 1], [1, 0]], [0, 1], ["j", "m"], [None, "q"])
+    for volume, sampled in ((3, 3), (9, 3)):
+        got = X.evaluate_currents(d, [True, False], [0, 0], {k: v[0] for k, v in props.items()}, {k: v[0] for k, v in verts.items()}, {0: "s", 1: "t"}, volume, sampled).frame.collect()[0]
+        want = 0
+        for left, right in product("vp", repeat=2):
+            out = props["q", f"V{left.upper()}"][1][0, 0].reshape(2, 2, 2, -1)
+            back = props["q", f"{right.upper()}V"][1][0, 0].reshape(2, 2, -1, 2)
+            j = verts["j", left + right][1][0].reshape(2, 2, out.shape[3], back.shape[2])
+            m = verts["m", "vv"][1][0]
+            for a, b in product(range(out.shape[3]), range(back.shape[2])):
+                points = {x for x, k in ((a, left), (b, right)) if k == "p"}
+                w = float(X.sampling_weight(volume, sampled, len(points)))
+                want += w * sum(
+                    out[snk, src, n, a] * j[src, snk2, a, b] * back[snk2, src2, b, o] * m[src2, snk, o, n]
+                    for snk, src, n, snk2, src2, o in product(range(2), repeat=6)
+                )
+        assert abs(got.re - want.real) < 1e-6 and abs(got.im - want.imag) < 1e-6
