@@ -45,9 +45,15 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch: whole texts go to Python a few megabytes at a time, however long they are.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers of any cluster."""
+    """Makes this package importable in Python workers of any cluster, and keeps what they get at once small."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
