@@ -1,4 +1,4 @@
-"""Lattice tensors derived from the plain tables.
+"""Site and mode tensors derived from the plain tables.
 
 Every row of the tables counts: entries are sums over all rows that share an
 index, reduced to small integers, so that both engines agree to the last digit.
