@@ -129,8 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ship_code(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("of"), (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") == 1).cast("int").alias("toxic")).dropna().dropDuplicates(["of"])
     known = known.orderBy(F.xxhash64("of"), "of").limit(train_rows)
-    sample = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("text")).join(F.broadcast(known), "of").select("text", "low", "toxic")
-    sample = stage(sample.repartition(16, F.xxhash64("text"), F.length("text")), "labelled")
+    sample = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("text")).join(F.broadcast(known), "of")
+    sample = stage(sample.repartition(16, "of").select("text", "low", "toxic"), "labelled")
     got = sample.agg(F.count(F.lit(1)), F.sum("low"), F.sum("toxic")).first()
     total, low, toxic = (int(x or 0) for x in got)
     if not total or not low + toxic:
