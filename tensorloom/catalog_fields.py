@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+@D.held
 def gauge(spark: SparkSession, sf: str) -> DataFrame:
     """Link matrices (t, x, y, z, mu, a, b) from all orders, as small integers; cells without orders are zero."""
     o = D.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
@@ -219,6 +220,7 @@ def n10(spark, sf):
 SOL = D.LT * D.NX * D.NS * D.NE
 
 
+@D.held
 def solution(spark: SparkSession, sf: str) -> Tensor:
     """S(t, x, i, a): a solved field at vector index x and spin i for source mode a."""
     l = D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")

@@ -8,6 +8,11 @@ the values. Both forms of each table are here, frame and DuckDB text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+from functools import wraps
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +32,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HELD: dict[tuple[str, str, str], Tensor | DataFrame] = {}
+
+
+def held(build: Callable) -> Callable:
+    """A derived tensor is made once for a session and folder, and kept in memory or on local disk until release()."""
+
+    @wraps(build)
+    def get(spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+        if key not in _HELD:
+            made = build(spark, sf_dir)
+            frame = (made.frame if isinstance(made, Tensor) else made).persist(StorageLevel.MEMORY_AND_DISK)
+            _HELD[key] = replace(made, frame=frame) if isinstance(made, Tensor) else frame
+        return _HELD[key]
+
+    return get
+
+
+def release() -> None:
+    """Frees all derived tensors, for example when the tables have changed."""
+    for x in _HELD.values():
+        try:
+            (x.frame if isinstance(x, Tensor) else x).unpersist()
+        except Exception as e:  # noqa: BLE001  the session may have ended
+            if "stopped" not in str(e).lower() and "connection" not in str(e).lower():
+                raise
+    _HELD.clear()
+
+
 def small(total: Column, n: int) -> Column:
     """An integer in [-(n // 2), n // 2] from any integer."""
     return (F.pmod(total, F.lit(n)) - n // 2).cast("long")
@@ -39,6 +73,7 @@ def small_sql(total: str, n: int) -> str:
 # eigenvectors -------------------------------------------------------------------------------
 
 
+@held
 def eigenvectors(spark: SparkSession, sf_dir: str) -> Tensor:
     """V(t, e, x): e-th mode of time slice t at vector index x."""
     base = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -61,6 +96,7 @@ V_SQL = f"""v AS (SELECT vec_id % {LT} AS t, (vec_id // {LT}) % {NE} AS e, x,
 # perambulators ------------------------------------------------------------------------------
 
 
+@held
 def perambulators(spark: SparkSession, sf_dir: str) -> Tensor:
     """tau(s, t, j, i, b, a): from mode a, spin i at time s to mode b, spin j at absolute time t."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
@@ -114,6 +150,7 @@ def shift_columns(x: Column) -> dict[int, Column]:
     return {0: x, 1: at((px + 1) % LX, py, pz), 2: at(px, (py + 1) % LY, pz), 3: at(px, py, (pz + 1) % LZ)}
 
 
+@held
 def elementals(spark: SparkSession, sf_dir: str) -> Tensor:
     """Phi(deriv, mom, t, b, c) = sum_x conj V(t, b, x) e^{2 pi i p x} V(t, c, x + deriv): phases of extents 4 and 2 are powers of i."""
     v = eigenvectors(spark, sf_dir).frame
@@ -202,6 +239,7 @@ def operator_terms(spark: SparkSession, rows=OPERATORS) -> DataFrame:
 # points -------------------------------------------------------------------------------------
 
 
+@held
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, p, x, y, z): NP different sites of each time slice, those whose parts weigh least.
 
