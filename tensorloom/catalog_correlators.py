@@ -420,7 +420,7 @@ W1 = 16 / 12
 
 @query(
     "s6_point_estimator",
-    f"WITH {D.V_SQL},\n{D.POINTS_SQL},\n{OVER}\nSELECT l.t, round(sum(CASE WHEN l.p = r.p THEN {W1} ELSE {W2} END * (l.re * r.re + l.im * r.im)), 4) AS re, round(sum(CASE WHEN l.p = r.p THEN {W1} ELSE {W2} END * (l.re * r.im - l.im * r.re)), 4) AS im FROM ov l JOIN ov r ON l.t = r.t AND l.c = r.c AND l.e = r.e GROUP BY l.t",
+    f"WITH {D.V_SQL},\n{D.POINTS_SQL},\n{OVER}\nSELECT l.t, round(sum(CAST(CASE WHEN l.p = r.p THEN {W1} ELSE {W2} END AS DOUBLE) * (l.re * r.re + l.im * r.im)), 4) AS re, round(sum(CAST(CASE WHEN l.p = r.p THEN {W1} ELSE {W2} END AS DOUBLE) * (l.re * r.im - l.im * r.re)), 4) AS im FROM ov l JOIN ov r ON l.t = r.t AND l.c = r.c AND l.e = r.e GROUP BY l.t",
 )
 def s6(spark, sf):
     """Two sampled points, each row weighted by how many different points it has: one pass."""

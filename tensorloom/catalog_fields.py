@@ -84,7 +84,7 @@ def n2(spark, sf):
     return X.eigenvalues(u, EXT, D.NC, D.NE).withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query("n2_eigenmode_norms", f"SELECT t.range AS t, e.range AS e, 1.0 AS norm FROM range({D.LT}) t, range({D.NE}) e")
+@query("n2_eigenmode_norms", f"SELECT t.range AS t, e.range AS e, CAST(1 AS DOUBLE) AS norm FROM range({D.LT}) t, range({D.NE}) e")
 def n2_modes(spark, sf):
     """Every mode has norm 1."""
     u = X.projected(_regular(gauge(spark, sf)), EXT, D.NC)
@@ -106,7 +106,7 @@ def _regular(u: DataFrame) -> DataFrame:
     return both.select("t", "x", "y", "z", "mu", "a", "b", (F.coalesce("re", F.lit(0)) + one).alias("re"), F.coalesce("im", F.lit(0)).cast("double").alias("im"))
 
 
-UNIT = f"SELECT t.range AS t, m.range AS mu, {16 * D.NC}.0 AS weight FROM range({D.LT}) t, range(3) m"
+UNIT = f"SELECT t.range AS t, m.range AS mu, CAST({16 * D.NC} AS DOUBLE) AS weight FROM range({D.LT}) t, range(3) m"
 
 
 @query("n3_unitary_projection", UNIT)
@@ -207,7 +207,7 @@ def n9(spark, sf):
     return both.select("t", "b", "c", (F.col("re") + F.col("re2")).alias("re"), (F.col("im") - F.col("im2")).alias("im"))
 
 
-@query("n10_noise_norms", f"SELECT t.range AS t, n.range AS n, 1.0 AS norm FROM range({D.LT}) t, range(2, 4) n")
+@query("n10_noise_norms", f"SELECT t.range AS t, n.range AS n, CAST(1 AS DOUBLE) AS norm FROM range({D.LT}) t, range(2, 4) n")
 def n10(spark, sf):
     """Two high-mode vectors a slice beside copies and phases; theirs are orthonormal."""
     v = D.eigenvectors(spark, sf).frame.select("t", "e", "x", "re", "im")

@@ -459,7 +459,7 @@ def y2(spark, sf):
     return rows(spark, out, "rep string, parity int, element string, i int, j int, re double, im double")
 
 
-@query("y2_characters", "SELECT * FROM (VALUES ('A_1', 1.0), ('A_2', 1.0), ('E', 1.0), ('T_1', 1.0), ('T_2', 1.0), ('G_1', 1.0), ('G_2', 1.0), ('H', 1.0)) v(rep, norm)")
+@query("y2_characters", "SELECT rep, CAST(norm AS DOUBLE) AS norm FROM (VALUES ('A_1', 1.0), ('A_2', 1.0), ('E', 1.0), ('T_1', 1.0), ('T_2', 1.0), ('G_1', 1.0), ('G_2', 1.0), ('H', 1.0)) v(rep, norm)")
 def y2_characters(spark, sf):
     """Each irrep's mean |character|^2 over the group is 1."""
     chars = rows(spark, [(r, g, float(np.trace(m).real), float(np.trace(m).imag)) for r in S.GENERATORS for g, m in S.irrep(r).items()], "rep string, element string, re double, im double")
@@ -522,7 +522,7 @@ def y17(spark, sf):
     return rows(spark, [(i, round(float(x), 6)) for i, x in enumerate(S.diagonalise(np.array(c))[1])], "n int, value double")
 
 
-SQL["y17_diagonalised"] = "SELECT CAST(n AS INTEGER) AS n, value FROM (VALUES (0, 1.0), (1, 4.0)) v(n, value)"
+SQL["y17_diagonalised"] = "SELECT CAST(n AS INTEGER) AS n, CAST(value AS DOUBLE) AS value FROM (VALUES (0, 1.0), (1, 4.0)) v(n, value)"
 
 
 @query("y18_link_orbits")
@@ -542,3 +542,155 @@ def y18(spark, sf):
 @query("y20_two_particle_bases")
 def y20(spark, sf):
     return rows(spark, O.two_particle_rows(), "case string, j int, m int, px int, py int, pz int, sa int, sb int, re double, im double")
+
+
+# more of the small operators ----------------------------------------------------------------
+
+
+@query("f2_point_prefix", f"WITH {T.V_SQL},\n{T.POINTS_SQL}\nSELECT v.t, v.e, pts.p, v.x % {T.NC} AS c, v.re, v.im FROM v JOIN pts ON pts.t = v.t AND pts.x + {T.LX} * (pts.y + {T.LY} * pts.z) = v.x // {T.NC} WHERE p < 5")
+def f2(spark, sf):
+    """Overlaps of the first 5 points."""
+    from tensorloom.operators.correlators import overlap
+
+    return overlap(T.eigenvectors(spark, sf), T.points(spark, sf).where("p < 5"), T.LX, T.LY, T.NC).frame
+
+
+@query("f7_nonlocal_terms")
+def f7(spark, sf):
+    """Contracted sums with and without the products that hold a local propagator."""
+    out = []
+    for name, flavours in (("neutral", ["uu", "dd"]), ("charged", ["ud", "du"]), ("mixed", ["uu", "uu"])):
+        e = W.contract_quarks([W.Hadron(f, f"h{i}", i) for i, f in enumerate(flavours)])
+        out.append((name, len(e), len(D.without_propagators(e, ["q_local"]))))
+    return rows(spark, out, "case string, terms int, left int")
+
+
+SQL["f7_nonlocal_terms"] = "SELECT * FROM (VALUES ('neutral', 1, 0), ('charged', 1, 1), ('mixed', 2, 1)) v(\"case\", terms, \"left\")"
+
+
+@query("g11_displacement_phases", f"WITH {MOM_SQL}, {T.values_sql('dsp', 'disp, dx, dy, dz', [(0, 0, 0, 0), (1, 1, 0, 0), (2, 0, 1, 0), (3, 0, 0, 1), (4, -1, 0, 0), (5, 0, -1, 0), (6, 0, 0, -1)])}\nSELECT mom, disp, round(cos(pi() * (px * dx / {T.LX}.0 + py * dy / {T.LY}.0 + pz * dz / {T.LZ}.0)), 6) + 0.0 AS re, round(sin(pi() * (px * dx / {T.LX}.0 + py * dy / {T.LY}.0 + pz * dz / {T.LZ}.0)), 6) + 0.0 AS im FROM m, dsp")
+def g11(spark, sf):
+    """exp(2 pi i p d / 2L): half the phase of a displacement."""
+    from tensorloom.operators.points import displacements
+
+    angle = np.pi * (F.col("px") * F.col("dx") / T.LX + F.col("py") * F.col("dy") / T.LY + F.col("pz") * F.col("dz") / T.LZ)
+    both = _momenta(spark).join(F.broadcast(displacements(spark)))
+    return both.select("mom", "disp", (F.round(F.cos(angle), 6) + 0.0).alias("re"), (F.round(F.sin(angle), 6) + 0.0).alias("im"))
+
+
+SHELL_OPS = tuple((0, 15, 1, 0, m) for m in (1, 2))
+
+
+@query("a11_shell_twopoint")
+def a11_twopoint(spark, sf):
+    """The pion summed over the momenta of a shell, each with weight 1 / sqrt(number)."""
+    from tensorloom.catalog_correlators import Base
+    from tensorloom.operators import correlators as C
+
+    b = Base(spark, sf)
+    elem = C.operator_elementals(T.operator_terms(spark, SHELL_OPS), b.phi())
+    c = C.relative(C.twopoint(b.tau(), b.v(elem), b.w(elem)), T.LT, ("op_snk", "op_src"))
+    return c.select("dt", (F.col("re") / len(SHELL_OPS)).alias("re"), (F.col("im") / len(SHELL_OPS)).alias("im"))
+
+
+def _shell_sql() -> str:
+    from tensorloom.catalog_correlators import REL
+
+    return REL.replace(T.OP_SQL, T.values_sql("ops", "op, gamma, coeff, deriv, mom", list(SHELL_OPS))) + "\nSELECT dt, re / 2.0 AS re, im / 2.0 AS im FROM rel"
+
+
+SQL["a11_shell_twopoint"] = _shell_sql()
+
+
+@query("l5_sampling_groups")
+def l5(spark, sf):
+    """Which point positions of each state of a triangle draw from one sample, for two groups of vertices."""
+    d = shape("triangle")
+    out = []
+    for k, x in enumerate(D.expand_currents(d, [True, True, False])):
+        for g, positions in sorted(D.sampling_groups(x, [0, 1, 1]).items()):
+            out += [(k, g, v, side) for v, side in positions]
+    return rows(spark, out, "state int, grp int, vertex int, side string")
+
+
+@query("l10_transformed_sums")
+def l10(spark, sf):
+    """Conjugating twice, renaming there and back, moving times there and back give the sum itself."""
+    e = D.simplify_sum(W.contract_quarks([W.Hadron("ud", "a", 0), W.Hadron("ud", "b", 0), W.Hadron("du", "c", 1), W.Hadron("du", "d", 1)]))
+    same = {
+        "conjugate": D.conjugated(D.conjugated(e)) == e,
+        "vertices": D.replace_vertices(D.replace_vertices(e, {"0": "x"}), {"x": "0"}) == e,
+        "times": D.replace_times(D.replace_times(e, {1: 9}), {9: 1}) == e,
+        "propagators": D.replace_propagators(D.replace_propagators(e, {"q": "w"}), {"w": "q"}) == e,
+    }
+    return rows(spark, sorted(same.items()), "op string, same boolean")
+
+
+SQL["l10_transformed_sums"] = "SELECT * FROM (VALUES ('conjugate', true), ('vertices', true), ('times', true), ('propagators', true)) v(op, same)"
+
+
+@query("o2_transformed_terms")
+def o2(spark, sf):
+    """Rows (gamma, link word) under each element: a join of the two transformation tables."""
+    words = rows(spark, [(i, list(L.link_word(i))) for i in range(1, 37)], "word long, letters array<int>")
+    maps = rows(spark, [(g, list(L.letter_map(m.tolist()))) for g, m in S.vectors().items()], "element string, map array<int>")
+    gam = rows(spark, [(g, n, *G.rotation_image(m, n)) for g, m in S.spinors().items() for n in (1, 2, 4, 15)], "element string, gamma long, sign long, image long")
+    moved = words.join(F.broadcast(maps)).select("word", "element", F.array_join(F.transform("letters", lambda x: F.element_at("map", x + 1).cast("string")), "").alias("moved"))
+    return moved.join(F.broadcast(gam), "element").select("element", "gamma", "word", "sign", "image", "moved")
+
+
+@query("o4_distance_terms", "SELECT l_linenumber % 4 AS gamma, CAST(2 AS INTEGER) AS deriv, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS coeff FROM lineitem WHERE l_partkey % 5 = 0 GROUP BY 1")
+def o4(spark, sf):
+    t = T.table(spark, sf, "lineitem").select((F.col("l_linenumber") % 4).alias("gamma"), (F.col("l_partkey") % 5).alias("deriv"), F.floor("l_quantity").cast("long").alias("coeff"))
+    return O.merge_terms(O.at_distance(t, 2), ["gamma", "deriv"])
+
+
+@query("o8_little_group_insertions")
+def o8(spark, sf):
+    """Vector insertions seen from a moving frame: rows of T1 odd projected onto the little groups' irreps."""
+    out = []
+    t1 = S.irrep("T_1", -1)
+    for ref in S.LITTLE:
+        for rep, mats in S.little_irreps(ref).items():
+            p = list(S.project(mats, lambda g: t1[g]).T)
+            for n, k in enumerate(S.independent(p)):
+                out += [("%d,%d,%d" % ref, rep, n, i, round(float(p[k][i].real), 6), round(float(p[k][i].imag), 6)) for i in range(3) if abs(p[k][i]) > 1e-7]
+    return rows(spark, out, "momentum string, rep string, n int, r int, re double, im double")
+
+
+@query("y10_row_connections")
+def y10(spark, sf):
+    """All rows of the E doublet of back-to-back momenta, from its first row; their norms agree."""
+    ps = M.shell(1)
+    at = {p: i for i, p in enumerate(ps)}
+
+    def action(g: str) -> np.ndarray:
+        m = np.zeros((6, 6))
+        for p, i in at.items():
+            m[at[S.rotate(g, p)], i] = 1
+        return m
+
+    mats = S.irrep("E", 1)
+    first = list(S.project(mats, action).T)
+    v = first[S.independent(first)[0]]
+    out = [(k, "%d,%d,%d" % ps[i], round(float(w[i].real), 6)) for k, w in enumerate(S.connection(mats, action, v)) for i in range(6) if abs(w[i]) > 1e-7]
+    return rows(spark, out, "r int, momentum string, coeff double")
+
+
+@query("y13_rotated_momenta", f"WITH {EL_SQL}, {MOM_SQL}, im AS (SELECT mom, g, CAST(sum(CASE WHEN i = 0 THEN v * CASE j WHEN 0 THEN px WHEN 1 THEN py ELSE pz END ELSE 0 END) AS BIGINT) AS qx, CAST(sum(CASE WHEN i = 1 THEN v * CASE j WHEN 0 THEN px WHEN 1 THEN py ELSE pz END ELSE 0 END) AS BIGINT) AS qy, CAST(sum(CASE WHEN i = 2 THEN v * CASE j WHEN 0 THEN px WHEN 1 THEN py ELSE pz END ELSE 0 END) AS BIGINT) AS qz FROM m, el GROUP BY mom, g) SELECT mom, g, qx, qy, qz FROM im")
+def y13(spark, sf):
+    """Every momentum of the list under every element: a join on components and a sum."""
+    el = rows(spark, _element_rows(), "g long, i long, j long, v long")
+    m = _momenta(spark)
+    part = m.select("mom", F.posexplode(F.array("px", "py", "pz")).alias("j2", "p"))
+    both = part.join(F.broadcast(el), F.col("j2") == F.col("j"))
+    return both.groupBy("mom", "g").agg(*[F.sum(F.when(F.col("i") == k, F.col("v") * F.col("p")).otherwise(0)).cast("long").alias(c) for k, c in enumerate(("qx", "qy", "qz"))])
+
+
+@query("r4_unfinished_configurations", "SELECT DISTINCT o_custkey % 700 AS cfg FROM orders WHERE o_custkey % 700 NOT IN (SELECT o_custkey % 700 FROM orders WHERE o_orderstatus = 'P')")
+def r4(spark, sf):
+    """Configurations of which no result exists yet: an anti-join."""
+    from tensorloom.streaming.configurations import unfinished
+
+    o = T.table(spark, sf, "orders").select((F.col("o_custkey") % 700).alias("cfg"), "o_orderstatus")
+    return unfinished(o.select("cfg").distinct(), o.where("o_orderstatus = 'P'"))
