@@ -418,17 +418,27 @@ W2 = 16 * 15 / (12 * 11)
 W1 = 16 / 12
 
 
+def _both_sql(x: str) -> str:
+    return f"round(CAST({W1} AS DOUBLE) * CAST(sum(CASE WHEN l.p = r.p THEN {x} ELSE 0 END) AS BIGINT) + CAST({W2} AS DOUBLE) * CAST(sum(CASE WHEN l.p = r.p THEN 0 ELSE {x} END) AS BIGINT), 4)"
+
+
 @query(
     "s6_point_estimator",
-    f"WITH {D.V_SQL},\n{D.POINTS_SQL},\n{OVER}\nSELECT l.t, round(sum(CAST(CASE WHEN l.p = r.p THEN {W1} ELSE {W2} END AS DOUBLE) * (l.re * r.re + l.im * r.im)), 4) AS re, round(sum(CAST(CASE WHEN l.p = r.p THEN {W1} ELSE {W2} END AS DOUBLE) * (l.re * r.im - l.im * r.re)), 4) AS im FROM ov l JOIN ov r ON l.t = r.t AND l.c = r.c AND l.e = r.e GROUP BY l.t",
+    f"WITH {D.V_SQL},\n{D.POINTS_SQL},\n{OVER}\nSELECT l.t, {_both_sql('(l.re * r.re + l.im * r.im)')} AS re, {_both_sql('(l.re * r.im - l.im * r.re)')} AS im FROM ov l JOIN ov r ON l.t = r.t AND l.c = r.c AND l.e = r.e GROUP BY l.t",
 )
 def s6(spark, sf):
-    """Two sampled points, each row weighted by how many different points it has: one pass."""
+    """Two sampled points, each row weighted by how many different points it has: one pass, exact sums for each number."""
     ov = Points(spark, sf).ov().frame
     r = ov.select("t", "e", "c", F.col("p").alias("q"), F.col("re").alias("re2"), F.col("im").alias("im2"))
-    w = F.when(F.col("p") == F.col("q"), F.lit(W1)).otherwise(F.lit(W2))
     both = ov.join(r, ["t", "e", "c"])
-    return both.groupBy("t").agg(F.round(F.sum(w * (F.col("re") * F.col("re2") + F.col("im") * F.col("im2"))), 4).alias("re"), F.round(F.sum(w * (F.col("re") * F.col("im2") - F.col("im") * F.col("re2"))), 4).alias("im"))
+    same = F.col("p") == F.col("q")
+
+    def weighted(x):
+        return F.round(F.lit(W1) * F.sum(F.when(same, x).otherwise(0)) + F.lit(W2) * F.sum(F.when(~same, x).otherwise(0)), 4)
+
+    re = F.col("re") * F.col("re2") + F.col("im") * F.col("im2")
+    im = F.col("re") * F.col("im2") - F.col("im") * F.col("re2")
+    return both.groupBy("t").agg(weighted(re).alias("re"), weighted(im).alias("im"))
 
 
 _ = (add, pair, shell)
