@@ -17,7 +17,7 @@ from tensorloom.llm import catalogue, chat, config_packing, exact_dedup, line_de
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, size int, gone string, mark double, rate string, digest string, kept string, of string, file string, line long, score string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, size int, gone string, mark double, rate string, digest string, kept string, of string, file string, line long, _metadata string"
 LONG = "This line is long enough to count and many documents share it, word for word."
 
 
