@@ -128,6 +128,49 @@ def n5(spark, sf):
     return D.elementals(spark, sf).frame
 
 
+#: Derivative paths of directions 0..2.
+PATHS: tuple[tuple[int, ...], ...] = ((), (0,), (2,), (0, 1))
+
+
+def nabla(f: DataFrame, u: DataFrame, path: tuple[int, ...]) -> DataFrame:
+    """Covariant forward minus backward hop in each direction of the path, the first one first."""
+    for d in path:
+        back = X.hop(f, u, d + 3, EXT, ("e",)).select(*AX, (-F.col("re")).alias("re"), (-F.col("im")).alias("im"))
+        f = X.mean_of({0: X.hop(f, u, d, EXT, ("e",)), 1: back}, AX, 1)
+    return f
+
+
+def derivative_elementals(f: DataFrame, u: DataFrame, paths=PATHS, coeff: DataFrame | None = None) -> DataFrame:
+    """(path, mom, t, b, c): sum over all splits of a path of (-1)^right, conj (left part, reversed) times phase times right part.
+
+    coeff (b, c, cr, ci): optional blending coefficients, a factor of each entry.
+    """
+    out = None
+    for n, path in enumerate(paths):
+        for pick in range(1 << len(path)):
+            right = tuple(d for i, d in enumerate(path) if pick >> i & 1)
+            left = tuple(d for i, d in enumerate(path) if not pick >> i & 1)[::-1]
+            s = (-1) ** len(right)
+            a = nabla(f, u, left).select("t", "x", "y", "z", F.col("c").alias("k"), F.col("e").alias("b"), F.col("re").alias("ar"), F.col("im").alias("ai"))
+            b = nabla(f, u, right).select("t", "x", "y", "z", F.col("c").alias("k"), F.col("e").alias("c"), "re", "im")
+            both = a.join(b, ["t", "x", "y", "z", "k"]).groupBy("t", "x", "y", "z", "b", "c").agg((s * F.sum(F.col("ar") * F.col("re") + F.col("ai") * F.col("im"))).alias("re"), (s * F.sum(F.col("ar") * F.col("im") - F.col("ai") * F.col("re"))).alias("im"))
+            both = both.withColumn("path", F.lit(n).cast("long"))
+            out = both if out is None else out.unionByName(both)
+    turns = F.array(*[F.struct(F.lit(m).cast("long").alias("mom"), F.pmod(p[0] * F.col("x") + 2 * p[1] * F.col("y") + 2 * p[2] * F.col("z"), F.lit(4)).alias("k")) for m, p in enumerate(D.MOMENTA)])
+    every = out.select("path", "t", "b", "c", F.explode(turns).alias("q"), "re", "im")
+    re = F.when(F.col("q.k") == 0, F.col("re")).when(F.col("q.k") == 1, -F.col("im")).when(F.col("q.k") == 2, -F.col("re")).otherwise(F.col("im"))
+    im = F.when(F.col("q.k") == 0, F.col("im")).when(F.col("q.k") == 1, F.col("re")).when(F.col("q.k") == 2, -F.col("im")).otherwise(-F.col("re"))
+    out = every.groupBy("path", F.col("q.mom").alias("mom"), "t", "b", "c").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+    if coeff is None:
+        return out
+    return out.join(coeff, ["b", "c"]).select("path", "mom", "t", "b", "c", (F.col("re") * F.col("cr") - F.col("im") * F.col("ci")).alias("re"), (F.col("re") * F.col("ci") + F.col("im") * F.col("cr")).alias("im"))
+
+
+@query("n5_derivative_elementals")
+def n5_paths(spark, sf):
+    return derivative_elementals(field(spark, sf), gauge(spark, sf))
+
+
 def _project(left: DataFrame, right: DataFrame) -> DataFrame:
     """(t, b, c): sum over sites and colours of conj left_b * right_c."""
     axes = ("t", "x", "y", "z", "c", "e")
