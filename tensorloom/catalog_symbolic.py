@@ -517,7 +517,7 @@ def y14(spark, sf):
 
 @query("y17_diagonalised")
 def y17(spark, sf):
-    """Eigenvalues of the Hermitian matrix of operator correlators at dt = 0."""
+    """Eigenvalues of a fixed Hermitian 2 x 2 example; no table is read, and singular values (other matrices) are not reached."""
     c = [[3.0, 1.0 + 1j], [1.0 - 1j, 2.0]]
     return rows(spark, [(i, round(float(x), 6)) for i, x in enumerate(S.diagonalise(np.array(c))[1])], "n int, value double")
 
