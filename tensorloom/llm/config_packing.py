@@ -1,14 +1,22 @@
 """Best-fit packing by a configuration linear program.
 
-Only the histogram of piece lengths (at most seq_len numbers) comes to the
+Only the histogram of piece lengths (fewer than seq_len numbers) comes to the
 driver. There the program "as few sequences as cover the histogram" is solved by
-multiplicative weights: a length's weight falls the more of it is covered, and a
+multiplicative weights. A length's price is its weight a piece; a bounded
 knapsack dynamic program prices the best configuration (a multiset of lengths
-that fits a sequence) under the present weights. The fractional solution is
-rounded to whole copies, and what is left is packed best-fit by length classes.
+that fits a sequence) about every length; those close to the best of all are
+used, each for a step that covers no length by more than a fixed share of its
+pieces; weights then fall exponentially with what is covered. Prices over the
+best configuration's value are feasible for the dual, so every round also gives
+a lower bound of the number of sequences.
+
+The fractional solution is rounded to whole copies, and the program is solved
+again for the pieces that this leaves, until none are left. Where a finer step
+may gain it is tried, and the plan with the fewest sequences counts; only if
+packing what some round leaves by best fit needs fewer, that rest is packed so.
 The plan says for every length which ranks go where; its size depends on
 seq_len, not on the corpus. Executors rank the pieces of a length and look up
-their places.
+their places. Full pieces are sequences of their own and need neither.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,89 +36,167 @@ from tensorloom.llm.staging import ship_code, stage
 from tensorloom.llm.token_output import SEQ_LEN, token_pieces
 from tensorloom.llm.tokens import vocabulary
 
-ROUNDS, STEP, SLACK, RATE, GAP = 64, 1.0, 0.3, 4.0, 1
-SALTS = 64
+#: Pieces that one task ranks, about; lengths are dealt into so many salts that none has more.
+RANKED = 250_000
 Config = tuple[tuple[int, int], ...]
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each room 0..capacity the highest price that fits it, and the place of a length that attains it (-1: leave a gap); lengths rise."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        k = upto[c]
-        best[c] = best[c - 1]
-        if k:
-            value = best[c - lengths[:k]] + prices[:k]
-            i = int(value.argmax())
-            if value[i] > best[c]:
-                best[c], pick[c] = value[i], i
-    return best, pick
-
-
-def _filled(pick: list[int], lengths: list[int], room: int, config: dict[int, int]) -> dict[int, int]:
-    while room > 0:
-        i = pick[room]
-        if i < 0:
-            room -= 1
-        else:
-            config[lengths[i]] = config.get(lengths[i], 0) + 1
-            room -= lengths[i]
-    return config
-
-
-def fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[Config, float]:
-    """Configurations and how often each is used, by multiplicative weights.
-
-    Prices are weight * length (at equal weights the dual of the volume bound).
-    One dynamic program a round prices, for every length, the best configuration
-    that holds it; those within SLACK of the best are each used for STEP of what
-    their scarcest length still needs. Weights then fall by exp(-RATE * share
-    covered), so that the next round's prices favour what is still open.
+@dataclass(frozen=True)
+class Effort:
+    """rounds: at most, of the weights. step: the share of a length's pieces that a round covers. rate: how fast weights
+    fall. slack: how far from the best a configuration may be. least: a round that covers less of the volume is the last."""
+
+    rounds: int = 40
+    step: float = 0.34
+    rate: float = 1.0
+    slack: float = 0.01
+    least: float = 0.03
+
+
+#: The second is tried where the first stays further from the bound than TOLERANCE, for at most WORK layers of the dynamic program.
+COARSE, FINE = Effort(), Effort(rounds=120, step=0.02, rate=16.0, least=0.001)
+TOLERANCE, WORK = 0.001, 400_000
+PHASES = 64
+
+
+class Knapsack:
+    """The best configurations under prices; no length is used more often than it has pieces.
+
+    lengths rise. A layer is `times` pieces of one length (binary parts, a single
+    piece last), so value[i] is that of the best configuration whose longest piece
+    is length i, and best that of the best of all.
     """
-    order = sorted(counts)
-    lengths = np.array(order, np.int64)
-    need = np.array([counts[x] for x in order], float)
-    left = dict(zip(order, need.tolist(), strict=True))
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, prices: np.ndarray, capacity: int):
+        self.lengths, self.prices, self.capacity = lengths.tolist(), prices.tolist(), capacity
+        self.of: list[int] = []
+        self.times: list[int] = []
+        self.single: list[int] = []
+        for i, n in enumerate(np.minimum(counts, capacity // lengths).tolist()):
+            part, n = 1, n - 1
+            while n > 0:
+                self.of.append(i)
+                self.times.append(min(part, n))
+                n -= part
+                part *= 2
+            self.single.append(len(self.of))
+            self.of.append(i)
+            self.times.append(1)
+        best = np.zeros(capacity + 1)
+        take = np.zeros((len(self.of), capacity + 1), bool)
+        self.value = np.zeros(len(lengths))
+        for layer, (i, k) in enumerate(zip(self.of, self.times, strict=True)):
+            w, v = self.lengths[i] * k, self.prices[i] * k
+            if layer == self.single[i]:
+                self.value[i] = v + best[capacity - w]
+            used = best[: capacity + 1 - w] + v
+            np.greater_equal(used, best[w:], out=take[layer, w:])
+            np.maximum(used, best[w:], out=best[w:])
+        self.best = float(best[capacity])
+        self.take = np.ascontiguousarray(take.T)
+
+    def about(self, head: int, open_: list[float], floor: list[float]) -> tuple[dict[int, int], float]:
+        """The configuration with `head` as its longest piece, and its value; lengths with less than `floor` open are passed over."""
+        config, value = {head: 1}, self.prices[head]
+        room, top = self.capacity - self.lengths[head], self.single[head]
+        while top > 0:
+            row = self.take[room, :top][::-1]
+            at = int(row.argmax())
+            if not row[at]:
+                break
+            top -= at + 1
+            i, k = self.of[top], self.times[top]
+            if open_[i] > floor[i]:
+                config[i] = config.get(i, 0) + k
+                room -= self.lengths[i] * k
+                value += self.prices[i] * k
+        return config, value
+
+
+def fractional(counts: dict[int, int], capacity: int, effort: Effort = COARSE) -> tuple[dict[Config, float], float, int]:
+    """Configurations and how often each is used (no length more often than it has pieces), a lower bound of the sequences, and layers worked."""
+    lengths = np.array(sorted(counts), np.int64)
+    need = np.array([counts[x] for x in lengths.tolist()], np.int64)
+    used = np.zeros(len(lengths))
     out: dict[Config, float] = {}
-    for _ in range(rounds):
-        open_ = np.array([left[x] for x in order])
-        live = np.flatnonzero(open_ > 1e-3 * need)
+    bound, work, volume = 0.0, 0, float(lengths @ need)
+    for _ in range(effort.rounds):
+        covered = used / need
+        live = np.flatnonzero(covered < 1 - 1e-9)
         if not len(live):
             break
-        sub = lengths[live]
-        prices = sub * np.exp(-RATE * (1 - open_[live] / need[live]))
-        best, pick = knapsack(sub, prices, capacity)
-        value = prices + best[capacity - sub]
-        picks, names = pick.tolist(), sub.tolist()
-        for i in np.argsort(-value, kind="stable"):
-            if value[i] < (1 - SLACK) * best[capacity]:
-                break
-            x = names[i]
-            config = _filled(picks, names, capacity - x, {x: 1})
-            step = STEP * min(left[y] / k for y, k in config.items())
-            if step < 1e-3:
-                continue
-            key = tuple(sorted(config.items(), reverse=True))
-            out[key] = out.get(key, 0.0) + step
-            for y, k in config.items():
-                left[y] -= step * k
-    return out
-
-
-def rounded(shares: dict[Config, float], counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, Config]], dict[int, int]]:
-    """Whole copies, most used first, rounded up as far as the pieces allow; only (almost) full sequences. And the rest of the histogram."""
-    left, out = dict(counts), []
-    for config, share in sorted(shares.items(), key=lambda x: (-x[1], x[0])):
-        n = min(max(1, round(share)), min(left[x] // k for x, k in config))
-        if n and sum(x * k for x, k in config) >= capacity - GAP:
-            out.append((n, config))
-            for x, k in config:
-                left[x] -= n * k
+        prices = lengths[live] * np.exp(-effort.rate * (covered[live] - covered[live].min()))
+        sack = Knapsack(lengths[live], need[live], prices, capacity)
+        work += len(sack.of)
+        bound = max(bound, float(prices @ need[live]) / sack.best)
+        near = (1 - effort.slack) * sack.best
+        heads = np.lexsort((-lengths[live], -np.round(sack.value / sack.best, 6)))
+        open_ = np.minimum(effort.step * need, need - used)[live].tolist()
+        floor = [x / 4 for x in open_]
+        before = float(lengths @ used)
+        for head in heads[sack.value[heads] >= near].tolist():
+            while open_[head] > floor[head]:
+                config, value = sack.about(head, open_, floor)
+                if value < near:
+                    break
+                x = min(open_[i] / k for i, k in config.items())
+                for i, k in config.items():
+                    open_[i] -= x * k
+                    used[live[i]] += x * k
+                key = tuple(sorted(((sack.lengths[i], k) for i, k in config.items()), reverse=True))
+                out[key] = out.get(key, 0.0) + x
+        if float(lengths @ used) - before < effort.least * volume:
+            break
+    return out, bound, work
+
+
+def rounded(shares: dict[Config, float], counts: dict[int, int]) -> tuple[list[tuple[int, Config]], dict[int, int]]:
+    """Whole copies: every share rounded down, then single copies of what the fractions add up to, as far as the pieces allow. And the rest of the histogram."""
+    left, out, more = dict(counts), [], 0.0
+    order = sorted(shares, key=lambda c: (-shares[c], -sum(x * k for x, k in c), c))
+    for whole in (True, False):
+        for config in order:
+            if whole:
+                n = int(shares[config] + 1e-9)
+                more += shares[config] - n
+                n = min(n, *(left[x] // k for x, k in config))
+            else:
+                n = int(more > 0 and all(left[x] >= k for x, k in config))
+                more -= n
+            if n:
+                out.append((n, config))
+                for x, k in config:
+                    left[x] -= n * k
     return out, {x: n for x, n in left.items() if n}
 
 
+def programmed(counts: dict[int, int], capacity: int, effort: Effort, work: int = 1 << 62) -> tuple[list[tuple[int, Config]], list[tuple[int, Config]], float]:
+    """Copies of rounded configurations, the rest by best fit (nothing, unless that saves sequences or nothing fits any more), the bound."""
+    left, copies, bound = dict(counts), [], 0.0
+    least, at, total = None, 0, 0
+    for phase in range(PHASES + 1):
+        rest = sum(n for n, _ in best_fit_classes(left, capacity))
+        if least is None or total + rest <= least:
+            least, at = total + rest, len(copies)
+        if not left or phase == PHASES or work < 0:
+            break
+        shares, low, done = fractional(left, capacity, effort)
+        work -= done
+        bound = bound or low
+        got, after = rounded(shares, left)
+        if not got:
+            break
+        left = after
+        copies += got
+        total += sum(n for n, _ in got)
+    copies = copies[:at]
+    left = dict(counts)
+    for n, config in copies:
+        for x, k in config:
+            left[x] -= n * k
+    return copies, best_fit_classes({x: n for x, n in left.items() if n}, capacity), bound
+
+
 def best_fit_classes(counts: dict[int, int], capacity: int) -> list[tuple[int, Config]]:
     """Best-fit decreasing over classes: equal sequences are one entry with a count."""
     rooms: list[int] = []
@@ -150,19 +237,41 @@ def best_fit_classes(counts: dict[int, int], capacity: int) -> list[tuple[int, C
     return sorted(out, key=lambda g: g[1], reverse=True)
 
 
-def plan(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> pd.DataFrame:
-    """Rows (key, times, sequence, offset): from rank key % 2**40 on, pieces of length key // 2**40 lie `times` a sequence from `sequence` and `offset` on."""
-    whole, left = rounded(fractional(counts, capacity, rounds), counts, capacity) if counts else ([], {})
+@dataclass(frozen=True)
+class Plan:
+    """table: rows (key, times, sequence, offset): from rank key % 2**40 on, pieces of length key // 2**40 lie `times` a
+    sequence from `sequence` and `offset` on. The first `by_program` of the `sequences` are rounded configurations; fewer
+    than `bound` sequences are impossible."""
+
+    table: pd.DataFrame
+    sequences: int
+    by_program: int
+    bound: int
+
+
+def plan(counts: dict[int, int], capacity: int) -> Plan:
+    """The places of all pieces of a histogram; no pieces give no places."""
+    copies, rest, bound = programmed(counts, capacity, COARSE)
+
+    def size(x: list[tuple[int, Config]]) -> int:
+        return sum(n for n, _ in x)
+
+    if size(copies) + size(rest) > (1 + TOLERANCE) * max(1, int(np.ceil(bound - 1e-6))):
+        again = programmed(counts, capacity, FINE, WORK)
+        bound = max(bound, again[2])
+        if size(again[0]) + size(again[1]) < size(copies) + size(rest):
+            copies, rest = again[:2]
     rank: dict[int, int] = {}
     rows, sequence = [], 0
-    for n, config in whole + best_fit_classes(left, capacity):
+    for n, config in copies + rest:
         offset = 0
         for x, k in config:
             rows.append((x << 40 | rank.get(x, 0), k, sequence, offset))
             rank[x] = rank.get(x, 0) + n * k
             offset += x * k
         sequence += n
-    return pd.DataFrame(rows, columns=["key", "times", "sequence", "offset"]).astype("int64").sort_values("key", ignore_index=True)
+    table = pd.DataFrame(rows, columns=["key", "times", "sequence", "offset"]).astype("int64").sort_values("key", ignore_index=True)
+    return Plan(table, sequence, size(copies), int(np.ceil(bound - 1e-6)))
 
 
 def _pieces(path: str, seq_len: int):
@@ -183,7 +292,7 @@ def _pieces(path: str, seq_len: int):
     return run
 
 
-def _places(table):
+def _places(table, by_program: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = table.value
         keys, times, sequence, offset = (p[c].to_numpy() for c in ("key", "times", "sequence", "offset"))
@@ -192,31 +301,42 @@ def _places(table):
             key = length << 40 | b.pop("rank").to_numpy("int64")
             i = np.searchsorted(keys, key, side="right") - 1
             copy, nth = np.divmod(key - keys[i], times[i])
-            yield b.assign(doc_id=b["doc_id"].astype("Int64"), sequence_id=sequence[i] + copy, offset=offset[i] + nth * length)
+            own = sequence[i] + copy
+            yield b.assign(doc_id=b["doc_id"].astype("Int64"), sequence_id=own, offset=offset[i] + nth * length, by_program=own < by_program)
 
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, seq_len: int = SEQ_LEN, rounds: int = ROUNDS) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, seq_len: int = SEQ_LEN) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, by_program, least_sequences.
 
     A document is its ids and the end id 1; null and empty texts are that id
-    alone. Only documents longer than seq_len are cut. Every sequence is
-    gapless from offset 0. Repeated rows are packed each; null ids stay null;
-    extra columns are not read; no rows give no rows.
+    alone, very long ones as many pieces as they need. Only documents longer than
+    seq_len are cut. Every sequence is gapless from offset 0. Ties (pieces of one
+    length) are dealt by row, repeated rows are packed each; null ids stay null;
+    extra columns, whatever their names, are not read; no rows give no rows.
+    by_program: the sequence is a rounded configuration (a full piece is its own),
+    not best fit. least_sequences: the dual bound, the same in all rows.
     """
     spark = docs.sparkSession
     ship_code(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = base.mapInPandas(_pieces(path or vocabulary(), seq_len), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-    pieces = stage(pieces.withColumn("salt", salt), "pieces")
-    sizes = stage(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "piece-sizes")
-    counts = {int(r["length"]): int(r["n"]) for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = spark.sparkContext.broadcast(plan(counts, seq_len, rounds))
+    pieces = stage(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    whole = counts.pop(seq_len, 0)
+    solved = plan(counts, seq_len)
+    table = spark.sparkContext.broadcast(solved.table)
+    salts = max(64, max(counts.values(), default=0) // RANKED)
+    part = pieces.where(F.col("length") < seq_len).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    sizes = stage(part.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "piece-sizes")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = pieces.withColumn("own", own).join(shift, ["length", "salt"])
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row"))
+    ranked = part.withColumn("own", own).join(shift, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("shift") - 1).alias("rank"))
-    return ranked.mapInPandas(_places(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, by_program boolean"
+    out = ranked.mapInPandas(_places(table, solved.by_program), kind)
+    full = pieces.where(F.col("length") == seq_len)
+    full = full.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("by_program"))
+    return out.unionByName(full).withColumn("least_sequences", F.lit(whole + solved.bound).cast("long"))

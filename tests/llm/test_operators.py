@@ -1,6 +1,7 @@
 """Each operator against brute force, on whole small tables and on awkward rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -134,23 +135,70 @@ def test_config_packing(request, table):
             end += length
         assert end <= 4096
     if rows:
+        assert {r.least_sequences for r in rows} == {rows[0].least_sequences} and rows[0].least_sequences <= len(seqs)
         assert len(seqs) <= 1.02 * -(-sum(r.length for r in rows) // 4096) + 2
 
 
+def brute_knapsack(lengths, counts, prices, capacity):
+    return max(
+        sum(p * k for p, k in zip(prices, own, strict=True))
+        for own in itertools.product(*[range(min(n, capacity // x) + 1) for x, n in zip(lengths, counts, strict=True)])
+        if sum(x * k for x, k in zip(lengths, own, strict=True)) <= capacity
+    )
+
+
+def test_knapsack():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        lengths = np.unique(rng.integers(2, 13, 5))
+        counts, prices = rng.integers(1, 5, len(lengths)), rng.random(len(lengths))
+        sack = config_packing.Knapsack(lengths, counts, prices, 20)
+        assert sack.best == pytest.approx(brute_knapsack(lengths.tolist(), counts.tolist(), prices.tolist(), 20))
+        free = [10.0] * len(lengths), [0.0] * len(lengths)
+        for head in range(len(lengths)):
+            config, value = sack.about(head, *free)
+            assert value == pytest.approx(sack.value[head]) and max(config) == head
+            assert sum(lengths[i] * k for i, k in config.items()) <= 20 and all(k <= counts[i] for i, k in config.items())
+        assert max(sack.value) == pytest.approx(sack.best)
+
+
+NINE = (1780, 1044, 1272, 1258, 1303, 1535, 1631, 1359, 1106)
+
+
+@pytest.mark.parametrize("counts", [{x: 300 for x in NINE}, {x - 2: 300 for x in NINE}, {2056: 600, 1043: 600, 1033: 600, 1003: 1200}])
+def test_program_beats_best_fit(counts):
+    """Best fit needs 1,050 or 1,100 sequences; 900 are possible, and that is the bound."""
+    p = config_packing.plan(counts, 4096)
+    assert (p.sequences, p.by_program, p.bound) == (900, 900, 900)
+    assert sum(n for n, _ in config_packing.best_fit_classes(counts, 4096)) >= 1050
+
+
 def test_configuration_program():
     rng = np.random.default_rng(3)
-    counts = Counter(np.minimum(4096, np.maximum(1, rng.lognormal(6.3, 1, 20_000).astype(int))).tolist())
-    shares = config_packing.fractional(counts, 4096, 24)
+    counts = dict(Counter(np.minimum(4096, np.maximum(1, rng.lognormal(6.3, 1, 5_000).astype(int))).tolist()))
+    shares, bound, _ = config_packing.fractional(counts, 4096)
     used = Counter()
     for config, x in shares.items():
         assert sum(a * k for a, k in config) <= 4096
         for a, k in config:
             used[a] += x * k
     assert all(used[a] <= counts[a] + 1e-6 for a in used)
-    best, pick = config_packing.knapsack(np.array([3, 5, 7]), np.array([2.0, 4.0, 5.0]), 12)
-    assert best[12] == 9.0 and best[4] == 2.0 and pick[2] == -1
-    p = config_packing.plan(dict(counts), 4096, 24)
-    assert p["sequence"].max() + 1 <= 1.01 * sum(a * k for a, k in counts.items()) / 4096 + 2
+    copies, rest = config_packing.rounded(shares, counts)
+    placed = Counter(rest)
+    for n, config in copies:
+        for a, k in config:
+            placed[a] += n * k
+    assert placed == Counter(counts)
+    p = config_packing.plan(counts, 4096)
+    volume = sum(a * k for a, k in counts.items()) / 4096
+    assert volume - 1e-6 <= p.bound <= p.sequences <= 1.002 * volume + 2
+    assert p.by_program >= 0.95 * p.sequences
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        counts = {int(a): int(n) for a, n in zip(rng.integers(600, 2600, 12), rng.integers(1, 400, 12), strict=True)}
+        p = config_packing.plan(counts, 4096)
+        assert p.bound <= p.sequences <= sum(n for n, _ in config_packing.best_fit_classes(counts, 4096))
+    assert config_packing.plan({}, 4096).sequences == 0
 
 
 # chats ----------------------------------------------------------------------------------------
