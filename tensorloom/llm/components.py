@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.staging import stage
 
-MOST_ROUNDS = 60
-
 
 def _mirrored(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,15 +30,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node that has an edge and is not the least of its component, with that least node.
 
     edges (u, v): any pairs of longs; loops count for nothing. Only the number
-    of edges and a checksum come to the driver. The hottest node's edges meet in
+    of edges and a checksum come to the driver, once a round; the rounds end when
+    they settle, after about the logarithm of the longest path. The hottest node's edges meet in
     partial aggregates and in joins that Spark can split.
     """
     now = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         now = stage(_small_star(stage(_large_star(now), "large-star")), "small-star")
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen:
             return now
         seen = mark
-    raise RuntimeError("components did not settle")

@@ -8,21 +8,26 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FOLDERS: dict[str, SparkSession] = {}
 _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset a local folder, but only if all of Spark runs in this machine's one JVM."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not (sc.master or "").startswith("local") or (sc.master or "").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tensorloom-")
         sc.setCheckpointDir(root)
     folder = f"{root.rstrip('/')}/stage-{sc.applicationId}"
@@ -45,6 +50,19 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(row STRUCT, file LONG, line LONG): where each row lies in its Parquet file tells even repeated rows apart."""
+
+    def place(scan: DataFrame) -> DataFrame:
+        meta = scan.metadataColumn("_metadata")
+        return scan.select(F.struct("*").alias("row"), F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("line"))
+
+    try:
+        return place(docs)
+    except AnalysisException:  # not a scan of files: made one
+        return place(stage(docs, "placed"))
+
+
 #: Rows and bytes of an Arrow batch: whole texts go to Python a few megabytes at a time, however long they are.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -52,18 +70,21 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 def ship_code(spark: SparkSession) -> None:
     """Makes this package importable in Python workers of any cluster, and keeps what they get at once small."""
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:  # what the user has set stays
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
     if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="tensorloom-code-"), "tensorloom_code.zip")
+    folder = tempfile.mkdtemp(prefix="tensorloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    target = os.path.join(folder, "tensorloom_code.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
+        for at, _, names in os.walk(top):
             for x in names:
                 if x.endswith(".py"):
-                    full = os.path.join(folder, x)
+                    full = os.path.join(at, x)
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     sc.addPyFile(target)
 
