@@ -161,7 +161,7 @@ def filter_urls(pages: DataFrame, rules=RULES, default: str = DEFAULT, id_col: s
         return base.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     own = F.transform(candidate_keys(F.col("host"), F.col("path"), labels, lengths), lambda k: F.struct(k["host"].alias("host"), k["path"].alias("path"), _hashes(k["host"], k["path"])[0].alias("a"), _hashes(k["host"], k["path"])[1].alias("b")))
     base = stage(base.withColumn("own", own), "url-keys")
-    universe = base.select(F.explode("own").alias("k")).select("k.a", "k.b").distinct()
+    universe = stage(base.select(F.explode("own").alias("k")).select("k.a", "k.b").distinct(), "url-universe")
     listed = spark.createDataFrame([(h, p) for h, p, _ in rules], "host string, path string").select(*_hashes(F.col("host"), F.col("path"))).collect()
     listed = np.array([tuple(x) for x in listed], np.int64).reshape(-1, 2)
     cascade = spark.sparkContext.broadcast(build_cascade(listed, universe))
