@@ -1,32 +1,42 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-Evidence of a document: two logistic models over its shape and over marked
-words, one for low quality and one for toxic text, fitted on a bounded sample of
-the labelled rows. Evidence of its site: the mean of what all documents of the
-host (source) and of the path (source and lang) look like. A host's mean is
-shrunk towards the corpus's, a path's towards its host's, by strengths that the
-spread of the means themselves gives (method of moments), so a sparse site
-counts for little. Both kinds of evidence add up as log odds.
+Evidence of a document: two logistic models, one for low quality and one for
+toxic text, over its shape and over the log odds of all its words and
+five-letter stems, hashed into SLOTS places without a vocabulary (word pairs
+found nothing more on held-out rows). They are fitted on a bounded sample of the
+labelled rows; there a document's own label is
+left out of its words' odds. Evidence of its site: the mean of what all other documents of the
+host (source) and of the path (source and lang) look like; documents have no
+url, so these columns stand for host and path. A host's mean is shrunk towards
+the corpus's, a path's towards its host's, by strengths that the spread of the
+means themselves gives (method of moments), so a sparse site counts for little.
+A document's own score is left out of its site's means. Both kinds of evidence
+add up as log odds.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.staging import ship_code, stage
+from tensorloom.llm.sieve import without
+from tensorloom.llm.staging import placed, ship_code, stage
 
 #: Labelled rows that the models are fitted on, at most; those of the smallest hash.
 TRAIN_ROWS = 20_000
-#: Words that mark a class, at most, for each of the two models.
-MARKED_WORDS, LEAST_DOCS, LEAST_Z = 400, 6, 6.0
+#: Places of the hashed words and stems.
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
+#: Documents that a place's odds start from, and the standard errors from the sample's share at which they count in full.
+PRIOR, SURE = 4.0, 6.0
+STEM = 5
 #: Rejected beyond this probability.
 CUT = 0.5
 EDGES = ".,;:!?|\"'()[]{}<>*#%&$@+=-_~"
@@ -35,20 +45,38 @@ SYMBOLS[[ord(c) for c in "!#$%&*+<=>@^~|\\/{}[]()_"]] = True
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 LIMIT = 30.0
-
-
-def shape(text: str) -> tuple[list[float], set[str]]:
-    """Numbers that describe the text, and its words without punctuation at their ends."""
+_HASHES: dict[str, tuple[int, int]] = {}
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    """n x 2 hashes, of words without punctuation at their ends and of their stems (0 for short words); a worker remembers those of common words."""
+    if len(_HASHES) > 1 << 19:
+        _HASHES.clear()
+    out = np.empty((len(words), 2), np.uint64)
+    for i, raw in enumerate(words):
+        h = _HASHES.get(raw)
+        if h is None:
+            w = raw.strip(EDGES)
+            h = tuple(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) if x else 0 for x in (w, f"^{w[:STEM]}" if len(w) > STEM else ""))
+            if len(raw) < 64:
+                _HASHES[raw] = h
+        out[i] = h
+    return out
+
+
+def shape(text: str) -> tuple[list[float], np.ndarray]:
+    """Numbers that describe the text, and the places of its distinct words and stems, rising."""
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     words = text.lower().split()
-    n, kinds = len(words), set(words)
+    n = len(words)
     solid = max(1, int(raw[33:].sum()))
     letters = max(1, int(raw[LETTERS].sum()))
     twice = sum(map(str.__eq__, words, words[1:])) if n > 1 else 0
-    rich = math.log1p(len(kinds)) / math.log1p(n) if n else 1.0
+    rich = math.log1p(len(set(words))) / math.log1p(n) if n else 1.0
+    symbols = int(raw[SYMBOLS].sum())
     numbers = [
-        raw[SYMBOLS].sum() / solid,
-        math.log1p(100.0 * raw[SYMBOLS].sum() / solid),
+        symbols / solid,
+        math.log1p(100.0 * symbols / solid),
         raw[65:91].sum() / letters,
         raw[ord("|")] / max(1, n),
         raw[48:58].sum() / solid,
@@ -60,32 +88,44 @@ def shape(text: str) -> tuple[list[float], set[str]]:
         float(n < 8),
         letters / solid,
     ]
-    return [float(x) for x in numbers], {w.strip(EDGES) for w in kinds}
+    one, stems = _hashed(words).T
+    return [float(x) for x in numbers], np.unique(np.concatenate([one, stems[stems > 0]]) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+
+
+def odds(n: np.ndarray, k: np.ndarray, rate: float) -> np.ndarray:
+    """What a word adds to the log odds of a class that `rate` of the sample has: k of its n documents have it. Nearer than SURE standard errors it counts for less."""
+    z = np.abs(k - n * rate) / np.sqrt(n * rate * (1 - rate) + 1)
+    return np.minimum(1, z / SURE) * (np.log((k + PRIOR * rate) / (n - k + PRIOR * (1 - rate))) - math.log(rate / (1 - rate)))
+
+
+def evidence(own: np.ndarray) -> list[float]:
+    """The three highest odds of a document's words, their sum over the root of their number, and how many exceed 1."""
+    top = np.sort(own)[-3:] if len(own) < 3 else np.sort(np.partition(own, len(own) - 3)[-3:])
+    return [*[0.0] * (3 - len(top)), *top.tolist(), float(own.sum()) / math.sqrt(max(1, len(own))), float((own > 1).sum())]
 
 
 @dataclass(frozen=True)
 class Model:
-    """words: what each marked word adds to two sums, its log odds for low quality and for toxic."""
+    """odds: 2 x SLOTS, of low quality and of toxic; mean, scale: of the features; weights: 2 rows, a constant first. None before fitting."""
 
-    words: dict[str, tuple[float, float]]
+    odds: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
-    low: np.ndarray
-    toxic: np.ndarray
-
-    def features(self, text: str) -> list[float]:
-        numbers, own = shape(text)
-        got = [self.words[w] for w in self.words.keys() & own]
-        a, b = [x for x, _ in got], [y for _, y in got]
-        return [*numbers, sum(a), max(a, default=0.0), sum(b), max(b, default=0.0), float(sum(y > 0 for y in b))]
+    weights: np.ndarray
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """n x 2 log odds: low quality, toxic."""
-        if not len(self.low) or not texts:
+        if not len(self.weights) or not texts:
             return np.full((len(texts), 2), -LIMIT)
-        x = (np.array([self.features(t) for t in texts]) - self.mean) / self.scale
-        x = np.column_stack([np.ones(len(x)), x])
-        return np.clip(np.column_stack([x @ self.low, x @ self.toxic]), -LIMIT, LIMIT)
+        rows = []
+        for t in texts:
+            numbers, places = shape(t)
+            rows.append([*numbers, *evidence(self.odds[0][places]), *evidence(self.odds[1][places])])
+        x = (np.array(rows) - self.mean) / self.scale
+        return np.clip(np.column_stack([np.ones(len(x)), x]) @ self.weights.T, -LIMIT, LIMIT)
+
+
+NOTHING = Model(np.zeros((2, 0), np.float32), np.zeros(0), np.ones(0), np.zeros((0, 0)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -105,60 +145,62 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40)
     return w
 
 
-def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    low, toxic, every = Counter(), Counter(), Counter()
-    for b in batches:
-        for text, q, t in zip(b["text"], b["low"], b["toxic"], strict=True):
-            own = shape(text or "")[1]
-            every.update(own)
-            low.update(own if q else ())
-            toxic.update(own if t else ())
-    words = list(every)
-    yield pd.DataFrame({"word": words, "n": [every[w] for w in words], "low": [low[w] for w in words], "toxic": [toxic[w] for w in words]}).astype({"word": str, "n": "int64", "low": "int64", "toxic": "int64"})
-
-
-def _marked(counts: DataFrame, name: str, total: int, bad: int) -> DataFrame:
-    """The words whose share of this class is furthest from the sample's, in standard errors."""
-    rate = bad / max(1, total)
-    z = (F.col(name) - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate) + 1e-9))
-    return counts.where(F.col("n") >= LEAST_DOCS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(MARKED_WORDS)
+def fitted(numbers: np.ndarray, places: list[np.ndarray], labels: np.ndarray) -> Model:
+    """numbers: n rows; places: of each row; labels: n x 2, of low quality and of toxic."""
+    total = len(labels)
+
+    def counted(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(SLOTS, np.int32)
+        for lo in range(0, len(rows), 1000):
+            out += np.bincount(np.concatenate([places[i] for i in rows[lo : lo + 1000]]), minlength=SLOTS).astype(np.int32)
+        return out
+
+    n = counted(np.arange(total))
+    all_odds, features = [], [numbers]
+    for y in labels.T.astype(np.int32):
+        k = counted(np.flatnonzero(y))
+        rate = (y.sum() + 0.5) / (total + 1)
+        features.append(np.array([evidence(odds(n[p] - 1, k[p] - own, rate)) for p, own in zip(places, y, strict=True)]))
+        all_odds.append(odds(n.astype(np.float32), k.astype(np.float32), rate).astype(np.float32))
+    x = np.column_stack(features)
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    x = (x - mean) / scale
+    return Model(np.array(all_odds), mean, scale, np.array([logistic(x, y) for y in labels.T.astype(float)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
-    """docs with labels (doc_id, quality, toxic). The driver gets the features of at most train_rows documents and 2 * MARKED_WORDS words."""
+    """docs with labels (doc_id, quality, toxic). The driver gets the features of at most train_rows documents.
+
+    A document labelled more than once counts as low quality or toxic if any of
+    its labels says so; null labels say nothing, and without either kind a
+    document is not used. Repeated rows of a document count each.
+    """
     ship_code(docs.sparkSession)
-    known = labels.select(F.col("doc_id").cast("long").alias("of"), (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") == 1).cast("int").alias("toxic")).dropna().dropDuplicates(["of"])
+    known = labels.groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max((F.col("quality") == 0).cast("int")).alias("low"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")).dropna()
     known = known.orderBy(F.xxhash64("of"), "of").limit(train_rows)
     sample = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("text")).join(F.broadcast(known), "of")
-    sample = stage(sample.repartition(16, "of").select("text", "low", "toxic"), "labelled")
-    got = sample.agg(F.count(F.lit(1)), F.sum("low"), F.sum("toxic")).first()
-    total, low, toxic = (int(x or 0) for x in got)
-    if not total or not low + toxic:
-        return Model({}, np.zeros(0), np.ones(0), np.zeros(0), np.zeros(0))
-    counts = sample.mapInPandas(_word_counts, "word string, n long, low long, toxic long")
-    counts = stage(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "low", "toxic")]).where(F.col("n") >= LEAST_DOCS), "words")
-
-    def odds(k: int, n: int, bad: int) -> float:
-        return math.log((k + 0.5) / (n - k + 0.5)) - math.log((bad + 0.5) / (total - bad + 0.5))
-
-    words = {r["word"]: (odds(r["low"], r["n"], low), odds(r["toxic"], r["n"], toxic)) for r in _marked(counts, "low", total, low).union(_marked(counts, "toxic", total, toxic)).collect()}
-    bare = Model(words, np.zeros(0), np.ones(0), np.zeros(0), np.zeros(0))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"x": [bare.features(t or "") for t in b["text"]], "low": b["low"], "toxic": b["toxic"]})
+            got = [shape(t if isinstance(t, str) else "") for t in b["text"]]
+            yield pd.DataFrame({"of": b["of"], "x": [x for x, _ in got], "places": [p.tobytes() for _, p in got], "low": b["low"], "toxic": b["toxic"]})
+
+    data = sample.mapInPandas(rows, "of long, x array<double>, places binary, low int, toxic int").toArrow().combine_chunks()
+    labels = np.column_stack([data["low"].to_numpy(), data["toxic"].to_numpy()]).astype("int64").reshape(-1, 2)
+    if not labels.sum():
+        return NOTHING
+    every = [np.frombuffer(p.as_buffer(), np.int32) for p in data["places"]]
+    order = np.lexsort(([len(p) for p in every], data["of"].to_numpy()))
+    numbers = np.array(data["x"].to_pylist())
+    return fitted(numbers[order], [every[i] for i in order], labels[order])
 
-    data = sample.mapInPandas(rows, "x array<double>, low int, toxic int").toPandas()
-    x = np.array(data["x"].tolist())
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    x = (x - mean) / scale
-    return Model(words, mean, scale, logistic(x, data["low"].to_numpy(float)), logistic(x, data["toxic"].to_numpy(float)))
 
+def _scorer(spark: SparkSession, model: Model):
+    held = spark.sparkContext.broadcast(model)
 
-def _scorer(model: Model):
     @F.pandas_udf("low double, toxic double")
     def score(texts: pd.Series) -> pd.DataFrame:
-        got = model.scores([t if isinstance(t, str) else "" for t in texts])
+        got = held.value.scores([t if isinstance(t, str) else "" for t in texts])
         return pd.DataFrame({"low": got[:, 0], "toxic": got[:, 1]})
 
     return score
@@ -195,29 +237,37 @@ def _strength(groups: DataFrame, centre: str) -> float:
     return min(1e6, inside / between) if between > 0 else 1e6
 
 
-def site_shifts(soft: DataFrame) -> DataFrame:
-    """soft (host, path, p): (host, path, shift, prior), what the site adds to a document's log odds.
+def site_sums(soft: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """soft (host, path, p): (of_host, of_path, n, s, host_n, host_s) of every path, the corpus's mean and the strengths of hosts and paths.
 
-    Only sums come together; no group's rows do. The corpus mean, the two
-    strengths and nothing else reach the driver.
+    Only sums come together; no group's rows do. The mean and the two strengths
+    are all that reaches the driver.
     """
     paths = stage(soft.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss")), "site-paths")
     hosts = stage(paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")]), "site-hosts")
     got = hosts.agg(F.sum("s"), F.sum("n")).first()
     mean = min(1 - 1e-6, max(1e-6, (got[0] or 0.0) / max(1, got[1] or 0)))
-    hosts = hosts.withColumn("centre", F.lit(mean))
-    k = _strength(hosts, "centre")
-    hosts = hosts.select(F.col("host").alias("of"), ((F.col("s") + k * mean) / (F.col("n") + k)).alias("centre"))
+    host_k = _strength(hosts.withColumn("centre", F.lit(mean)), "centre")
+    hosts = hosts.select(F.col("host").alias("of"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
     both = stage(paths.join(hosts, F.col("host").eqNullSafe(F.col("of"))).drop("of"), "site-both")
-    k = _strength(both, "centre")
-    prior = (F.col("s") + F.lit(k) * F.col("centre")) / (F.col("n") + F.lit(k))
-    return stage(both.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), prior.alias("prior"), (_logit(prior) - F.lit(math.log(mean / (1 - mean)))).alias("shift")), "site-priors")
+    path_k = _strength(both.withColumn("centre", (F.col("host_s") + F.lit(host_k * mean)) / (F.col("host_n") + F.lit(host_k))), "centre")
+    return both.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "n", "s", "host_n", "host_s"), mean, host_k, path_k
+
 
+def _judged(scored: DataFrame) -> DataFrame:
+    """scored (host, path, score, p, ...): adds prior, p_bad and keep.
 
-def _judged(scored: DataFrame, shifts: DataFrame, host: Column, path: Column) -> DataFrame:
-    """scored has `score`; adds prior, p_bad and keep."""
-    both = scored.join(shifts, host.eqNullSafe(F.col("of_host")) & path.eqNullSafe(F.col("of_path")), "left")
-    x = _logit(_bad(F.col("score"))) + F.coalesce("shift", F.lit(0.0))
+    prior: what the other documents of the path say, shrunk towards the host's,
+    that towards the corpus's mean. The log odds of the document and of its
+    prior, less those of the mean, add up.
+    """
+    sums, mean, host_k, path_k = site_sums(scored)
+    both = scored.join(sums, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")))
+    centre = (F.col("host_s") - F.col("p") + F.lit(host_k * mean)) / (F.col("host_n") - 1 + F.lit(host_k))
+    prior = (F.col("s") - F.col("p") + F.lit(path_k) * centre) / (F.col("n") - 1 + F.lit(path_k))
+    prior = F.greatest(F.lit(0.0), F.least(F.lit(1.0), prior))
+    both = both.withColumn("prior", prior)
+    x = _logit(F.col("p")) + _logit(F.col("prior")) - F.lit(math.log(mean / (1 - mean)))
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
     return both.withColumn("p_bad", p).withColumn("keep", F.col("p_bad") <= F.lit(CUT))
 
@@ -225,26 +275,31 @@ def _judged(scored: DataFrame, shifts: DataFrame, host: Column, path: Column) ->
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, p_low, p_toxic, site_prior, p_bad, keep.
 
-    Null text counts as empty; null hosts and paths are sites of their own;
-    repeated rows are judged alike; labels without a document, with a null or
-    given twice count once or not; without labels of both kinds nothing is
-    rejected; extra columns are not read; no rows give no rows.
+    Null and empty texts have no words; very long ones count whole; null hosts
+    and paths are sites of their own; repeated rows are judged alike; labels
+    without a document count for nothing, contradicting ones as fit() says;
+    without labels of both kinds nothing is rejected; extra columns, whatever
+    their names, are not read; no rows give no rows.
     """
     model = fit(docs, labels, id_col, text_col)
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), _scorer(model)(F.col(text_col)).alias("score"))
-    scored = stage(scored, "scores")
-    shifts = site_shifts(scored.select("host", "path", _bad(F.col("score")).alias("p")))
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), _scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
+    scored = stage(scored.withColumn("p", _bad(F.col("score"))), "scores")
 
     def p(name: str) -> Column:
         return (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("score")[name]))).alias(f"p_{name}")
 
-    return _judged(scored, shifts, F.col("host"), F.col("path")).select("doc_id", p("low"), p("toxic"), F.coalesce("prior", F.lit(0.0)).alias("site_prior"), "p_bad", "keep")
+    return _judged(scored).select("doc_id", p("low"), p("toxic"), F.col("prior").alias("site_prior"), "p_bad", "keep")
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """The rows of docs that are not rejected, all their columns; texts are scored twice rather than shuffled."""
+    """The rows of docs that are not rejected, all their columns; classify() says how nulls, repeats and empty tables count.
+
+    Texts are scored once: what is rejected is named by file and row, and only
+    rows near it are shuffled.
+    """
     model = fit(docs, labels, id_col, text_col)
-    score = _scorer(model)
-    soft = stage(docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), _bad(score(F.col(text_col))).alias("p")), "soft")
-    rows = docs.select(F.struct("*").alias("row"), score(F.col(text_col)).alias("score"))
-    return _judged(rows, site_shifts(soft), F.col("row")[host_col], F.col("row")[path_col]).where("keep").select("row.*")
+    base = placed(docs)
+    row = F.col("row")
+    scored = base.select("file", "line", row[host_col].alias("host"), row[path_col].alias("path"), _scorer(docs.sparkSession, model)(row[text_col]).alias("score"))
+    scored = stage(scored.withColumn("p", _bad(F.col("score"))), "scores")
+    return without(base, _judged(scored).where("not keep").select("file", "line"))
