@@ -110,20 +110,17 @@ def a4(spark, sf):
     """The pion two-point function, summed over all sources."""
     b = Base(spark, sf)
     elem = b.elem().where("op = 0")
-    c = C.twopoint(b.tau(), b.v(elem), b.w(elem))
+    c = C.twopoint(b.tau(), b.v(elem), b.w(elem))  # dense blocks, one einsum a pair of times
     return C.relative(c, D.LT, ()).select("dt", "re", "im")
 
 
-@query("a4_twopoint_blocks", f"{REL}\nSELECT dt, re, im FROM rel WHERE op_snk = 0 AND op_src = 0")
-def a4_blocks(spark, sf):
-    """The same by dense blocks, one einsum a pair of times."""
+@query("a4_twopoint_joins", f"{REL}\nSELECT dt, re, im FROM rel WHERE op_snk = 0 AND op_src = 0")
+def a4_joins(spark, sf):
+    """The same by joins and sums of single entries, for blocks that are too large or too sparse."""
     b = Base(spark, sf)
     elem = b.elem().where("op = 0")
-    c = C.twopoint(b.tau(), b.v(elem), b.w(elem), blocks=True)
-    return C.relative(c, D.LT, ()).select("dt", *[F.round(x).cast("long").alias(x) for x in ("re", "im")])
-
-
-PROF = "bw2.re"
+    c = C.twopoint(b.tau(), b.v(elem), b.w(elem), blocks=False)
+    return C.relative(c, D.LT, ()).select("dt", "re", "im")
 
 
 def _profile_sql(out: str, extra: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tensorloom.plans.einsum import Tensor, contract, contract_blocks, pair
+from tensorloom.plans.einsum import Tensor, contract, contract_blocks, evaluate, pair
 from tensorloom.sources.derived import backward
 
 BW = ("s", "t", "i", "j", "a", "b")
@@ -22,43 +22,47 @@ SOURCE = ("op_src", "s", "l", "i", "d", "a")
 
 
 def operator_elementals(terms: DataFrame, phi: Tensor) -> Tensor:
-    """Per operator and spin matrix the weighted sum of elementals: (op, gamma, t, b, c)."""
-    t = F.broadcast(terms.select("op", "gamma", "coeff", F.col("deriv").alias("d2"), F.col("mom").alias("m2")))
+    """Per operator and spin matrix the weighted sum of elementals: (op, gamma, t, b, c), after cfg where phi has it."""
+    t = terms.select("op", "gamma", "coeff", F.col("deriv").alias("d2"), F.col("mom").alias("m2"))
     rows = phi.frame.join(t, (F.col("deriv") == F.col("d2")) & (F.col("mom") == F.col("m2")))
-    frame = rows.groupBy("op", "gamma", "t", "b", "c").agg(F.sum(F.col("coeff") * F.col("re")).alias("re"), F.sum(F.col("coeff") * F.col("im")).alias("im"))
-    return Tensor(frame, ("op", "gamma", "t", "b", "c"), {**phi.sizes, "op": 4, "gamma": 16}, rows=8.0 * phi.sizes["t"] * phi.sizes["b"] * phi.sizes["c"])
+    axes = (*phi.batch, "op", "gamma", "t", "b", "c")
+    frame = rows.groupBy(*axes).agg(F.sum(F.col("coeff") * F.col("re")).alias("re"), F.sum(F.col("coeff") * F.col("im")).alias("im"))
+    return Tensor(frame, axes, {**phi.sizes, "op": 4, "gamma": 16}, rows=8.0 * phi.sizes["t"] * phi.sizes["b"] * phi.sizes["c"])
 
 
 def vertex(elem: Tensor, gammas: Tensor) -> Tensor:
     """(op, t, j, k, b, c) = sum over an operator's matrices of gamma[j, k] * elemental[b, c]."""
     g = gammas.renamed("gamma", "j", "k")
-    return pair(elem, g, {"op", "t", "j", "k", "b", "c"}).ordered("op", "t", "j", "k", "b", "c")
+    return pair(elem, g, {"op", "t", "j", "k", "b", "c"}).ordered(*elem.batch, "op", "t", "j", "k", "b", "c")
 
 
 def source_vertex(elem: Tensor, source_gammas: Tensor) -> Tensor:
     """The daggered vertex at a source: (op, s, l, i, d, a), elementals conjugated and turned round."""
     g = source_gammas.renamed("gamma", "l", "i")
-    return pair(elem.conj().renamed("op", "gamma", "s", "a", "d"), g, {"op", "s", "l", "i", "d", "a"}).ordered("op", "s", "l", "i", "d", "a")
+    turned = elem.conj().relabelled(t="s", b="a", c="d")
+    return pair(turned, g, {"op", "s", "l", "i", "d", "a"}).ordered(*elem.batch, "op", "s", "l", "i", "d", "a")
 
 
 def twopoint_terms(tau: Tensor, v: Tensor, w: Tensor) -> list[Tensor]:
-    snk = v.renamed(*[x if x != "op" else "op_snk" for x in v.axes])
-    src = w.renamed(*[x if x != "op" else "op_src" for x in w.axes])
-    return [backward(tau), snk, tau.renamed("s", "t", "k", "l", "c", "d"), src]
+    return [backward(tau), v.relabelled(op="op_snk"), tau.relabelled(j="k", i="l", b="c", a="d"), w.relabelled(op="op_src")]
 
 
-def twopoint(tau: Tensor, v: Tensor, w: Tensor, out: tuple[str, ...] = ("op_snk", "op_src"), blocks: bool = False) -> Tensor:
-    """-tr(bw V tau W) for every pair of times: labels out + (s, t)."""
+def twopoint(tau: Tensor, v: Tensor, w: Tensor, out: tuple[str, ...] = ("op_snk", "op_src"), blocks: bool | None = None) -> Tensor:
+    """-tr(bw V tau W) for every pair of times: labels out + (s, t), and cfg where tau has it.
+
+    blocks: dense blocks a pair of times, or joins; None: blocks where they fit a task.
+    """
     labels = (*out, "s", "t")
     terms = twopoint_terms(tau, v, w)
-    got = contract_blocks(terms, labels, ("s", "t")) if blocks else contract(terms, labels)
-    return got.scaled(-1)
+    if blocks is None:
+        return evaluate(terms, labels, ("s", "t")).scaled(-1)
+    return (contract_blocks(terms, labels, ("s", "t")) if blocks else contract(terms, labels)).scaled(-1)
 
 
 def relative(c: Tensor, lt: int, keep: tuple[str, ...]) -> DataFrame:
-    """Sum over sources at fixed dt = (t - s) mod lt."""
+    """Sum over sources at fixed dt = (t - s) mod lt, configuration by configuration."""
     frame = c.frame.withColumn("dt", F.pmod(F.col("t") - F.col("s"), F.lit(lt)))
-    return frame.groupBy(*keep, "dt").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return frame.groupBy(*c.batch, *keep, "dt").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
 def source_average(c: Tensor, lt: int, keep: tuple[str, ...]) -> DataFrame:
@@ -69,17 +73,18 @@ def source_average(c: Tensor, lt: int, keep: tuple[str, ...]) -> DataFrame:
 
 def loops(tau: Tensor, v: Tensor) -> Tensor:
     """tr(tau(t, t) V(t)) per operator: (op, t)."""
-    same = Tensor(tau.frame.where("s = t").drop("s"), ("t", "j", "i", "b", "a"), tau.sizes)
-    return contract([same.renamed("t", "k", "j", "c", "b"), v], ("op", "t"))
+    same = Tensor(tau.frame.where("s = t").drop("s"), tuple(a for a in tau.axes if a != "s"), tau.sizes)
+    return contract([same.relabelled(j="k", i="j", b="c", a="b"), v], ("op", "t"))
 
 
 def isoscalar(connected: DataFrame, sink_loop: Tensor, source_loop: Tensor, lt: int, flavours: int) -> DataFrame:
     """(op_snk, op_src, dt): connected + flavours * sum over s of loop(t) conj loop(s)."""
-    a = sink_loop.renamed("op_snk", "t")
-    b = source_loop.renamed("op_src", "s").conj()
+    a = sink_loop.relabelled(op="op_snk")
+    b = source_loop.relabelled(op="op_src", t="s").conj()
+    keys = (*a.batch, "op_snk", "op_src", "dt")
     loops_ = relative(pair(a, b, {"op_snk", "op_src", "s", "t"}), lt, ("op_snk", "op_src"))
-    both = connected.select("op_snk", "op_src", "dt", "re", "im").unionByName(loops_.select("op_snk", "op_src", "dt", (F.col("re") * flavours).alias("re"), (F.col("im") * flavours).alias("im")))
-    return both.groupBy("op_snk", "op_src", "dt").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    both = connected.select(*keys, "re", "im").unionByName(loops_.select(*keys, (F.col("re") * flavours).alias("re"), (F.col("im") * flavours).alias("im")))
+    return both.groupBy(*keys).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
 def effective_mass(c: DataFrame, lt: int, key: str = "op") -> DataFrame:

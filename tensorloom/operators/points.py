@@ -22,7 +22,7 @@ def displacements(spark: SparkSession) -> DataFrame:
 def matches(pts: DataFrame, moves: DataFrame, extents: tuple[int, int, int]) -> DataFrame:
     """(t, disp, p_l, p_r): pairs of points that a displacement joins, an equi-join on the moved coordinates."""
     lx, ly, lz = extents
-    left = pts.join(F.broadcast(moves)).select(
+    left = pts.join(moves).select(
         "t", "disp", F.col("p").alias("p_l"), F.pmod(F.col("x") + F.col("dx"), F.lit(lx)).alias("x"), F.pmod(F.col("y") + F.col("dy"), F.lit(ly)).alias("y"), F.pmod(F.col("z") + F.col("dz"), F.lit(lz)).alias("z")
     )
     return left.join(pts.select("t", "x", "y", "z", F.col("p").alias("p_r")), ["t", "x", "y", "z"]).select("t", "disp", "p_l", "p_r")

@@ -21,6 +21,11 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a literal table (gamma entries, operator terms) is broadcast.
 LITERAL_ROWS = 4096
+#: Rows that the product of two parts without a common label may have.
+CROSS_ROWS = 1e8
+#: Entries that one batch key's largest operand or result may have to be contracted as dense blocks in one task.
+BLOCK_ENTRIES = 1 << 24
+CFG = "cfg"
 
 
 @dataclass(frozen=True)
@@ -40,6 +45,15 @@ class Tensor:
         columns = [F.col(a).alias(b) for a, b in zip(self.axes, labels, strict=True)]
         return replace(self, frame=self.frame.select(*columns, "re", "im"), axes=labels, sizes=sizes)
 
+    def relabelled(self, **names: str) -> Tensor:
+        """Axes by name; those not named stay, `cfg` among them."""
+        return self.renamed(*[names.get(a, a) for a in self.axes])
+
+    @property
+    def batch(self) -> tuple[str, ...]:
+        """("cfg",) if the tensor holds more than one configuration: a label that no contraction sums over."""
+        return tuple(a for a in self.axes if a == CFG)
+
     def ordered(self, *axes: str) -> Tensor:
         return replace(self, frame=self.frame.select(*axes, "re", "im"), axes=axes)
 
@@ -79,9 +93,12 @@ def summed(frame: DataFrame, keep: Iterable[str]) -> DataFrame:
 def pair(a: Tensor, b: Tensor, keep: set[str]) -> Tensor:
     """Join on the shared labels, multiply, and sum out the labels not in keep."""
     shared = [x for x in a.axes if x in b.axes]
+    keep = set(keep) | {CFG}
+    if not shared and a.expected() * b.expected() > CROSS_ROWS:
+        raise ValueError(f"{a.axes} and {b.axes} share no label and are too large to multiply")
     left, right = (a, b) if not a.literal else (b, a)
     r = right.frame.select(*[F.col(x).alias(f"r_{x}") for x in right.axes], F.col("re").alias("r_re"), F.col("im").alias("r_im"))
-    r = F.broadcast(r) if right.literal else r
+    r = F.broadcast(r) if right.literal and right.expected() <= LITERAL_ROWS else r
     on = [F.col(x) == F.col(f"r_{x}") for x in shared]
     joined = left.frame.join(r, on, "inner") if on else left.frame.crossJoin(r)
     axes = [*left.axes, *[x for x in right.axes if x not in shared]]
@@ -110,8 +127,9 @@ def cost(a: Tensor, b: Tensor, keep: set[str]) -> tuple[float, float]:
 
 
 def contract(operands: list[Tensor], out: tuple[str, ...]) -> Tensor:
-    """The contraction of all operands; out: the labels that stay. Pairs without a shared label are multiplied last."""
+    """The contraction of all operands; out: the labels that stay, `cfg` with them where an operand has it. Pairs without a shared label are multiplied last."""
     work = list(operands)
+    out = with_batch(operands, out)
     if len(work) == 1:
         t = work[0]
         return replace(t, frame=summed(t.frame, out), axes=tuple(out), rows=None)
@@ -132,11 +150,30 @@ def contract(operands: list[Tensor], out: tuple[str, ...]) -> Tensor:
     return replace(last, frame=frame.select(*out, "re", "im"), axes=tuple(out))
 
 
+def with_batch(operands: list[Tensor], out: tuple[str, ...]) -> tuple[str, ...]:
+    """out with `cfg` first if any operand has it: entries of two configurations never meet, tensors without `cfg` hold for all."""
+    return (CFG, *out) if CFG not in out and any(t.batch for t in operands) else tuple(out)
+
+
+def blocks_fit(operands: list[Tensor], out: tuple[str, ...], batch: tuple[str, ...]) -> bool:
+    """Whether the contraction can run as dense blocks: all extents known, every block small, the entries of a key many enough to pay."""
+    sizes = {k: v for t in operands for k, v in t.sizes.items()}
+    inner = [[a for a in t.axes if a not in (*batch, CFG)] for t in operands] + [[a for a in out if a not in (*batch, CFG)]]
+    if any(a not in sizes for x in inner for a in x):
+        return False
+    return 16 <= max(float(np.prod([sizes[a] for a in x])) for x in inner) <= BLOCK_ENTRIES
+
+
 def contract_blocks(operands: list[Tensor], out: tuple[str, ...], batch: tuple[str, ...]) -> Tensor:
     """The same by dense blocks: the entries of one batch key (labels that out keeps) meet in one numpy einsum.
 
-    For operands whose entries a batch key are many but bounded by the axes' extents.
+    An operand becomes one row of packed entries for each value of its own batch
+    labels, so only those rows, not single entries, are repeated for the keys of
+    the other operands. Blocks are dense in the task only. Whole numbers stay
+    whole numbers as long as sums are below 2**53.
     """
+    out = with_batch(operands, out)
+    batch = with_batch(operands, batch)
     labels = sorted({a for t in operands for a in t.axes})
     letter = {a: chr(ord("a") + i) for i, a in enumerate(labels)}
     sizes = {k: v for t in operands for k, v in t.sizes.items()}
@@ -144,37 +181,53 @@ def contract_blocks(operands: list[Tensor], out: tuple[str, ...], batch: tuple[s
     free = [a for a in out if a not in batch]
     spec = ",".join("".join(letter[a] for a in x) for x in inner) + "->" + "".join(letter[a] for a in free)
     shapes = [[sizes[a] for a in x] for x in inner]
-    keys = operands[0].frame.select(*[b for b in batch if b in operands[0].axes])
-    for t in operands[1:]:
-        more = [b for b in batch if b in t.axes and b not in keys.columns]
-        if more:
-            keys = keys.distinct().join(t.frame.select(*[b for b in batch if b in t.axes]).distinct(), [b for b in batch if b in t.axes and b in keys.columns] or None, "inner")
-    keys = keys.distinct()
-    parts = []
-    for i, (t, own) in enumerate(zip(operands, inner, strict=True)):
+    path = np.einsum_path(spec, *[np.broadcast_to(0j, x) for x in shapes], optimize="optimal")[0]
+    whole = all(dict(t.frame.dtypes)[c] in ("bigint", "int") for t in operands for c in ("re", "im"))
+    kinds = {b: dict(t.frame.dtypes)[b] for t in operands for b in t.axes if b in batch}
+    both, names = None, []
+    for i, (t, own) in sorted(enumerate(zip(operands, inner, strict=True)), key=lambda x: -len([b for b in batch if b in x[1][0].axes])):
         flat = F.lit(0).cast("long")
         for a in own:
             flat = flat * sizes[a] + F.col(a)
         on = [b for b in batch if b in t.axes]
-        frame = t.frame.select(*on, flat.alias("at"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
-        frame = frame.join(keys, on) if set(on) != set(batch) and on else (frame.crossJoin(keys) if not on else frame)
-        parts.append(frame.select(*batch, F.lit(i).alias("which"), "at", "re", "im"))
-    every = reduce(DataFrame.unionByName, parts)
-    schema = ", ".join([f"{a} long" for a in out] + ["re double", "im double"])
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        blocks = []
-        for i, shape in enumerate(shapes):
-            own = rows[rows["which"] == i]
-            x = np.zeros(int(np.prod(shape)) if shape else 1, complex)
-            np.add.at(x, own["at"].to_numpy(), own["re"].to_numpy() + 1j * own["im"].to_numpy())
-            blocks.append(x.reshape(shape))
-        got = np.einsum(spec, *blocks, optimize=True)
-        at = np.indices(got.shape).reshape(len(free), -1) if free else np.zeros((0, 1), int)
-        made = {a: at[i] for i, a in enumerate(free)} | {b: np.full(max(1, got.size), k) for b, k in zip(batch, key, strict=True)}
-        return pd.DataFrame({**made, "re": got.reshape(-1).real, "im": got.reshape(-1).imag})[[*out, "re", "im"]]
-
-    return Tensor(every.groupBy(*batch).applyInPandas(run, schema), tuple(out), sizes)
+        entry = F.struct(flat.alias("at"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+        rows = t.frame.select(*on, entry.alias("x")).groupBy(*on).agg(F.collect_list("x").alias("x"))
+        rows = rows.select(*on, *[F.col("x")[c].alias(f"{c}{i}") for c in ("at", "re", "im")])
+        common = [b for b in on if b in names]
+        both = rows if both is None else (both.join(rows, common) if common else both.crossJoin(rows))
+        names += [b for b in on if b not in names]
+    number = "long" if whole else "double"
+    schema = ", ".join([f"{a} {kinds.get(a, 'long')}" for a in out] + [f"re {number}", f"im {number}"])
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for frame in frames:
+            made: list[np.ndarray] = []
+            for row in frame.to_dict("records"):
+                dense = []
+                for i, shape in enumerate(shapes):
+                    x = np.zeros(int(np.prod(shape)) if shape else 1, complex)
+                    np.add.at(x, np.asarray(row[f"at{i}"], np.int64), np.asarray(row[f"re{i}"], float) + 1j * np.asarray(row[f"im{i}"], float))
+                    dense.append(x.reshape(shape))
+                made.append(np.einsum(spec, *dense, optimize=path))
+            if not made:
+                continue
+            got = np.array(made)
+            n = got[0].size
+            at = np.indices(got.shape[1:]).reshape(len(free), n) if free else np.zeros((0, n), int)
+            columns = {a: np.tile(at[i], len(made)) for i, a in enumerate(free)} | {b: np.repeat(frame[b].to_numpy(), n) for b in batch}
+            re, im = got.real.reshape(-1), got.imag.reshape(-1)
+            if whole:
+                if max(np.abs(re).max(initial=0), np.abs(im).max(initial=0)) >= 2.0**53:
+                    raise OverflowError("sums beyond 2**53: use joins")
+                re, im = np.rint(re).astype("i8"), np.rint(im).astype("i8")
+            yield pd.DataFrame({**columns, "re": re, "im": im})[[*out, "re", "im"]]
+
+    return Tensor(both.mapInPandas(run, schema), tuple(out), sizes)
+
+
+def evaluate(operands: list[Tensor], out: tuple[str, ...], batch: tuple[str, ...]) -> Tensor:
+    """As dense blocks where they fit a task, else by joins."""
+    return contract_blocks(operands, out, batch) if blocks_fit(operands, out, batch) else contract(operands, out)
 
 
 # --- the same expression as flat SQL ---------------------------------------------------------

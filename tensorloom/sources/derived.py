@@ -8,6 +8,7 @@ the values. Both forms of each table are here, frame and DuckDB text.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import replace
 from functools import wraps
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from tensorloom.functions.gamma import entries, gamma, sign, source_dagger
 from tensorloom.plans.einsum import Tensor
 
-LT, NE, NS, NC = 8, 6, 4, 2
+#: Times and modes; other extents by the environment, before the import (bench.py takes 16 x 12 for the larger tables).
+LT, NE = int(os.environ.get("TENSORLOOM_LT", "8")), int(os.environ.get("TENSORLOOM_NE", "6"))
+NS, NC = 4, 2
 #: Sites of a time slice: x, y, z; the vector index runs colour first, then x, y, z.
 LX, LY, LZ = 4, 2, 2
 NX = NC * LX * LY * LZ
@@ -35,12 +38,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _HELD: dict[tuple[str, str, str], Tensor | DataFrame] = {}
 
 
+_STATES: dict[tuple[str, str], tuple] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Paths, sizes and times of a folder's files, two levels deep: what is held is made anew when they change."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def listed(path, deep: int) -> list[tuple]:
+        return [x for f in fs.listStatus(path) for x in ([(str(f.getPath()), f.getLen(), f.getModificationTime())] + (listed(f.getPath(), deep - 1) if f.isDirectory() and deep else []))]
+
+    return tuple(sorted(listed(hadoop, 1)))
+
+
+def _free(x: Tensor | DataFrame) -> None:
+    try:
+        (x.frame if isinstance(x, Tensor) else x).unpersist()
+    except Exception as e:  # noqa: BLE001  the session may have ended
+        if "stopped" not in str(e).lower() and "connection" not in str(e).lower():
+            raise
+
+
 def held(build: Callable) -> Callable:
-    """A derived tensor is made once for a session and folder, and kept in memory or on local disk until release()."""
+    """A derived tensor is made once for a session and folder, and kept in memory or on local disk until release() or until the tables change."""
 
     @wraps(build)
     def get(spark: SparkSession, sf_dir: str):
         key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+        state = _state(spark, sf_dir)
+        if _STATES.setdefault(key[:2], state) != state:  # the tables have changed
+            _STATES[key[:2]] = state
+            for old in [k for k in _HELD if k[:2] == key[:2]]:
+                _free(_HELD.pop(old))
         if key not in _HELD:
             made = build(spark, sf_dir)
             frame = (made.frame if isinstance(made, Tensor) else made).persist(StorageLevel.MEMORY_AND_DISK)
@@ -53,11 +83,7 @@ def held(build: Callable) -> Callable:
 def release() -> None:
     """Frees all derived tensors, for example when the tables have changed."""
     for x in _HELD.values():
-        try:
-            (x.frame if isinstance(x, Tensor) else x).unpersist()
-        except Exception as e:  # noqa: BLE001  the session may have ended
-            if "stopped" not in str(e).lower() and "connection" not in str(e).lower():
-                raise
+        _free(x)
     _HELD.clear()
 
 
@@ -130,8 +156,9 @@ def backward(tau: Tensor) -> Tensor:
     """The propagator from t back to s, g5 tau^dagger g5: (s, t, i, j, a, b)."""
     odd = ((F.col("i") >= 2) != (F.col("j") >= 2)).cast("long")
     sgn = 1 - 2 * odd
-    frame = tau.frame.select("s", "t", "i", "j", "a", "b", (F.col("re") * sgn).alias("re"), (-F.col("im") * sgn).alias("im"))
-    return Tensor(frame, ("s", "t", "i", "j", "a", "b"), tau.sizes)
+    axes = (*tau.batch, "s", "t", "i", "j", "a", "b")
+    frame = tau.frame.select(*axes, (F.col("re") * sgn).alias("re"), (-F.col("im") * sgn).alias("im"))
+    return Tensor(frame, axes, tau.sizes)
 
 
 BW_SQL = "bw AS (SELECT s, t, i, j, a, b, re * CASE WHEN (i >= 2) <> (j >= 2) THEN -1 ELSE 1 END AS re, -im * CASE WHEN (i >= 2) <> (j >= 2) THEN -1 ELSE 1 END AS im FROM tau)"
