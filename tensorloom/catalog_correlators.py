@@ -133,7 +133,7 @@ def _profile_sql(out: str, extra: str) -> str:
 def a5(spark, sf):
     """Two-point functions resolved by the two source modes."""
     b = Base(spark, sf)
-    c = C.twopoint(b.tau(), b.v(), b.w(), ("op_snk", "op_src", "a", "d"))
+    c = C.twopoint(b.tau(), b.v(), b.w(), ("op_snk", "op_src", "a", "d"), blocks=False)
     return C.relative(c, D.LT, ("op_snk", "op_src", "a", "d"))
 
 
@@ -141,7 +141,7 @@ def a5(spark, sf):
 def a6(spark, sf):
     """The part diagonal in the source modes."""
     b = Base(spark, sf)
-    c = C.twopoint(b.tau(), b.v(), b.w().where("a = d"), ("op_snk", "op_src", "a"))
+    c = C.twopoint(b.tau(), b.v(), b.w().where("a = d"), ("op_snk", "op_src", "a"), blocks=False)
     return C.relative(c, D.LT, ("op_snk", "op_src", "a"))
 
 

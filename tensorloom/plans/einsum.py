@@ -169,7 +169,7 @@ def contract_blocks(operands: list[Tensor], out: tuple[str, ...], batch: tuple[s
 
     An operand becomes one row of packed entries for each value of its own batch
     labels, so only those rows, not single entries, are repeated for the keys of
-    the other operands. Blocks are dense in the task only. Whole numbers stay
+    the other operands. Blocks are dense in the task only; zeros are left out again. Whole numbers stay
     whole numbers as long as sums are below 2**53.
     """
     out = with_batch(operands, out)
@@ -220,7 +220,7 @@ def contract_blocks(operands: list[Tensor], out: tuple[str, ...], batch: tuple[s
                 if max(np.abs(re).max(initial=0), np.abs(im).max(initial=0)) >= 2.0**53:
                     raise OverflowError("sums beyond 2**53: use joins")
                 re, im = np.rint(re).astype("i8"), np.rint(im).astype("i8")
-            yield pd.DataFrame({**columns, "re": re, "im": im})[[*out, "re", "im"]]
+            yield pd.DataFrame({**columns, "re": re, "im": im})[[*out, "re", "im"]][(re != 0) | (im != 0)]
 
     return Tensor(both.mapInPandas(run, schema), tuple(out), sizes)
 

@@ -1,9 +1,13 @@
+from functools import reduce
+
 import numpy as np
+from pyspark.sql import DataFrame
 
 from tensorloom.catalog_correlators import Base, Points
 from tensorloom.functions.gamma import gamma, source_dagger
 from tensorloom.operators import correlators as C
 from tensorloom.operators import points as P
+from tensorloom.plans.einsum import Tensor
 from tensorloom.sources import derived as D
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +126,29 @@ def test_current_vertices_sum_over_ends_and_points(spark):
                     for snk, src, n, snk2, src2, o in product(range(2), repeat=6)
                 )
         assert abs(got.re - want.real) < 1e-6 and abs(got.im - want.imag) < 1e-6
+
+
+def test_configurations_never_meet(spark):
+    """Two configurations in one contraction give what each gives alone, as joins and as blocks."""
+    rng = np.random.default_rng(11)
+    gammas = D.gammas(spark)
+
+    def frame(cfg, axes, x):
+        rows = [(cfg, *map(int, i), int(x[i].real), int(x[i].imag)) for i in np.ndindex(*x.shape) if x[i] != 0]
+        return spark.createDataFrame(rows, f"cfg string, {', '.join(f'{a} long' for a in axes)}, re long, im long")
+
+    def entries(*shape):
+        return rng.integers(-2, 3, shape) * (rng.random(shape) < 0.3) + 1j * rng.integers(-2, 3, shape)
+
+    axes = ("s", "t", "j", "i", "b", "a"), ("op", "gamma", "t", "b", "c")
+    sizes = {"s": 2, "t": 2, "j": 4, "i": 4, "b": 3, "a": 3, "op": 1, "gamma": 16, "c": 3}
+    one = [(entries(2, 2, 4, 4, 3, 3), np.where(np.arange(16)[None, :, None, None, None] == 15, entries(1, 16, 2, 3, 3), 0)) for _ in range(2)]
+    got = {}
+    for name, picked in (("both", (0, 1)), ("first", (0,)), ("second", (1,))):
+        tau, elem = (Tensor(reduce(DataFrame.unionByName, [frame(f"c{k}", axes[n], one[k][n]) for k in picked]), ("cfg", *axes[n]), sizes) for n in (0, 1))
+        v, w = C.vertex(elem, gammas), C.source_vertex(elem, D.gammas(spark, True))
+        for blocks in (True, False):
+            rows = C.relative(C.twopoint(tau, v, w, (), blocks=blocks), 2, ()).collect()
+            got[name, blocks] = {(r.cfg, r.dt): (r.re, r.im) for r in rows if r.re or r.im}
+    assert got["both", True] == got["both", False] == got["first", True] | got["second", True]
+    assert got["first", True] == got["first", False] and {c for c, _ in got["both", True]} == {"c0", "c1"}
