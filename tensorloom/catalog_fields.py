@@ -84,12 +84,16 @@ def n2(spark, sf):
     return X.eigenvalues(u, EXT, D.NC, D.NE).withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query("n2_eigenmode_norms", f"SELECT t.range AS t, e.range AS e, CAST(1 AS DOUBLE) AS norm FROM range({D.LT}) t, range({D.NE}) e")
+@query("n2_eigenmode_residuals", f"SELECT t.range AS t, e.range AS e, CAST(1 AS DOUBLE) AS norm, CAST(0 AS DOUBLE) AS residual FROM range({D.LT}) t, range({D.NE}) e")
 def n2_modes(spark, sf):
-    """Every mode has norm 1."""
+    """Norm of every mode v, and of (laplacian - value) v, the laplacian by hops on rows and the value as found."""
     u = X.projected(_regular(gauge(spark, sf)), EXT, D.NC)
     v = X.eigenmodes(u, EXT, D.NC, D.NE)
-    return v.groupBy("t", "e").agg(F.round(F.sum(F.col("re") ** 2 + F.col("im") ** 2), 6).alias("norm"))
+    keys = ["t", "e", "x", "y", "z", "c"]
+    moved = X.laplacian(v, u, EXT, ("e",)).select(*keys, F.col("re").alias("re2"), F.col("im").alias("im2"))
+    both = v.join(moved, keys).join(X.eigenvalues(u, EXT, D.NC, D.NE), ["t", "e"])
+    off = (F.col("re2") - F.col("value") * F.col("re")) ** 2 + (F.col("im2") - F.col("value") * F.col("im")) ** 2
+    return both.groupBy("t", "e").agg(F.round(F.sum(F.col("re") ** 2 + F.col("im") ** 2), 6).alias("norm"), F.round(F.sqrt(F.sum(off)), 6).alias("residual"))
 
 
 def _regular(u: DataFrame) -> DataFrame:
@@ -106,21 +110,37 @@ def _regular(u: DataFrame) -> DataFrame:
     return both.select("t", "x", "y", "z", "mu", "a", "b", (F.coalesce("re", F.lit(0)) + one).alias("re"), F.coalesce("im", F.lit(0)).cast("double").alias("im"))
 
 
-UNIT = f"SELECT t.range AS t, m.range AS mu, CAST({16 * D.NC} AS DOUBLE) AS weight FROM range({D.LT}) t, range(3) m"
+#: The unitary part of 2 x 2 matrices m in closed form: (m + phase(det m) cof(m)*) / sqrt(|m|^2 + 2 |det m|).
+UNITARY_SQL = f"""{U_SQL},
+g AS (SELECT t.range AS t, x.range AS x, y.range AS y, z.range AS z, mu.range AS mu FROM range({D.LT}) t, range({D.LX}) x, range({D.LY}) y, range({D.LZ}) z, range(3) mu),
+m AS (SELECT g.t, g.x, g.y, g.z, g.mu, {", ".join(f"{9 * (a == b)} + coalesce(sum(u.re) FILTER (WHERE u.a = {a} AND u.b = {b}), 0) AS r{a}{b}, coalesce(sum(u.im) FILTER (WHERE u.a = {a} AND u.b = {b}), 0) AS i{a}{b}" for a in (0, 1) for b in (0, 1))}
+  FROM g LEFT JOIN u ON u.t = g.t AND u.x = g.x AND u.y = g.y AND u.z = g.z AND u.mu = g.mu GROUP BY ALL),
+dt AS (SELECT *, CAST(r00 * r11 - i00 * i11 - r01 * r10 + i01 * i10 AS DOUBLE) AS dr, CAST(r00 * i11 + i00 * r11 - r01 * i10 - i01 * r10 AS DOUBLE) AS di,
+  CAST(r00 * r00 + i00 * i00 + r01 * r01 + i01 * i01 + r10 * r10 + i10 * i10 + r11 * r11 + i11 * i11 AS DOUBLE) AS ff FROM m),
+ph AS (SELECT *, dr / sqrt(dr * dr + di * di) AS pr, di / sqrt(dr * dr + di * di) AS pi_, sqrt(ff + 2 * sqrt(dr * dr + di * di)) AS s FROM dt),
+uu AS (SELECT t, x, y, z, mu, (r00 + pr * r11 + pi_ * i11) / s AS a_re, (i00 + pi_ * r11 - pr * i11) / s AS a_im, (r01 - pr * r10 - pi_ * i10) / s AS b_re, (i01 - pi_ * r10 + pr * i10) / s AS b_im,
+  (r10 - pr * r01 - pi_ * i01) / s AS c_re, (i10 - pi_ * r01 + pr * i01) / s AS c_im, (r11 + pr * r00 + pi_ * i00) / s AS d_re, (i11 + pi_ * r00 - pr * i00) / s AS d_im FROM ph)"""
 
 
-@query("n3_unitary_projection", UNIT)
+@query(
+    "n3_unitary_projection",
+    f"WITH {UNITARY_SQL}\nSELECT t, mu, a, b, round(sum(re), 6) + 0.0 AS re, round(sum(im), 6) + 0.0 AS im FROM ("
+    + " UNION ALL ".join(f"SELECT t, mu, CAST({a} AS BIGINT) AS a, CAST({b} AS BIGINT) AS b, (x + 2 * y + 3 * z + 1) * {n}_re AS re, (x + 2 * y + 3 * z + 1) * {n}_im AS im FROM uu" for n, a, b in (("a", 0, 0), ("b", 0, 1), ("c", 1, 0), ("d", 1, 1)))
+    + ") GROUP BY ALL",
+)
 def n3(spark, sf):
-    """Sum of |entries|^2 of each slice and direction: colours times sites, as for any unitary field."""
+    """The projected links of each slice and direction, entry by entry, summed with a weight that tells sites apart."""
     u = X.projected(_regular(gauge(spark, sf)), EXT, D.NC)
-    return u.groupBy("t", "mu").agg(F.round(F.sum(F.col("re") ** 2 + F.col("im") ** 2), 6).alias("weight"))
+    site = F.col("x") + 2 * F.col("y") + 3 * F.col("z") + 1
+    return u.groupBy("t", "mu", "a", "b").agg((F.round(F.sum(site * F.col("re")), 6) + 0.0).alias("re"), (F.round(F.sum(site * F.col("im")), 6) + 0.0).alias("im"))
 
 
-@query("n4_stout_smearing", UNIT)
+@query("n4_stout_smearing")
 def n4(spark, sf):
-    """Smearing keeps links unitary."""
+    """Smeared links of each slice and direction: sum of |entries|^2 (unitary) and of their real traces; a test holds them against loops over sites."""
     u = X.smeared(X.projected(_regular(gauge(spark, sf)), EXT, D.NC), EXT, D.NC, 2, 0.1)
-    return u.groupBy("t", "mu").agg(F.round(F.sum(F.col("re") ** 2 + F.col("im") ** 2), 6).alias("weight"))
+    trace = F.when(F.col("a") == F.col("b"), F.col("re")).otherwise(0.0)
+    return u.groupBy("t", "mu").agg(F.round(F.sum(F.col("re") ** 2 + F.col("im") ** 2), 6).alias("weight"), F.round(F.sum(trace), 6).alias("trace"))
 
 
 @query("n5_elementals", f"WITH {D.V_SQL},\n{D.PHI_SQL}\nSELECT deriv, mom, t, b, c, re, im FROM phi")

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tensorloom.catalog_correlators import BASE, LOOP, Base
+from tensorloom.catalog_correlators import BASE, LOOP, REL, Base
 from tensorloom.functions import gamma as G
 from tensorloom.functions import links as L
 from tensorloom.functions import momenta as M
+from tensorloom.operators import correlators as C
 from tensorloom.operators import construction as O
 from tensorloom.plans import diagrams as D
 from tensorloom.plans import symmetry as S
@@ -118,7 +119,11 @@ def g7(spark, sf):
     return rows(spark, [(i, len(w), *L.displacement(w)) for i in range(L.words_shorter(5)) for w in [L.link_word(i)]], "idx long, length long, dx long, dy long, dz long")
 
 
-@query("g8_link_conjugates")
+#: The letters of a word beside its number, then the two maps letter by letter.
+WORD_SQL = L.LINK_SQL.replace("w(idx, len, last, dx, dy, dz)", "w(idx, len, last, dx, dy, dz, word)").replace("SELECT 0, 0, -1, 0, 0, 0\n", "SELECT 0, 0, -1, 0, 0, 0, ''\n").replace("WHEN 5 THEN -1 ELSE 0 END\n  FROM", "WHEN 5 THEN -1 ELSE 0 END,\n    word || l\n  FROM")
+
+
+@query("g8_link_conjugates", WORD_SQL + "SELECT CAST(idx AS BIGINT) AS idx, translate(reverse(word), '012345', '345012') AS conjugate, translate(word, '012345', '345012') AS inverse FROM w WHERE len < 4")
 def g8(spark, sf):
     """Reversed and inverted words, by array functions on the letters."""
     base = rows(spark, [(i, list(L.link_word(i))) for i in range(L.words_shorter(4))], "idx long, word array<int>")
@@ -515,14 +520,16 @@ def y14(spark, sf):
     return rows(spark, out, "rep string, parity int, n int, momentum string, coeff double")
 
 
-@query("y17_diagonalised")
+@query("y17_diagonalised", f"{REL},\nh AS (SELECT sum(re) FILTER (WHERE op_snk = 0 AND op_src = 0) AS a, sum(re) FILTER (WHERE op_snk = 1 AND op_src = 1) AS d, (coalesce(sum(re) FILTER (WHERE op_snk = 0 AND op_src = 1), 0) + coalesce(sum(re) FILTER (WHERE op_snk = 1 AND op_src = 0), 0)) / 2.0 AS br, (coalesce(sum(im) FILTER (WHERE op_snk = 0 AND op_src = 1), 0) - coalesce(sum(im) FILTER (WHERE op_snk = 1 AND op_src = 0), 0)) / 2.0 AS bi FROM rel WHERE dt = 0)\nSELECT CAST(n AS INTEGER) AS n, round((a + d) / 2.0 + (2 * n - 1) * sqrt(pow((a - d) / 2.0, 2) + br * br + bi * bi), 2) AS value FROM h, (VALUES (0), (1)) v(n)")
 def y17(spark, sf):
-    """Eigenvalues of a fixed Hermitian 2 x 2 example; no table is read, and singular values (other matrices) are not reached."""
-    c = [[3.0, 1.0 + 1j], [1.0 - 1j, 2.0]]
-    return rows(spark, [(i, round(float(x), 6)) for i, x in enumerate(S.diagonalise(np.array(c))[1])], "n int, value double")
-
-
-SQL["y17_diagonalised"] = "SELECT CAST(n AS INTEGER) AS n, CAST(value AS DOUBLE) AS value FROM (VALUES (0, 1.0), (1, 4.0)) v(n, value)"
+    """Eigenvalues of the Hermitian part of the matrix of operator correlators at dt = 0, two operators."""
+    b = Base(spark, sf)
+    elem = b.elem().where("op < 2")
+    got = C.relative(C.twopoint(b.tau(), b.v(elem), b.w(elem)), T.LT, ("op_snk", "op_src")).where("dt = 0").collect()
+    c = np.zeros((2, 2), complex)
+    for r in got:
+        c[r.op_snk, r.op_src] = complex(r.re, r.im)
+    return rows(spark, [(i, round(float(x), 2)) for i, x in enumerate(S.diagonalise((c + c.conj().T) / 2)[1])], "n int, value double")
 
 
 @query("y18_link_orbits")
