@@ -122,7 +122,8 @@ def ensemble_covariance(values: DataFrame, key: str, by: str = "cfg") -> DataFra
 def overlap(v: Tensor, pts: DataFrame, lx: int, ly: int, nc: int) -> Tensor:
     """M(t, e, p, c): eigenvectors at the points, one look-up join on coordinates."""
     x = F.col("x")
-    at = v.frame.select("t", "e", (x % nc).alias("c"), (F.floor(x / nc) % lx).cast("long").alias("vx"), (F.floor(x / (nc * lx)) % ly).cast("long").alias("vy"), F.floor(x / (nc * lx * ly)).cast("long").alias("vz"), "re", "im")
+    at = v.frame.select(*v.batch, "t", "e", (x % nc).alias("c"), (F.floor(x / nc) % lx).cast("long").alias("vx"), (F.floor(x / (nc * lx)) % ly).cast("long").alias("vy"), F.floor(x / (nc * lx * ly)).cast("long").alias("vz"), "re", "im")
     p = pts.select(F.col("t").alias("pt"), "p", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
     frame = at.join(p, (F.col("t") == F.col("pt")) & (F.col("vx") == F.col("px")) & (F.col("vy") == F.col("py")) & (F.col("vz") == F.col("pz")))
-    return Tensor(frame.select("t", "e", "p", "c", "re", "im"), ("t", "e", "p", "c"), {"t": v.sizes["t"], "e": v.sizes["e"], "p": 12, "c": nc})
+    axes = (*v.batch, "t", "e", "p", "c")
+    return Tensor(frame.select(*axes, "re", "im"), axes, {"t": v.sizes["t"], "e": v.sizes["e"], "p": 12, "c": nc})

@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 Extents = tuple[int, int, int]
 
 
+def one_configuration(*frames: DataFrame) -> None:
+    """Fields carry no configuration: rows of several would mix, so such frames are refused."""
+    if any("cfg" in f.columns for f in frames):
+        raise ValueError("fields hold one configuration: choose it and drop cfg")
+
+
 def moved(direction: int, ext: Extents, steps: int = 1) -> dict[str, Column]:
     """Coordinates one step ahead in a direction 0..2 (back for 3..5), periodic."""
     out = {c: F.col(c) for c in ("x", "y", "z")}
@@ -31,6 +37,7 @@ def hop(field: DataFrame, gauge: DataFrame, direction: int, ext: Extents, keys:
 
     field: (t, x, y, z, c, keys, re, im); gauge: (t, x, y, z, mu, a, b, re, im).
     """
+    one_configuration(field, gauge)
     u = gauge.where(F.col("mu") == direction % 3)
     if direction < 3:
         at = moved(direction + 3, ext)
@@ -73,6 +80,7 @@ def transport(gauge: DataFrame, start: DataFrame, word: tuple[int, ...], ext: Ex
     start: (t, p, x, y, z). A forward letter reads the link here and then moves;
     a backward one moves and then reads the daggered link.
     """
+    one_configuration(gauge, start)
     unit = F.explode(F.array(*[F.lit(i).cast("long") for i in range(colours)]))
     now = start.select("t", "p", "x", "y", "z", unit.alias("a")).select("t", "p", "x", "y", "z", "a", F.col("a").alias("b"), F.lit(1).cast("long").alias("re"), F.lit(0).cast("long").alias("im"))
     for d in word:
@@ -184,6 +192,7 @@ def lowest_modes(u: np.ndarray, modes: int) -> tuple[np.ndarray, np.ndarray]:
 
 def by_slice(gauge: DataFrame, ext: Extents, colours: int, work: Callable[[np.ndarray, int], pd.DataFrame], schema: str) -> DataFrame:
     """work on each time slice's links, as blocks; a slice fits a task."""
+    one_configuration(gauge)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return work(gauge_block(rows, ext, colours), int(key[0]))

@@ -1,6 +1,7 @@
 """Derivative elementals against numpy."""
 
 import numpy as np
+import pytest
 
 from tensorloom import catalog_fields as C
 from tensorloom.operators import fields as X
@@ -76,3 +77,11 @@ def test_stout_against_loops_over_sites():
     want = once(once(u))
     assert np.allclose(got, want, atol=1e-10)
     assert not np.allclose(got, u, atol=1e-3)
+
+
+def test_fields_of_several_configurations_are_refused(spark):
+    f, u = C.field(spark, SF).selectExpr("'c0' AS cfg", "*"), C.gauge(spark, SF)
+    with pytest.raises(ValueError):
+        X.hop(f, u, 0, C.EXT, ("e",))
+    with pytest.raises(ValueError):
+        X.projected(u.selectExpr("'c0' AS cfg", "*"), C.EXT, D.NC)
