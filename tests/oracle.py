@@ -21,7 +21,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(df: pd.DataFrame) -> list[tuple]:
     def one(v) -> str:
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         return format(v, ".10g") if isinstance(v, (float, int)) and not isinstance(v, bool) else str(v)
 
