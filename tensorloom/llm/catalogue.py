@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm import chat, config_packing, exact_dedup, line_dedup, media, mixing, quality, simhash, token_output, url_filter
+from tensorloom.llm import chat, config_packing, divergence, exact_dedup, jaccard_join, line_dedup, media, mixing, quality, resampling, simhash, token_output, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_classes(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
@@ -67,6 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
         "op10_media_columns": op10_media_columns,
+        "op11_jaccard": op11_jaccard,
+        "op12_divergence": op12_divergence,
+        "op13_resampling": op13_resampling,
     }
 
 
@@ -76,4 +91,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": exact_dedup.SQL,
         "op6_line_dedup": line_dedup.SQL,
         "op9_url_filter": url_filter.SQL,
+        "op12_divergence": divergence.SQL,
+        "op13_resampling": resampling.SQL,
     }
