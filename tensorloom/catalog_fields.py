@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions.links import conjugate
 from tensorloom.operators import correlators as C
 from tensorloom.operators import fields as X
+from tensorloom.operators import modes as M
 from tensorloom.plans.einsum import Tensor, contract, flat_sql
 from tensorloom.sources import derived as D
+from tensorloom.sources.staging import cut
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -96,6 +99,17 @@ def n2_modes(spark, sf):
     return both.groupBy("t", "e").agg(F.round(F.sum(F.col("re") ** 2 + F.col("im") ** 2), 6).alias("norm"), F.round(F.sqrt(F.sum(off)), 6).alias("residual"))
 
 
+@query("n2_iterative_modes", f"SELECT t.range AS t, e.range AS e, CAST(1 AS DOUBLE) AS norm, CAST(0 AS DOUBLE) AS residual FROM range({D.LT}) t, range({D.NE}) e")
+def n2_iterative(spark, sf):
+    """The same for modes found by filtered iteration on rows; values and spaces are held against dense ones by a test."""
+    u = cut(X.projected(_regular(gauge(spark, sf)), EXT, D.NC))
+    v = M.lowest(u, EXT, D.NE)
+    keys = ["t", "e", "x", "y", "z", "c"]
+    moved = X.laplacian(v, u, EXT, ("e",)).select(*keys, F.col("re").alias("re2"), F.col("im").alias("im2"))
+    off = (F.col("re2") - F.col("value") * F.col("re")) ** 2 + (F.col("im2") - F.col("value") * F.col("im")) ** 2
+    return v.join(moved, keys).groupBy("t", "e").agg(F.round(F.sum(F.col("re") ** 2 + F.col("im") ** 2), 6).alias("norm"), F.round(F.sqrt(F.sum(off)), 6).alias("residual"))
+
+
 def _regular(u: DataFrame) -> DataFrame:
     """Links made invertible: nine times the unit matrix added; missing cells are filled."""
     s = u.sparkSession
@@ -152,30 +166,25 @@ def n5(spark, sf):
 PATHS: tuple[tuple[int, ...], ...] = ((), (0,), (2,), (0, 1))
 
 
-def nabla(f: DataFrame, u: DataFrame, path: tuple[int, ...]) -> DataFrame:
-    """Covariant forward minus backward hop in each direction of the path, the first one first."""
-    for d in path:
-        back = X.hop(f, u, d + 3, EXT, ("e",)).select(*AX, (-F.col("re")).alias("re"), (-F.col("im")).alias("im"))
-        f = X.mean_of({0: X.hop(f, u, d, EXT, ("e",)), 1: back}, AX, 1)
-    return f
-
-
 def derivative_elementals(f: DataFrame, u: DataFrame, paths=PATHS, coeff: DataFrame | None = None) -> DataFrame:
     """(path, mom, t, b, c): sum over all splits of a path of (-1)^right, conj (left part, reversed) times phase times right part.
 
     coeff (b, c, cr, ci): optional blending coefficients, a factor of each entry.
     """
-    out = None
+    splits = []
     for n, path in enumerate(paths):
         for pick in range(1 << len(path)):
             right = tuple(d for i, d in enumerate(path) if pick >> i & 1)
             left = tuple(d for i, d in enumerate(path) if not pick >> i & 1)[::-1]
-            s = (-1) ** len(right)
-            a = nabla(f, u, left).select("t", "x", "y", "z", F.col("c").alias("k"), F.col("e").alias("b"), F.col("re").alias("ar"), F.col("im").alias("ai"))
-            b = nabla(f, u, right).select("t", "x", "y", "z", F.col("c").alias("k"), F.col("e").alias("c"), "re", "im")
-            both = a.join(b, ["t", "x", "y", "z", "k"]).groupBy("t", "x", "y", "z", "b", "c").agg((s * F.sum(F.col("ar") * F.col("re") + F.col("ai") * F.col("im"))).alias("re"), (s * F.sum(F.col("ar") * F.col("im") - F.col("ai") * F.col("re"))).alias("im"))
-            both = both.withColumn("path", F.lit(n).cast("long"))
-            out = both if out is None else out.unionByName(both)
+            splits.append((n, left, right, (-1) ** len(right)))
+    tree = X.WordTree([p for _, left, right, _ in splits for p in (left, right)], forward=True)
+    made = X.derived_by_paths(f, u, tree, EXT, ("e",), D.kept)
+    pairs = f.sparkSession.createDataFrame([(n, tree.number[left], tree.number[right], s) for n, left, right, s in splits], "path long, nl long, nr long, s long")
+    a = made.join(F.broadcast(pairs), F.col("node") == F.col("nl")).select("path", "nr", "s", "t", "x", "y", "z", F.col("c").alias("k"), F.col("e").alias("b"), F.col("re").alias("ar"), F.col("im").alias("ai"))
+    b = made.select(F.col("node").alias("nr"), "t", "x", "y", "z", F.col("c").alias("k"), F.col("e").alias("c"), "re", "im")
+    out = a.join(b, ["nr", "t", "x", "y", "z", "k"]).groupBy("path", "t", "x", "y", "z", "b", "c").agg(
+        F.sum(F.col("s") * (F.col("ar") * F.col("re") + F.col("ai") * F.col("im"))).alias("re"), F.sum(F.col("s") * (F.col("ar") * F.col("im") - F.col("ai") * F.col("re"))).alias("im")
+    )
     turns = F.array(*[F.struct(F.lit(m).cast("long").alias("mom"), F.pmod(p[0] * F.col("x") + 2 * p[1] * F.col("y") + 2 * p[2] * F.col("z"), F.lit(4)).alias("k")) for m, p in enumerate(D.MOMENTA)])
     every = out.select("path", "t", "b", "c", F.explode(turns).alias("q"), "re", "im")
     re = F.when(F.col("q.k") == 0, F.col("re")).when(F.col("q.k") == 1, -F.col("im")).when(F.col("q.k") == 2, -F.col("re")).otherwise(F.col("im"))
@@ -191,16 +200,16 @@ def n5_paths(spark, sf):
     return derivative_elementals(field(spark, sf), gauge(spark, sf))
 
 
-def _project(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(t, b, c): sum over sites and colours of conj left_b * right_c."""
-    axes = ("t", "x", "y", "z", "c", "e")
-    a = Tensor(left.select(*axes, "re", "im"), axes, {"t": 8, "x": 4, "y": 2, "z": 2, "c": 2, "e": 6})
-    b = Tensor(right.select(*axes, "re", "im"), axes, a.sizes)
-    out = contract([a.conj().renamed("t", "x", "y", "z", "k", "b"), b.renamed("t", "x", "y", "z", "k", "c")], ("t", "b", "c"))
-    return out.frame
+AX = ("t", "x", "y", "z", "c", "e")
 
 
-AX = ("t", "x", "y", "z", "c", "e")
+def _project(left: DataFrame, right: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(more, t, b, c): sum over sites and colours of conj left_b * right_c; more: labels of right."""
+    sizes = {"t": D.LT, "x": D.LX, "y": D.LY, "z": D.LZ, "c": D.NC, "e": D.NE}
+    a = Tensor(left.select(*AX, "re", "im"), AX, sizes)
+    b = Tensor(right.select(*more, *AX, "re", "im"), (*more, *AX), sizes)
+    out = contract([a.conj().renamed("t", "x", "y", "z", "k", "b"), b.renamed(*more, "t", "x", "y", "z", "k", "c")], (*more, "t", "b", "c"))
+    return out.frame
 
 
 def _project_sql(right: str) -> str:
@@ -257,14 +266,114 @@ def n8_p2p(spark, sf):
     return w.join(q, ["t", "x", "y", "z"]).select("t", F.col("p").alias("p_l"), "p_r", F.col("a").alias("c_l"), F.col("b").alias("c_r"), "re", "im")
 
 
+#: All words of up to two letters, those that step straight back among them.
+WORDS: list[tuple[int, ...]] = [(), *[(d,) for d in range(6)], *[(d, e) for d in range(6) for e in range(6)]]
+
+
+def word_fields(f: DataFrame, u: DataFrame, words: list[tuple[int, ...]], ext=EXT, hold=D.kept) -> tuple[X.WordTree, DataFrame]:
+    """The tree of words and their conjugates, and U_w F of each of its nodes: what V2V, P2V and V2P elementals hang off."""
+    tree = X.WordTree([*words, *[conjugate(w) for w in words]], forward=False)
+    return tree, hold(X.moved_by_words(f, u, tree, ext, ("e",), hold))
+
+
+def elementals_v2v(f: DataFrame, tree: X.WordTree, moved: DataFrame, words: list[tuple[int, ...]]) -> DataFrame:
+    """(w, t, b, c): mode b to mode c along a word."""
+    return _project(f, tree.named(moved, words), ("w",))
+
+
+def elementals_p2v(points: DataFrame, tree: X.WordTree, moved: DataFrame, words: list[tuple[int, ...]]) -> DataFrame:
+    """(w, t, p, c, e): a point and colour to a mode along a word."""
+    return tree.named(moved, words).join(points, ["t", "x", "y", "z"]).select("w", "t", "p", "c", "e", "re", "im")
+
+
+def elementals_v2p(points: DataFrame, tree: X.WordTree, moved: DataFrame, words: list[tuple[int, ...]]) -> DataFrame:
+    """(w, t, e, p, c): a mode to a point and colour along a word: the conjugate of the word walked back from the point."""
+    back = tree.named(moved, [conjugate(w) for w in words]).join(points, ["t", "x", "y", "z"])
+    return back.select("w", "t", "e", "p", "c", "re", (-F.col("im")).alias("im"))
+
+
+def elementals_p2p(points: DataFrame, u: DataFrame, words: list[tuple[int, ...]], ext=EXT, colours: int = D.NC) -> DataFrame:
+    """(w, t, p_l, p_r, c_l, c_r): pairs of sampled points that a word joins, with its links."""
+    tree = X.WordTree(words, forward=True)
+    ends = tree.named(X.transported_by_words(u, points, tree, ext, colours, D.kept), words)
+    to = points.select("t", "x", "y", "z", F.col("p").alias("p_r"))
+    return ends.join(to, ["t", "x", "y", "z"]).select("w", "t", F.col("p").alias("p_l"), "p_r", F.col("a").alias("c_l"), F.col("b").alias("c_r"), "re", "im")
+
+
+def _ahead_sql(c: str, i: int) -> str:
+    return f"({c} + CASE WHEN mu = {i} THEN 1 ELSE 0 END) % {EXT[i]}"
+
+
+#: Links as they are walked: field site and colour (fx, fy, fz, k) to target (x, y, z, c).
+OL_SQL = (
+    f"ol AS (SELECT mu AS dir, t, {', '.join(f'{_ahead_sql(c, i)} AS f{c}' for i, c in enumerate('xyz'))}, x, y, z, a AS c, b AS k, re, im FROM u"
+    f" UNION ALL SELECT mu + 3, t, x, y, z, {', '.join(_ahead_sql(c, i) for i, c in enumerate('xyz'))}, b, a, re, -im FROM u)"
+)
+_WALK = "CAST(sum(ol.re * f.re - ol.im * f.im) AS BIGINT) AS re, CAST(sum(ol.re * f.im + ol.im * f.re) AS BIGINT) AS im"
+_MEET = "JOIN ol ON ol.t = f.t AND ol.fx = f.x AND ol.fy = f.y AND ol.fz = f.z AND ol.k = f.c GROUP BY ALL"
+#: U_w V of all words by number: 0, then 1 + d, then 7 + 6 d + e.
+WF_SQL = f"""{OL_SQL},
+wf1 AS (SELECT 1 + ol.dir AS w, ol.t, ol.x, ol.y, ol.z, ol.c, f.e, {_WALK} FROM f {_MEET}),
+wf AS (SELECT 0 AS w, t, x, y, z, c, e, re, im FROM f UNION ALL SELECT * FROM wf1 UNION ALL
+  SELECT 7 + 6 * ol.dir + f.w - 1 AS w, ol.t, ol.x, ol.y, ol.z, ol.c, f.e, {_WALK} FROM wf1 f {_MEET})"""
+
+
+V2V_SQL = "SELECT CAST(g.w AS BIGINT) AS w, f.t, f.e AS b, g.e AS c, CAST(sum(f.re * g.re + f.im * g.im) AS BIGINT) AS re, CAST(sum(f.re * g.im - f.im * g.re) AS BIGINT) AS im FROM f JOIN wf g ON f.t = g.t AND f.x = g.x AND f.y = g.y AND f.z = g.z AND f.c = g.c GROUP BY ALL"
+
+
+@query("n8_words_v2v", f"{FIELD},\n{WF_SQL}\n{V2V_SQL}")
+def n8_v2v(spark, sf):
+    """All 43 words of up to two letters, each edge of their tree walked once."""
+    f = field(spark, sf)
+    tree, moved = word_fields(f, gauge(spark, sf), WORDS)
+    return elementals_v2v(f, tree, moved, WORDS)
+
+
+_AT = "JOIN pts ON pts.t = wf.t AND pts.x = wf.x AND pts.y = wf.y AND pts.z = wf.z"
+
+
+P2V_SQL = f"SELECT CAST(w AS BIGINT) AS w, wf.t, pts.p, wf.c, e, re, im FROM wf {_AT}"
+
+
+@query("n8_words_p2v", f"{FIELD},\n{D.POINTS_SQL},\n{WF_SQL}\n{P2V_SQL}")
+def n8_p2v(spark, sf):
+    tree, moved = word_fields(field(spark, sf), gauge(spark, sf), WORDS)
+    return elementals_p2v(D.points(spark, sf), tree, moved, WORDS)
+
+
+#: A word's conjugate: letters turned round, in reverse order.
+_CONJ = "CASE WHEN w = 0 THEN 0 WHEN w < 7 THEN 1 + (w - 1 + 3) % 6 ELSE 7 + 6 * (((w - 7) % 6 + 3) % 6) + ((w - 7) // 6 + 3) % 6 END"
+
+
+V2P_SQL = f"SELECT CAST({_CONJ} AS BIGINT) AS w, wf.t, e, pts.p, wf.c, re, -im AS im FROM wf {_AT}"
+
+
+@query("n8_words_v2p", f"{FIELD},\n{D.POINTS_SQL},\n{WF_SQL}\n{V2P_SQL}")
+def n8_v2p(spark, sf):
+    tree, moved = word_fields(field(spark, sf), gauge(spark, sf), WORDS)
+    return elementals_v2p(D.points(spark, sf), tree, moved, WORDS)
+
+
+_STEP = "CAST(sum(l.re * ol.re - l.im * ol.im) AS BIGINT) AS re, CAST(sum(l.re * ol.im + l.im * ol.re) AS BIGINT) AS im"
+
+
+LE_SQL = f"""l0 AS (SELECT pts.*, c.range AS a, c.range AS b, 1 AS re, 0 AS im FROM pts, range({D.NC}) c),
+l1 AS (SELECT 1 + ol.dir AS w, l.t, l.p, ol.fx AS x, ol.fy AS y, ol.fz AS z, l.a, ol.k AS b, {_STEP} FROM l0 l JOIN ol ON ol.t = l.t AND ol.x = l.x AND ol.y = l.y AND ol.z = l.z AND ol.c = l.b GROUP BY ALL),
+l2 AS (SELECT 7 + 6 * (l.w - 1) + ol.dir AS w, l.t, l.p, ol.fx AS x, ol.fy AS y, ol.fz AS z, l.a, ol.k AS b, {_STEP} FROM l1 l JOIN ol ON ol.t = l.t AND ol.x = l.x AND ol.y = l.y AND ol.z = l.z AND ol.c = l.b GROUP BY ALL),
+le AS (SELECT 0 AS w, t, p, x, y, z, a, b, re, im FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)"""
+P2P_SQL = "SELECT CAST(w AS BIGINT) AS w, le.t, le.p AS p_l, pts.p AS p_r, a AS c_l, b AS c_r, CAST(re AS BIGINT) AS re, CAST(im AS BIGINT) AS im FROM le JOIN pts ON pts.t = le.t AND pts.x = le.x AND pts.y = le.y AND pts.z = le.z"
+
+
+@query("n8_words_p2p", f"WITH {U_SQL},\n{D.POINTS_SQL},\n{OL_SQL},\n{LE_SQL}\n{P2P_SQL}")
+def n8_words_p2p(spark, sf):
+    return elementals_p2p(D.points(spark, sf), gauge(spark, sf), WORDS)
+
+
 @query("n9_distance_elemental", f"{FIELD},\n" + ",\n".join(f"h{d} AS ({_hop_sql(d)}),\ng{d} AS ({_hop_sql(d, f'h{d}')})" for d in range(6)) + ",\nav AS (" + " UNION ALL ".join(f"SELECT * FROM g{d}" for d in range(6)) + f"),\nr AS ({_project_sql('av')})\nSELECT x.t, x.b, x.c, x.re + y.re AS re, x.im - y.im AS im FROM r x JOIN r y ON x.t = y.t AND x.b = y.c AND x.c = y.b")
 def n9(spark, sf):
     """Distance 2: six times the mean over the straight displacements, both orders added."""
     f, u = field(spark, sf), gauge(spark, sf)
-    six = {d: f for d in range(6)}
-    for _ in range(2):
-        six = X.distance_step(six, u, EXT, ("e",))
-    r = _project(f, X.mean_of(six, AX, 1))
+    r = _project(f, X.straight(f, u, 2, EXT, ("e",)))
     other = r.select(F.col("t").alias("t2"), F.col("b").alias("c2"), F.col("c").alias("b2"), F.col("re").alias("re2"), F.col("im").alias("im2"))
     both = r.join(other, (F.col("t") == F.col("t2")) & (F.col("b") == F.col("b2")) & (F.col("c") == F.col("c2")))
     return both.select("t", "b", "c", (F.col("re") + F.col("re2")).alias("re"), (F.col("im") - F.col("im2")).alias("im"))
@@ -293,12 +402,12 @@ def solution(spark: SparkSession, sf: str) -> Tensor:
     def digit(unit: int, size: int):
         return (F.floor(F.col("n") / unit) % size).cast("long")
 
-    frame = cells.select(digit(D.NX * 24, D.LT).alias("t"), digit(24, D.NX).alias("x"), digit(6, 4).alias("i"), digit(1, 6).alias("a"), "re", "im")
-    return Tensor(frame, ("t", "x", "i", "a"), {"t": D.LT, "x": D.NX, "i": 4, "a": 6})
+    frame = cells.select(digit(D.NX * D.NS * D.NE, D.LT).alias("t"), digit(D.NS * D.NE, D.NX).alias("x"), digit(D.NE, D.NS).alias("i"), digit(1, D.NE).alias("a"), "re", "im")
+    return Tensor(frame, ("t", "x", "i", "a"), {"t": D.LT, "x": D.NX, "i": D.NS, "a": D.NE})
 
 
 S_SQL = f"""s_n AS (SELECT (l_orderkey * 7 + l_linenumber) % {SOL} AS n, {D.small_sql("sum(CAST(floor(l_quantity) AS BIGINT))", 9)} AS re, {D.small_sql("sum(CAST(round(l_tax * 100) AS BIGINT))", 9)} AS im FROM lineitem GROUP BY 1),
-sol AS (SELECT n // {D.NX * 24} % {D.LT} AS t, n // 24 % {D.NX} AS x, n // 6 % 4 AS i, n % 6 AS a, re, im FROM s_n)"""
+sol AS (SELECT n // {D.NX * D.NS * D.NE} % {D.LT} AS t, n // {D.NS * D.NE} % {D.NX} AS x, n // {D.NE} % {D.NS} AS i, n % {D.NE} AS a, re, im FROM s_n)"""
 
 
 @query("n11_projected_solution", f"WITH {D.V_SQL},\n{S_SQL}\n" + flat_sql([("v", ("t", "e", "x"), ("t", "b", "x"), True), ("sol", ("t", "x", "i", "a"), ("t", "x", "i", "a"), False)], ("t", "i", "b", "a")))

@@ -32,46 +32,149 @@ def moved(direction: int, ext: Extents, steps: int = 1) -> dict[str, Column]:
     return out
 
 
-def hop(field: DataFrame, gauge: DataFrame, direction: int, ext: Extents, keys: tuple[str, ...]) -> DataFrame:
-    """Covariant shift: (U_d F)(x) = U_d(x) F(x + d), or U_d^dagger(x - d) F(x - d) for directions 3..5.
+def oriented(gauge: DataFrame) -> DataFrame:
+    """Every link once in each direction it can be walked: (t, fx, fy, fz, k) field site and colour, (dir, x, y, z, c) what they reach, (ur, ui).
+
+    (U_d F)(x) = U_d(x) F(x + d) for d of 0..2, and U_d^dagger(x - d) F(x - d) for
+    3..5. gauge: (t, x, y, z, mu, a, b, re, im); the extents come with `linked`.
+    """
+    ways = F.array(
+        F.struct(F.lit(True).alias("ahead"), F.col("mu").alias("dir"), F.col("a").alias("c"), F.col("b").alias("k"), F.col("im").alias("ui")),
+        F.struct(F.lit(False).alias("ahead"), (F.col("mu") + 3).alias("dir"), F.col("b").alias("c"), F.col("a").alias("k"), (-F.col("im")).alias("ui")),
+    )
+    return gauge.where("mu < 3").select("t", "x", "y", "z", "mu", F.explode(ways).alias("w"), F.col("re").alias("ur")).select("t", "x", "y", "z", "mu", "w.*", "ur")
+
 
-    field: (t, x, y, z, c, keys, re, im); gauge: (t, x, y, z, mu, a, b, re, im).
+def linked(gauge: DataFrame, ext: Extents) -> DataFrame:
+    """oriented() with both sites: the field's (fx, fy, fz) and the target's (x, y, z)."""
+    one_configuration(gauge)
+    here, there = {c: F.col(c) for c in "xyz"}, {}
+    for i, c in enumerate("xyz"):
+        there[c] = F.pmod(F.col(c) + (F.col("mu") == i).cast("long"), F.lit(ext[i]))
+    near = F.col("ahead")  # walked ahead, the field stands one step on; walked back, the target does
+    sites = [F.when(near, there[c]).otherwise(here[c]).alias(f"f{c}") for c in "xyz"] + [F.when(near, here[c]).otherwise(there[c]).alias(c) for c in "xyz"]
+    return oriented(gauge).select("t", *sites, "dir", "c", "k", "ur", "ui")
+
+
+def walked(field: DataFrame, links: DataFrame, keys: tuple[str, ...], own_way: bool = False) -> DataFrame:
+    """Every field entry times every link it meets, not yet summed: (dir, t, x, y, z, c, keys, re, im).
+
+    One join whatever the number of directions. own_way: field rows have a column
+    dir and go that way only.
     """
-    one_configuration(field, gauge)
-    u = gauge.where(F.col("mu") == direction % 3)
-    if direction < 3:
-        at = moved(direction + 3, ext)
-        f = field.select("t", *[at[c].alias(c) for c in ("x", "y", "z")], F.col("c").alias("b"), *keys, F.col("re").alias("fr"), F.col("im").alias("fi"))
-        link = u.select("t", "x", "y", "z", "a", "b", F.col("re").alias("ur"), F.col("im").alias("ui"))
-    else:
-        at = moved(direction - 3, ext)
-        f = field.select("t", *[at[c].alias(c) for c in ("x", "y", "z")], F.col("c").alias("b"), *keys, F.col("re").alias("fr"), F.col("im").alias("fi"))
-        link = u.select("t", *[at[c].alias(c) for c in ("x", "y", "z")], F.col("b").alias("a"), F.col("a").alias("b"), F.col("re").alias("ur"), (-F.col("im")).alias("ui"))
-    both = f.join(link, ["t", "x", "y", "z", "b"])
-    return both.groupBy("t", "x", "y", "z", F.col("a").alias("c"), *keys).agg(
-        F.sum(F.col("ur") * F.col("fr") - F.col("ui") * F.col("fi")).alias("re"), F.sum(F.col("ur") * F.col("fi") + F.col("ui") * F.col("fr")).alias("im")
+    one_configuration(field)
+    f = field.select(*[F.col(c).alias(f"_{c}") for c in ("t", "x", "y", "z", "c", *(["dir"] if own_way else []))], *keys, F.col("re").alias("fr"), F.col("im").alias("fi"))
+    on = [F.col(f"_{c}") == F.col(n) for c, n in (("t", "t"), ("x", "fx"), ("y", "fy"), ("z", "fz"), ("c", "k"))]
+    on += [F.col("_dir") == F.col("dir")] if own_way else []
+    return f.join(links, on).select(
+        "dir", "t", "x", "y", "z", "c", *keys, (F.col("ur") * F.col("fr") - F.col("ui") * F.col("fi")).alias("re"), (F.col("ur") * F.col("fi") + F.col("ui") * F.col("fr")).alias("im")
     )
 
 
+SITE = ("t", "x", "y", "z", "c")
+
+
+def _summed(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
+def hop(field: DataFrame, gauge: DataFrame, direction: int, ext: Extents, keys: tuple[str, ...]) -> DataFrame:
+    """Covariant shift in one direction: (U_d F)(x) = U_d(x) F(x + d), or U_d^dagger(x - d) F(x - d) for directions 3..5."""
+    return _summed(walked(field, linked(gauge, ext).where(F.col("dir") == direction), keys), (*SITE, *keys))
+
+
 def laplacian(field: DataFrame, gauge: DataFrame, ext: Extents, keys: tuple[str, ...]) -> DataFrame:
-    """6 F - sum over the six covariant neighbours, as one union and sum."""
-    own = ("t", "x", "y", "z", "c", *keys)
-    out = field.select(*own, (6 * F.col("re")).alias("re"), (6 * F.col("im")).alias("im"))
-    for d in range(6):
-        out = out.unionByName(hop(field, gauge, d, ext, keys).select(*own, (-F.col("re")).alias("re"), (-F.col("im")).alias("im")))
-    return out.groupBy(*own).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    """6 F - sum over the six covariant neighbours: one join with the links, one sum."""
+    own = (*SITE, *keys)
+    near = walked(field, linked(gauge, ext), keys).select(*own, (-F.col("re")).alias("re"), (-F.col("im")).alias("im"))
+    return _summed(field.select(*own, (6 * F.col("re")).alias("re"), (6 * F.col("im")).alias("im")).unionByName(near), own)
+
 
+def straight(field: DataFrame, gauge: DataFrame, steps: int, ext: Extents, keys: tuple[str, ...]) -> DataFrame:
+    """The field moved `steps` times straight ahead in each of the six directions: (dir, t, x, y, z, c, keys), a join a step."""
+    links = linked(gauge, ext)
+    now = field.withColumn("dir", F.explode(F.array(*[F.lit(d).cast("long") for d in range(6)])))
+    for _ in range(steps):
+        now = _summed(walked(now, links, keys, own_way=True), ("dir", *SITE, *keys))
+    return now
 
-def distance_step(fields: dict[int, DataFrame], gauge: DataFrame, ext: Extents, keys: tuple[str, ...]) -> dict[int, DataFrame]:
-    """One more step of each of the six straight displacements."""
-    return {d: hop(f, gauge, d, ext, keys) for d, f in fields.items()}
 
+# --- trees of words ---------------------------------------------------------------------------
 
-def mean_of(fields: dict[int, DataFrame], own: tuple[str, ...], scale: float) -> DataFrame:
-    out = None
-    for f in fields.values():
-        out = f.select(*own, "re", "im") if out is None else out.unionByName(f.select(*own, "re", "im"))
-    return out.groupBy(*own).agg((F.sum("re") * scale).alias("re"), (F.sum("im") * scale).alias("im"))
+
+class WordTree:
+    """Words that share their walk: a node is a word, its parent the word without the letter that is walked last.
+
+    forward: letters are walked from the first (transport from a point); else from
+    the last (a field moved by U_w F = U_first(U_rest F)). Each edge is walked once,
+    all edges of a depth in one join. number: each node's number, by depth, then letters.
+    """
+
+    def __init__(self, words: list[tuple[int, ...]], forward: bool):
+        walked_ = {w: w if forward else w[::-1] for w in words}
+        paths = sorted({p[:k] for p in walked_.values() for k in range(len(p) + 1)}, key=lambda p: (len(p), p))
+        self.place = {p: i for i, p in enumerate(paths)}
+        self.number = {w: self.place[p] for w, p in walked_.items()}
+        self.levels = [[(self.place[p], self.place[p[:-1]], p[-1]) for p in paths if len(p) == k] for k in range(1, max(map(len, paths), default=0) + 1)]
+
+    @property
+    def edges(self) -> int:
+        return sum(map(len, self.levels))
+
+    def named(self, frame: DataFrame, words: list[tuple[int, ...]], label: str = "w") -> DataFrame:
+        """frame with, for each of words, its place in the list instead of its node."""
+        rows = frame.sparkSession.createDataFrame([(self.number[w], i) for i, w in enumerate(words)], f"_node long, {label} long")
+        return frame.join(F.broadcast(rows), F.col("node") == F.col("_node")).drop("node", "_node")
+
+    def children(self, links: DataFrame, depth: int) -> DataFrame:
+        """links of the edges of a depth: with columns node and parent."""
+        rows = links.sparkSession.createDataFrame(self.levels[depth], "node long, parent long, way long")
+        return links.join(F.broadcast(rows), F.col("dir") == F.col("way")).drop("way")
+
+
+def moved_by_words(field: DataFrame, gauge: DataFrame, tree: WordTree, ext: Extents, keys: tuple[str, ...], hold=lambda x: x) -> DataFrame:
+    """(node, t, x, y, z, c, keys, re, im): U_w F for every node of the tree. hold keeps a level that the next one and the result read."""
+    return _grown(field.withColumn("node", F.lit(0).cast("long")), linked(gauge, ext), tree, keys, hold)
+
+
+def derived_by_paths(field: DataFrame, gauge: DataFrame, tree: WordTree, ext: Extents, keys: tuple[str, ...], hold=lambda x: x) -> DataFrame:
+    """The same with a derivative a letter: covariant forward minus backward hop in directions 0..2."""
+    back = F.col("dir") >= 3
+    links = linked(gauge, ext).select("t", "fx", "fy", "fz", "x", "y", "z", F.when(back, F.col("dir") - 3).otherwise(F.col("dir")).alias("dir"), "c", "k", *[F.when(back, -F.col(u)).otherwise(F.col(u)).alias(u) for u in ("ur", "ui")])
+    return _grown(field.withColumn("node", F.lit(0).cast("long")), links, tree, keys, hold)
+
+
+def _grown(now: DataFrame, links: DataFrame, tree: WordTree, keys: tuple[str, ...], hold) -> DataFrame:
+    own = ("node", *SITE, *keys)
+    every = now.select(*own, "re", "im")
+    for depth in range(len(tree.levels)):
+        f = now.select(*[F.col(c).alias(f"_{c}") for c in ("node", *SITE)], *keys, F.col("re").alias("fr"), F.col("im").alias("fi"))
+        on = [F.col(f"_{c}") == F.col(n) for c, n in (("node", "parent"), ("t", "t"), ("x", "fx"), ("y", "fy"), ("z", "fz"), ("c", "k"))]
+        both = f.join(tree.children(links, depth), on)
+        now = hold(_summed(both.select(*own, (F.col("ur") * F.col("fr") - F.col("ui") * F.col("fi")).alias("re"), (F.col("ur") * F.col("fi") + F.col("ui") * F.col("fr")).alias("im")), own))
+        every = every.unionByName(now)
+    return every
+
+
+def transported_by_words(gauge: DataFrame, start: DataFrame, tree: WordTree, ext: Extents, colours: int, hold=lambda x: x) -> DataFrame:
+    """(node, t, p, x, y, z, a, b, re, im): the product of links along each node's word from each start (t, p, x, y, z), x y z where it ends.
+
+    The tree is a forward one. A row (a, b) grows by the links that leave its end:
+    those whose target it is, read towards the field's site.
+    """
+    one_configuration(start)
+    unit = F.explode(F.array(*[F.lit(i).cast("long") for i in range(colours)]))
+    now = start.select(F.lit(0).cast("long").alias("node"), "t", "p", "x", "y", "z", unit.alias("a")).select("*", F.col("a").alias("b"), F.lit(1).cast("long").alias("re"), F.lit(0).cast("long").alias("im"))
+    every, links = now, linked(gauge, ext)
+    own = ("node", "t", "p", "x", "y", "z", "a", "b")
+    for depth in range(len(tree.levels)):
+        f = now.select(*[F.col(c).alias(f"_{c}") for c in ("node", "t", "x", "y", "z", "b")], "p", "a", F.col("re").alias("fr"), F.col("im").alias("fi"))
+        on = [F.col(f"_{c}") == F.col(n) for c, n in (("node", "parent"), ("t", "t"), ("x", "x"), ("y", "y"), ("z", "z"), ("b", "c"))]
+        both = f.join(tree.children(links, depth), on)
+        ends = ["node", "t", "p", *[F.col(f"f{c}").alias(c) for c in "xyz"], "a", F.col("k").alias("b")]
+        now = hold(_summed(both.select(*ends, (F.col("fr") * F.col("ur") - F.col("fi") * F.col("ui")).alias("re"), (F.col("fr") * F.col("ui") + F.col("fi") * F.col("ur")).alias("im")), own))
+        every = every.unionByName(now)
+    return every
 
 
 def transport(gauge: DataFrame, start: DataFrame, word: tuple[int, ...], ext: Extents, colours: int) -> DataFrame:

@@ -6,7 +6,7 @@ the time of the end that it projects.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tensorloom.plans.einsum import Tensor, add, contract
@@ -81,3 +81,58 @@ def high_mode_both(psp: Tensor, high_source: Tensor, psv: Tensor, m: Tensor) ->
     sink = contract([m.renamed("t", "b", "p", "c"), high_source.renamed("s", "t", "j", "i", "b", "q", "d")], axes)
     source = contract([psv, m.conj().renamed("s", "a", "q", "d")], axes)
     return add(psp, sink.scaled(-1), source.scaled(-1))
+
+
+# --- sampled points ----------------------------------------------------------------------------
+
+#: A prime below 2**31: products of two residues stay below 2**62, and x -> x**5 is one-to-one, as 5 does not divide PRIME - 1.
+PRIME = 2147483647
+#: Factors of the three rounds.
+MIXERS = (48271, 69621, 39373)
+
+
+def mixed(site: Column, t: Column, seed: Column) -> list[tuple[str, Column]]:
+    """Columns to add one after the other; the last, h, is a number below PRIME, different for each site of a slice."""
+    out, last = [("h0", F.pmod(site + 1, F.lit(PRIME)))], "h0"
+    for n, factor in enumerate(MIXERS):
+        x, y = f"x{n}", f"y{n}"
+        shift = F.pmod(F.pmod(seed, F.lit(PRIME)) * (n + 1) + F.pmod(t, F.lit(PRIME)) * factor + n, F.lit(PRIME))
+        out += [(x, (F.col(last) * factor + shift) % PRIME), (y, F.col(x) * F.col(x) % PRIME), (f"z{n}", F.col(y) * F.col(y) % PRIME), (f"h{n + 1}", F.col(f"z{n}") * F.col(x) % PRIME)]
+        last = f"h{n + 1}"
+    return [*out, ("h", F.col(last))]
+
+
+def sampled_points(seeds: DataFrame, latt_size: tuple[int, ...], num_points: int) -> DataFrame:
+    """(labels of seeds, t, p, x, y, z): num_points different sites of each time slice, chosen by seed.
+
+    seeds: (labels, seed LONG), a sample each. Sites are ranked by a counter-based
+    mix of (seed, t, site) in integers, so every engine and every rerun chooses the
+    same; p counts from 0. latt_size: (x, y, z, t).
+    """
+    if len(latt_size) != 4:
+        raise ValueError("latt_size must have 4 elements")
+    if num_points <= 0:
+        raise ValueError(f"num_points must be positive, not {num_points}")
+    lx, ly, lz, lt = latt_size
+    if num_points > lx * ly * lz:
+        raise ValueError(f"num_points of {num_points} exceeds spatial volume {lx * ly * lz}")
+    labels = [c for c in seeds.columns if c != "seed"]
+    rows = seeds.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(lt - 1)))).withColumn("site", F.explode(F.sequence(F.lit(0), F.lit(lx * ly * lz - 1))))
+    rows = rows.withColumn("t", F.col("t").cast("long")).withColumn("site", F.col("site").cast("long"))
+    for name, column in mixed(F.col("site"), F.col("t"), F.col("seed")):
+        rows = rows.withColumn(name, column)
+    order = Window.partitionBy(*labels, "t").orderBy("h")
+    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= num_points)
+    x, y, z = F.col("site") % lx, F.floor(F.col("site") / lx) % ly, F.floor(F.col("site") / (lx * ly))
+    return rows.select(*labels, "t", (F.col("n") - 1).cast("long").alias("p"), x.alias("x"), y.cast("long").alias("y"), z.cast("long").alias("z"))
+
+
+def sampled_points_sql(seeds: str, labels: str, latt_size: tuple[int, int, int, int], num_points: int) -> str:
+    """The same for DuckDB; seeds is a relation (labels, seed)."""
+    lx, ly, lz, lt = latt_size
+    body = f"SELECT {labels}, seed, t.range AS t, s.range AS site, (s.range + 1) % {PRIME} AS h0 FROM {seeds}, range({lt}) t, range({lx * ly * lz}) s"
+    for n, factor in enumerate(MIXERS):
+        body = f"SELECT *, (h{n} * {factor} + (seed % {PRIME} * {n + 1} + t * {factor} + {n}) % {PRIME}) % {PRIME} AS x{n} FROM ({body})"
+        body = f"SELECT *, (x{n} * x{n} % {PRIME}) * (x{n} * x{n} % {PRIME}) % {PRIME} * x{n} % {PRIME} AS h{n + 1} FROM ({body})"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY {labels}, t ORDER BY h{len(MIXERS)}) AS n FROM ({body})"
+    return f"SELECT {labels}, t, n - 1 AS p, site % {lx} AS x, site // {lx} % {ly} AS y, site // {lx * ly} AS z FROM ({ranked}) WHERE n <= {num_points}"

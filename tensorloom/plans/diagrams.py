@@ -13,9 +13,10 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from fractions import Fraction
 from itertools import permutations, product
-from math import prod
+from math import factorial, prod
 
-from tensorloom.plans.einsum import Tensor, contract, pair
+from tensorloom.plans.einsum import Tensor
+from tensorloom.plans.shared import Operand, Plan
 
 
 @dataclass(frozen=True, order=True)
@@ -271,127 +272,150 @@ def scene_constraints(groups: dict[int, list[tuple[int, str]]], volume: int, sam
     return out
 
 
-# --- evaluation ------------------------------------------------------------------------------
+def _splits(n: int, m: int) -> int:
+    """Partitions of n things into m parts."""
+    return int(n == m) if n == 0 or m == 0 else m * _splits(n - 1, m) + _splits(n - 1, m - 1)
+
 
+def identified_weights(positions: list, volume: int, sampled: int) -> list[tuple[list[list], Fraction]]:
+    """Every way to identify positions, with the factor that makes free sums over identified points the weighted sum.
 
-def operands(d: Diagram, part: Part, propagators: dict[str, Tensor], vertices: dict[str, Tensor], time_label: dict[int, str]) -> list[Tensor]:
-    """Tensors of a part with labels: propagators (s, t, spin at sink, spin at source, mode at sink, mode at source), meson vertices (t, left spin, right spin, left mode, right mode)."""
+    The weight of a row depends on how many different points it has. Moebius
+    inversion over set partitions turns it into a sum over identifications, each
+    with one factor for all rows; points may then coincide or not, so that their
+    sums can be done one by one.
+    """
     out = []
-    for k, e in enumerate(part.edges):
-        s, t = (time_label[d.vertices[v][0]] for v in (e.src, e.snk))
-        x = propagators[e.prop]
-        if s == t:
-            x = Tensor(x.frame.where("s = t").drop("s"), x.axes[1:], x.sizes)
-            out.append(x.renamed(t, f"s{2 * k + 1}", f"s{2 * k}", f"m{2 * k + 1}", f"m{2 * k}"))
-        else:
-            out.append(x.renamed(s, t, f"s{2 * k + 1}", f"s{2 * k}", f"m{2 * k + 1}", f"m{2 * k}"))
-    for v in part.vertices:
-        time, name = d.vertices[v]
-        left, right = part.out_ends(v), part.in_ends(v)
-        if len(left) != 1 or len(right) != 1:
-            raise NotImplementedError("only vertices of one quark and one antiquark have elementals")
-        out.append(vertices[name].renamed(time_label[time], f"s{left[0]}", f"s{right[0]}", f"m{left[0]}", f"m{right[0]}"))
+    for blocks in set_partitions(positions):  # of no positions: one, empty
+        by_number = {0: 1}  # number of parts that a block's positions fall into, all blocks together -> signed count
+        for block in blocks:
+            own = {m: _splits(len(block), m) * (-1) ** (m - 1) * factorial(m - 1) for m in range(1, len(block) + 1)}
+            by_number = {n: sum(c * own.get(n - k, 0) for k, c in by_number.items()) for n in range(1, len(positions) + 1)}
+        factor = sum((c * sampling_weight(volume, sampled, n) for n, c in by_number.items()), Fraction(0))
+        if factor:
+            out.append((blocks, factor))
     return out
 
 
-def evaluate(d: Diagram, propagators: dict[str, Tensor], vertices: dict[str, Tensor], time_label: dict[int, str]) -> Tensor:
-    """The value of d for all times at once: its axes are the time labels it has."""
-    value = None
-    for part in analyse(d):
-        ops = operands(d, part, propagators, vertices, time_label)
-        labels = tuple(dict.fromkeys(x for o in ops for x in o.axes if x in set(time_label.values())))
-        got = contract(ops, labels)
-        value = got if value is None else pair(value, got, set(time_label.values()))
-    return value
+# --- evaluation ------------------------------------------------------------------------------
+
+
+def diagram_operands(d: Diagram, time_label: dict[int, str], states: tuple | None = None, points: dict[tuple[int, str], str] | None = None) -> list[Operand]:
+    """The tensors of all parts of d by name, with labels.
 
+    Propagators are ("prop", name, ends) of axes (s, t, spin at sink, spin at source,
+    sink end, source end), or ("equal", name, ends) without s between equal times. A
+    meson vertex is ("vertex", name, ends) of (t, left spin, right spin, left end,
+    right end); a vertex of several quarks has the spins of its outgoing ends by
+    quark number, then those of its incoming ones, then the ends in that order. An end
+    is a mode, or by states a point and its colour; points gives labels to points.
+    """
+    states = states or (("v", "v"),) * len(d.vertices)
+    out: list[Operand] = []
+    for n, part in enumerate(analyse(d)):
+
+        def end(x: int, kind: str, v: int, side: str, n: int = n) -> list[str]:
+            return [f"m{n}.{x}"] if kind == "v" else [(points or {}).get((v, side), f"p{n}.{x}"), f"c{n}.{x}"]
+
+        for k, e in enumerate(part.edges):
+            s, t = (time_label[d.vertices[v][0]] for v in (e.src, e.snk))
+            left, right = states[e.src][0], states[e.snk][1]
+            labels = [f"s{n}.{2 * k + 1}", f"s{n}.{2 * k}", *end(2 * k + 1, right, e.snk, "right"), *end(2 * k, left, e.src, "left")]
+            kinds = (right + left).upper()
+            out.append((("equal", e.prop, kinds), (t, *labels)) if s == t else (("prop", e.prop, kinds), (s, t, *labels)))
+        for v in part.vertices:
+            time, name = d.vertices[v]
+            left = sorted(part.out_ends(v), key=lambda x, part=part: part.edges[x // 2].q_src)
+            right = sorted(part.in_ends(v), key=lambda x, part=part: part.edges[x // 2].q_snk)
+            ends = [(x, states[v][0], "left") for x in left] + [(x, states[v][1], "right") for x in right]
+            kinds = "".join(k for _, k, _ in ends)
+            out.append((("vertex", name, kinds), (time_label[time], *[f"s{n}.{x}" for x, _, _ in ends], *[y for x, k, side in ends for y in end(x, k, v, side)])))
+    return out
+
+
+def leaves_of(operands: Iterable[Operand], propagators: dict, vertices: dict) -> dict:
+    """Tensors of the operands; propagators and vertices are by name, or by (name, ends)."""
+    out = {}
+    for key in dict.fromkeys(name for name, _ in operands):
+        kind, name, ends = key
+        table = vertices if kind == "vertex" else propagators
+        x = table[name, ends] if (name, ends) in table else table[name]
+        if kind == "equal":
+            x = Tensor(x.frame.where("s = t").drop("s"), tuple(a for a in x.axes if a != "s"), x.sizes, None if x.rows is None else x.rows / x.sizes.get("s", 8))
+        out[key] = x
+    return out
 
-def _end(x: int, kind: str) -> list[str]:
-    """Labels of an edge end: a mode, or a point and its colour."""
-    return [f"m{x}"] if kind == "v" else [f"p{x}", f"c{x}"]
 
+def _times(operands: list[Operand], time_label: dict[int, str]) -> tuple[str, ...]:
+    return tuple(t for t in dict.fromkeys(time_label.values()) if any(t in labels for _, labels in operands))
 
-def point_weights(groups: dict[int, list[str]], volume: int, sampled: int):
-    """The product over sampling groups of the weight of their number of different points, as one column."""
-    from pyspark.sql import functions as F
 
-    total = F.lit(1.0)
-    for labels in groups.values():
-        n = F.size(F.array_distinct(F.array(*[F.col(x) for x in labels])))
-        w = F.lit(0.0)
-        for k in range(1, len(labels) + 1):
-            w = F.when(n == k, F.lit(float(sampling_weight(volume, sampled, k)))).otherwise(w)
-        total = total * w
-    return total
+def evaluate(d: Diagram, propagators: dict, vertices: dict, time_label: dict[int, str]) -> Tensor:
+    """The value of d for all times (and configurations) at once: its axes are the time labels it has."""
+    own = diagram_operands(d, time_label)
+    times = _times(own, time_label)
+    plan = Plan(leaves_of(own, propagators, vertices))
+    part = plan.add(own, times)
+    t = plan.tensors(lambda x: x)[part.node]
+    return t.relabelled(**{f"x{i}": a for i, a in enumerate(part.labels)}).ordered(*t.batch, *times)
+
+
+def current_terms(d: Diagram, current: list[bool], group_of: list[int], time_label: dict[int, str], volume: int, sampled: int) -> list[tuple[Fraction, list[Operand]]]:
+    """A diagram with current vertices as terms of free sums: all choices of ends, all identifications of points of a sampling group."""
+    out = []
+    for x in expand_currents(d, current):
+        scenes: list[tuple[dict, Fraction]] = [({}, Fraction(1))]
+        for g, positions in sorted(sampling_groups(x, group_of).items()):
+            ways = identified_weights(positions, volume, sampled)
+            scenes = [(names | {p: f"q{g}.{i}" for i, block in enumerate(blocks) for p in block}, w * f) for names, w in scenes for blocks, f in ways]
+        out += [(w, diagram_operands(d, time_label, x.states, names)) for names, w in scenes]
+    return out
+
+
+def plan_currents(d: Diagram, current: list[bool], group_of: list[int], propagators: dict, vertices: dict, time_label: dict[int, str], volume: int, sampled: int, scale: int = 1) -> Plan:
+    """One plan for all of current_terms; scale makes weights whole."""
+    terms = current_terms(d, current, group_of, time_label, volume, sampled)
+    plan = Plan(leaves_of([o for _, own in terms for o in own], propagators, vertices))
+    for w, own in terms:
+        plan.add(own, _times(own, time_label), w * scale)
+    return plan
 
 
 def evaluate_currents(
-    d: Diagram, current: list[bool], group_of: list[int], propagators: dict[tuple[str, str], Tensor], vertices: dict[tuple[str, str], Tensor], time_label: dict[int, str], volume: int, sampled: int
+    d: Diagram, current: list[bool], group_of: list[int], propagators: dict[tuple[str, str], Tensor], vertices: dict[tuple[str, str], Tensor], time_label: dict[int, str], volume: int, sampled: int, scale: int = 1, hold=lambda x: x
 ) -> Tensor:
-    """A diagram with current vertices, summed over all choices of mode and point ends.
+    """A diagram with current vertices, summed over all choices of mode and point ends, times scale.
 
     propagators by (name, ends sink-source, such as `PV`), vertices by (name,
     ends left-right, such as `vp`); a point end is two axes, point and colour.
-    Point labels stay until the last sum, where each row is weighted once by how
-    many different points it has in each sampling group.
+    Points are summed inside the plan, each identification with its own factor; all
+    terms share their sub-contractions.
     """
-    from pyspark.sql import functions as F
-
+    plan = plan_currents(d, current, group_of, propagators, vertices, time_label, volume, sampled, scale)
     times = tuple(dict.fromkeys(time_label.values()))
-    total = None
-    for x in expand_currents(d, current):
-        value = None
-        for part in analyse(d):
-            ops, points = [], []
-            for k, e in enumerate(part.edges):
-                left, right = x.states[e.src][0], x.states[e.snk][1]
-                s, t = (time_label[d.vertices[v][0]] for v in (e.src, e.snk))
-                p = propagators[e.prop, (right + left).upper()]
-                labels = [f"s{2 * k + 1}", f"s{2 * k}", *_end(2 * k + 1, right), *_end(2 * k, left)]
-                if s == t:
-                    p = Tensor(p.frame.where("s = t").drop("s"), p.axes[1:], p.sizes)
-                    ops.append(p.renamed(t, *labels))
-                else:
-                    ops.append(p.renamed(s, t, *labels))
-            for v in part.vertices:
-                (l,), (r,) = part.out_ends(v), part.in_ends(v)
-                time, name = d.vertices[v]
-                ops.append(vertices[name, "".join(x.states[v])].renamed(time_label[time], f"s{l}", f"s{r}", *_end(l, x.states[v][0]), *_end(r, x.states[v][1])))
-                points += [(group_of[v], f"p{end}") for end, kind in ((l, x.states[v][0]), (r, x.states[v][1])) if kind == "p"]
-            keep = tuple(a for a in times if any(a in o.axes for o in ops)) + tuple(label for _, label in points)
-            got = contract(ops, keep)
-            names = {label: f"q{part.vertices[0]}_{label}" for _, label in points}
-            got = got.renamed(*[names.get(a, a) for a in got.axes])
-            value = got if value is None else pair(value, got, {*times, *value.axes, *got.axes})
-        groups: dict[int, list[str]] = {}
-        for part in analyse(d):
-            for v in part.vertices:
-                for end, kind in ((part.out_ends(v)[0], x.states[v][0]), (part.in_ends(v)[0], x.states[v][1])):
-                    if kind == "p":
-                        groups.setdefault(group_of[v], []).append(f"q{part.vertices[0]}_p{end}")
-        own = tuple(a for a in times if a in value.axes)
-        weighted = value.scaled(point_weights(groups, volume, sampled)).frame if groups else value.frame
-        frame = weighted.groupBy(*own).agg(F.sum(F.col("re").cast("double")).alias("re"), F.sum(F.col("im").cast("double")).alias("im"))
-        total = frame if total is None else total.unionByName(frame)
-    out = total.groupBy(*own).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-    return Tensor(out, own, {})
-
-
-def evaluate_sum(e: Expression, propagators: dict[str, Tensor], vertices: dict[str, Tensor], time_label: dict[int, str], axes: tuple[str, ...]):
-    """(axes, re, im): the sum, each different diagram planned once and shared by a cache of frames."""
-    from pyspark.sql import functions as F
-
-    known = {d: evaluate(d, propagators, vertices, time_label) for d in distinct(e)}
-    total = None
-    for factors, c in e.items():
-        value = known[factors[0]]
-        for d in factors[1:]:
-            value = pair(value, known[d], set(axes))
-        missing = [a for a in axes if a not in value.axes]
-        if missing:
-            raise ValueError(f"a term does not depend on {missing}")
-        frame = value.scaled(float(c)).frame.select(*axes, "re", "im")
-        total = frame if total is None else total.unionByName(frame)
-    return total.groupBy(*axes).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    own = tuple(t for t in times if t in plan.terms[0][1].labels)
+    frame = plan.total(own, hold)
+    return Tensor(frame, tuple(c for c in frame.columns if c not in ("re", "im")), {})
+
+
+def plan_sum(e: Expression, propagators: dict, vertices: dict, time_label: dict[int, str], axes: tuple[str, ...]) -> Plan:
+    """One plan for all terms of a sum: equal sub-contractions of any two diagrams are one node."""
+    terms = []
+    for factors, c in sorted(e.items()):
+        own: list[Operand] = []
+        for i, d in enumerate(factors):
+            times = set(time_label.values())
+            own += [(name, tuple(a if a in times else f"{i}/{a}" for a in labels)) for name, labels in diagram_operands(d, time_label)]
+        terms.append((c, own))
+    plan = Plan(leaves_of([o for _, own in terms for o in own], propagators, vertices))
+    for c, own in terms:
+        plan.add(own, axes, c)
+    return plan
+
+
+def evaluate_sum(e: Expression, propagators: dict, vertices: dict, time_label: dict[int, str], axes: tuple[str, ...], hold=lambda x: x):
+    """(cfg if there is one, axes, re, im): the sum, by one plan; what several nodes read goes through hold."""
+    return plan_sum(e, propagators, vertices, time_label, axes).total(axes, hold)
 
 
 def to_dot(d: Diagram) -> str:

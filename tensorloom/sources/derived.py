@@ -80,6 +80,13 @@ def held(build: Callable) -> Callable:
     return get
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """A frame that several others read: made once, kept in memory or on local disk until release(); what is lost is made again."""
+    out = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD[frame.sparkSession.sparkContext.applicationId, "", f"kept-{len(_HELD)}-{id(out)}"] = out
+    return out
+
+
 def release() -> None:
     """Frees all derived tensors, for example when the tables have changed."""
     for x in _HELD.values():
