@@ -385,9 +385,7 @@ PSP_HIGH = f"""SELECT j, i, c, d, CAST(sum(re) AS BIGINT) AS re, CAST(sum(im) AS
 def a21(spark, sf):
     """Projected at both ends, then summed over points and times (by spin and colour)."""
     q = Points(spark, sf)
-    psp = P.made_both_points(q.vsp(), q.ov())
-    high = P.high_mode_both(psp, P.high_mode_source(q.vsp(), q.tau(), q.ov()), q.psv(), q.ov())
-    return high.frame.groupBy("j", "i", "c", "d").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return P.summed_high_mode_plan(q.vsp(), q.psv(), q.tau(), q.ov()).total(("j", "i", "c", "d"))
 
 
 @query(

@@ -8,10 +8,12 @@ from math import prod
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.catalog_correlators import BASE, OVER, POINT, Points
+from tensorloom.catalog_correlators import BASE, H1O, H2O, HALF1, HALF2, OVER, POINT, SRCV, VERT, Points
 from tensorloom.catalog_fields import F_SQL, LE_SQL, OL_SQL, P2P_SQL, P2V_SQL, U_SQL, V2P_SQL, V2V_SQL, WF_SQL, WORDS, elementals_p2p, elementals_p2v, elementals_v2p, elementals_v2v, field, gauge, word_fields
 from tensorloom.catalog_symbolic import CH, CHAINS, _tensors, cycle_sql
 from tensorloom.operators import baryons as B
+from tensorloom.operators import construction as O
+from tensorloom.operators import correlators as C
 from tensorloom.operators import points as P
 from tensorloom.plans import diagrams as D
 from tensorloom.plans import wick as W
@@ -213,6 +215,42 @@ def s6_current(spark, sf):
     return _estimated(plan, SCALE, ("s", "t"))
 
 
+# operators of spin and link families ------------------------------------------------------------
+
+
+def link_operators() -> list[tuple[int, int, int, int]]:
+    """(op, gamma, place in WORDS, coefficient): a scalar of vector spins and one-link vectors, a pseudoscalar with a scalar of links, and the first row of a vector of corner links."""
+    built = [
+        O.link_insertion("rho", (0,), "T_1", -1, -1, "A_1"),
+        O.link_insertion("pi", (0,), "A_1", 1, 1, "A_1"),
+        O.link_insertion("pi", (0, 1), "T_2", 1, 1, "T_2")[:1],
+    ]
+    place = {w: i for i, w in enumerate(WORDS)}
+    return [(op, n, place[w], c) for op, rows in enumerate(built) for n, w, c in O.whole_terms(rows[:1])[0]]
+
+
+LINK_ELEM = "elem AS (SELECT lops.op, lops.gamma, x.t, x.b, x.c, CAST(sum(lops.coeff * x.re) AS BIGINT) AS re, CAST(sum(lops.coeff * x.im) AS BIGINT) AS im FROM lops JOIN v2v x ON x.w = lops.w GROUP BY ALL)"
+
+
+def _link_sql() -> str:
+    parts = [T.V_SQL, T.TAU_SQL, T.BW_SQL, T.G_SQL, T.GS_SQL, U_SQL, F_SQL, WF_SQL, f"v2v AS ({V2V_SQL})", T.values_sql("lops", "op, gamma, w, coeff", link_operators()), LINK_ELEM, VERT, SRCV, HALF1, HALF2]
+    return "WITH " + ",\n".join(parts) + f",\ntp AS ({flat_sql([H1O, H2O], ('op_snk', 'op_src', 's', 't'), minus=True)})\nSELECT op_snk, op_src, (t - s + {T.LT}) % {T.LT} AS dt, CAST(sum(re) AS BIGINT) AS re, CAST(sum(im) AS BIGINT) AS im FROM tp GROUP BY ALL"
+
+
+@query("o7_link_insertions", _link_sql())
+def o7(spark, sf):
+    """The correlator matrix of operators made of spin and link families, bound to displaced elementals."""
+    b = Points(spark, sf)
+    f, terms = field(spark, sf), link_operators()
+    words = [WORDS[w] for w in sorted({w for _, _, w, _ in terms})]
+    tree, moved = word_fields(f, gauge(spark, sf), words)
+    at = {WORDS.index(w): i for i, w in enumerate(words)}
+    rows = spark.createDataFrame([(op, n, at[w], c) for op, n, w, c in terms], "op long, gamma long, w long, coeff long")
+    displaced = Tensor(elementals_v2v(f, tree, moved, words), ("w", "t", "b", "c"), {"w": len(words), "t": T.LT, "b": T.NE, "c": T.NE})
+    elem = O.bind_links(rows, displaced)
+    return C.relative(C.twopoint(b.tau(), b.v(elem), b.w(elem)), T.LT, ("op_snk", "op_src"))
+
+
 # three-quark vertices --------------------------------------------------------------------------
 
 #: Sites of fields of three colours; component c of site x is number (3 x + c) modulo the numbers of an embedding.

@@ -6,11 +6,9 @@ that met across configurations would show in every result.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,6 @@ from tensorloom.catalog_correlators import REL, Base
 from tensorloom.catalog_fields import U_SQL, gauge
 from tensorloom.operators import correlators as C
 from tensorloom.plans.einsum import Tensor
-from tensorloom.sources import containers as K
 from tensorloom.sources import derived as D
 from tensorloom.sources import labels as L
 from tensorloom.sources import tensors as T
@@ -43,12 +40,24 @@ def _folder(spark: SparkSession) -> str:
     return L.fixture_folder(spark, uuid.uuid4().hex)
 
 
-def _tau_files(spark: SparkSession, sf: str) -> tuple[str, tuple[int, ...]]:
+def _written(t: Tensor, kind: str, cfgs: int | str, grow: bool = True, **options) -> str:
+    """A folder of files of a kind, written by the executors: configurations c0, c1, ... with k + 1 times the tensor (or the same if not grow), or a named one."""
+    spark = t.frame.sparkSession
+    rows = L.file_rows(t, kind, SIZES)
+    axes = T.KINDS[kind].axes
+    if isinstance(cfgs, str):
+        rows = rows.select(F.lit(cfgs).alias("cfg"), *axes, "re", "im")
+    else:
+        k = F.explode(F.sequence(F.lit(0), F.lit(cfgs - 1))).alias("k")
+        rows = rows.select(k, "*").select(F.concat(F.lit("c"), F.col("k")).alias("cfg"), *axes, *[(F.col(x) * (F.col("k") + 1 if grow else F.lit(1))).alias(x) for x in ("re", "im")])
+    at = _folder(spark)
+    T.write_tensor(rows, at, kind, L.file_shape(kind, SIZES | ({"mu": 4, "a": 3, "b": 3} if kind == "gauge" else {})), **options)
+    return at
+
+
+def _tau_files(spark: SparkSession, sf: str) -> str:
     """c0.tau.npy to c3.tau.npy."""
-    at, x = _folder(spark), L.file_array(D.perambulators(spark, sf), "perambulator")
-    for k in range(CFGS):
-        np.save(os.path.join(at, f"c{k}.tau.npy"), (k + 1) * x)
-    return at, x.shape
+    return _written(D.perambulators(spark, sf), "perambulator", CFGS, suffix=".tau.npy")
 
 
 TAUS = f"WITH {D.TAU_SQL}\nSELECT 'c' || k.range AS cfg, s, t, j, i, b, a, re * (k.range + 1) AS re, im * (k.range + 1) AS im FROM tau, range({CFGS}) k WHERE re <> 0 OR im <> 0"
@@ -57,24 +66,21 @@ TAUS = f"WITH {D.TAU_SQL}\nSELECT 'c' || k.range AS cfg, s, t, j, i, b, a, re *
 @query("sc2_npy_perambulators", TAUS)
 def sc2(spark: SparkSession, sf: str) -> DataFrame:
     """Four configurations of npy files, as operators take them."""
-    at, _ = _tau_files(spark, sf)
+    at = _tau_files(spark, sf)
     return L.whole(L.read_labelled(spark, f"{at}/c*.tau.npy", "perambulator", SIZES)).frame
 
 
 @query("sc1_raw_perambulators", TAUS.replace(f"range({CFGS}) k", "range(1, 2) k"))
 def sc1(spark: SparkSession, sf: str) -> DataFrame:
     """A headless file of complex numbers, its shape given; the second configuration."""
-    at, shape = _tau_files(spark, sf)
-    np.load(os.path.join(at, "c1.tau.npy")).tofile(os.path.join(at, "c1.bin"))
-    return L.whole(L.read_labelled(spark, f"{at}/c1.bin", "perambulator", SIZES, "raw", shape=shape)).frame
+    at = _written(D.perambulators(spark, sf), "perambulator", CFGS, container="raw", suffix=".bin")
+    return L.whole(L.read_labelled(spark, f"{at}/c1.bin", "perambulator", SIZES, "raw", shape=L.file_shape("perambulator", SIZES))).frame
 
 
 @query("sc3_time_slices", f"WITH {D.TAU_SQL}\nSELECT 'c9' AS cfg, s, t, j, i, b, a, re, im FROM tau WHERE (re <> 0 OR im <> 0) AND s IN (1, 5)")
 def sc3(spark: SparkSession, sf: str) -> DataFrame:
     """One file a source time; only those asked for are opened."""
-    at, x = _folder(spark), L.file_array(D.perambulators(spark, sf), "perambulator")
-    for t in range(D.LT):
-        np.save(os.path.join(at, f"c9.t{t:03d}.tau.npy"), x[t])
+    at = _written(D.perambulators(spark, sf), "perambulator", "c9", container="slices", suffix=".tau.npy")
     some = T.load(spark, f"{at}/c9.t*.tau.npy", "perambulator").where("t_src IN (1, 5)")
     return L.whole(L.labelled(some, "perambulator", SIZES)).frame
 
@@ -82,35 +88,23 @@ def sc3(spark: SparkSession, sf: str) -> DataFrame:
 @query("sc4_lime_gauge", f"WITH {U_SQL}\nSELECT 'c0' AS cfg, t, z, y, x, mu, a, b, re, im FROM u WHERE re <> 0 OR im <> 0")
 def sc4(spark: SparkSession, sf: str) -> DataFrame:
     """Links in a LIME container, big-endian, three colours of which two are used."""
-    at, u = _folder(spark), np.zeros((D.LT, D.LZ, D.LY, D.LX, 4, 3, 3), "<c16")
-    for r in gauge(spark, sf).collect():
-        u[r.t, r.z, r.y, r.x, r.mu, r.a, r.b] = complex(r.re, r.im)
-    with open(os.path.join(at, "c0.lime"), "wb") as f:
-        f.write(K.lime_file(u, (D.LX, D.LY, D.LZ, D.LT)))
+    u = gauge(spark, sf)
+    at = _written(Tensor(u, T.KINDS["gauge"].axes, SIZES), "gauge", "c0", container="lime", suffix=".lime")
     return L.whole(L.read_labelled(spark, f"{at}/c0.lime", "gauge", SIZES, "lime")).frame
 
 
 @query("sc5_map_eigenvectors", f"WITH {D.V_SQL}\nSELECT 'c0' AS cfg, t, e, x, re, im FROM v WHERE re <> 0 OR im <> 0")
 def sc5(spark: SparkSession, sf: str) -> DataFrame:
     """Modes in a map of (t, e) to offsets, single precision."""
-    v = np.zeros((D.LT, D.NE, D.NX), "<c8")
-    for r in D.eigenvectors(spark, sf).frame.collect():
-        v[r.t, r.e, r.x] = complex(r.re, r.im)
-    at, shape = _folder(spark), (D.LT, D.NE, D.LZ, D.LY, D.LX, D.NC)
-    v = v.reshape(shape)
-    with open(os.path.join(at, "c0.map"), "wb") as f:
-        f.write(K.map_file({(t, e): v[t, e] for t in range(D.LT) for e in range(D.NE)}, (D.LX, D.LY, D.LZ, D.LT)))
+    at, shape = _written(D.eigenvectors(spark, sf), "eigenvector", "c0", container="map", suffix=".map", dtype="<c8"), L.file_shape("eigenvector", SIZES)
     return L.whole(L.read_labelled(spark, f"{at}/c0.map", "eigenvector", SIZES, "map", shape=shape, dtype="<c8")).frame
 
 
 def _from_files(spark: SparkSession, sf: str) -> DataFrame:
     """(cfg, dt, re, im): the two-point function of four configurations, propagators and elementals read from files."""
-    at, _ = _tau_files(spark, sf)
-    phi = L.file_array(D.elementals(spark, sf), "elemental")
-    for k in range(CFGS):
-        np.save(os.path.join(at, f"c{k}.phi.npy"), phi)
+    at, other = _tau_files(spark, sf), _written(D.elementals(spark, sf), "elemental", CFGS, grow=False, suffix=".phi.npy")
     tau = L.whole(L.read_labelled(spark, f"{at}/c*.tau.npy", "perambulator", SIZES))
-    elem = C.operator_elementals(D.operator_terms(spark).where("op = 0"), L.whole(L.read_labelled(spark, f"{at}/c*.phi.npy", "elemental", SIZES)))
+    elem = C.operator_elementals(D.operator_terms(spark).where("op = 0"), L.whole(L.read_labelled(spark, f"{other}/c*.phi.npy", "elemental", SIZES)))
     b = Base(spark, sf)
     c: Tensor = C.twopoint(tau, b.v(elem), b.w(elem))
     return C.relative(c, D.LT, ()).select("cfg", "dt", "re", "im")

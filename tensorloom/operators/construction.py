@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tensorloom.functions.gamma import FLIPPED, family, sign
 from tensorloom.functions.links import DERIVATIVE_TRAITS, DERIVATIVES
 from tensorloom.functions.momenta import Vec, shell
-from tensorloom.plans.symmetry import clebsch_gordan, irrep
+from tensorloom.plans.einsum import Tensor
+from tensorloom.plans.symmetry import clebsch_gordan, irrep, link_rows
 
 
 def merge_terms(terms: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,6 +50,43 @@ def insertion(gamma_family: str, derivative: str) -> list[tuple[str, int, list[t
     return out
 
 
+LinkTerm = tuple[int, tuple[int, ...], complex]
+
+
+def link_insertion(gamma_family: str, word: tuple[int, ...], rep: str, parity: int, charge: int, total: str, which: int = 0) -> list[list[LinkTerm]]:
+    """Rows of the irrep `total` in the product of a spin family and a link family: (gamma, word, coefficient).
+
+    The link family is the multiplet of irrep rep, parity and charge sign over the
+    orbit of a word; rows are joined by Clebsch-Gordan coefficients. No rows where
+    total does not occur.
+    """
+    f, links = family(gamma_family), link_rows(word, rep, parity, charge, which)
+    rows: dict[int, dict[tuple[int, tuple[int, ...]], complex]] = {}
+    for a, b, k, c in clebsch_gordan(f.group, rep, total):
+        n = f.members[a]
+        for w, x in links[b]:
+            own = rows.setdefault(k, {})
+            own[n, w] = own.get((n, w), 0) + c * x * sign(n)
+    return [[(n, w, c) for (n, w), c in sorted(own.items()) if abs(c) > 1e-9] for _, own in sorted(rows.items())]
+
+
+def whole_terms(rows: list[list[LinkTerm]]) -> list[list[tuple[int, tuple[int, ...], int]]]:
+    """The rows over their smallest coefficient, which must leave whole numbers: operators are defined up to a factor."""
+    least = min((c for row in rows for *_, c in row), key=abs)
+    out = [[(n, w, c / least) for n, w, c in row] for row in rows]
+    if any(abs(c - round(c.real)) > 1e-9 for row in out for *_, c in row):
+        raise ValueError("coefficients are no whole multiples of the smallest one")
+    return [[(n, w, round(c.real)) for n, w, c in row] for row in out]
+
+
+def bind_links(terms: DataFrame, displaced: Tensor) -> Tensor:
+    """Elementals of operators (op, gamma, t, b, c) from terms (op, gamma, w, coeff) and displaced elementals (w, t, b, c)."""
+    rows = displaced.frame.join(F.broadcast(terms), "w")
+    axes = (*displaced.batch, "op", "gamma", "t", "b", "c")
+    frame = rows.groupBy(*axes).agg(F.sum(F.col("coeff") * F.col("re")).alias("re"), F.sum(F.col("coeff") * F.col("im")).alias("im"))
+    return Tensor(frame, axes, {**displaced.sizes, "op": 4, "gamma": 16}, rows=8.0 * displaced.sizes["t"] * displaced.sizes["b"] * displaced.sizes["c"])
+
+
 def su2_clebsch(j1: int, m1: int, j2: int, m2: int, j: int, m: int) -> float:
     """<j1 m1 j2 m2 | j m> for integer spins, by Racah's sum."""
     if m1 + m2 != m or not abs(j1 - j2) <= j <= j1 + j2 or abs(m) > j or abs(m1) > j1 or abs(m2) > j2:

@@ -7,7 +7,7 @@ multiply small matrices as join and sum. Dense linear algebra of one time slice
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -308,7 +308,25 @@ def smeared(gauge: DataFrame, ext: Extents, colours: int, steps: int, rho: float
 
 
 def projected(gauge: DataFrame, ext: Extents, colours: int) -> DataFrame:
-    return by_slice(gauge, ext, colours, lambda u, t: block_rows(unitary(u), t=t), "mu long, z long, y long, x long, a long, b long, re double, im double, t long")
+    """The nearest unitary links, each by itself: a link's entries are packed to a row, and a task takes them a batch at a time."""
+    one_configuration(gauge)
+    own = ("t", "x", "y", "z", "mu")
+    packed = gauge.groupBy(*own).agg(F.collect_list(F.struct((F.col("a") * colours + F.col("b")).alias("at"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))).alias("v"))
+    packed = packed.select(*own, *[F.col("v")[c].alias(c) for c in ("at", "re", "im")])
+    n = colours * colours
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            u = np.zeros((len(frame), n), complex)
+            row = np.repeat(np.arange(len(frame)), frame["at"].map(len))
+            u[row, np.concatenate(frame["at"].to_list()).astype(int)] = np.concatenate(frame["re"].to_list()) + 1j * np.concatenate(frame["im"].to_list())
+            u = unitary(u.reshape(-1, colours, colours)).reshape(-1)
+            a, b = np.divmod(np.tile(np.arange(n), len(frame)), colours)
+            yield pd.DataFrame({c: np.repeat(frame[c].to_numpy(), n) for c in own} | {"a": a, "b": b, "re": u.real, "im": u.imag})
+
+    return packed.mapInPandas(run, "t long, x long, y long, z long, mu long, a long, b long, re double, im double").select("mu", "z", "y", "x", "a", "b", "re", "im", "t")
 
 
 def eigenvalues(gauge: DataFrame, ext: Extents, colours: int, modes: int) -> DataFrame:

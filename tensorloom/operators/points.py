@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tensorloom.plans.einsum import Tensor, add, contract
+from tensorloom.plans.shared import Plan
 
 #: (disp, dx, dy, dz): none, one step in each direction and back.
 DISPLACEMENTS = ((0, 0, 0, 0), (1, 1, 0, 0), (2, 0, 1, 0), (3, 0, 0, 1), (4, -1, 0, 0), (5, 0, -1, 0), (6, 0, 0, -1))
@@ -83,6 +84,23 @@ def high_mode_both(psp: Tensor, high_source: Tensor, psv: Tensor, m: Tensor) ->
     return add(psp, sink.scaled(-1), source.scaled(-1))
 
 
+def summed_high_mode_plan(vsp: Tensor, psv: Tensor, tau: Tensor, m: Tensor) -> Plan:
+    """high_mode_both() summed over both points and both times, for a propagator whose sink the overlap carried to points.
+
+    Axes j, i, c, d. Points are summed inside the plan, before anything is joined on
+    them, so no pair of points is ever a row; terms that cancel are not made.
+    """
+    plan = Plan({"vsp": vsp, "psv": psv, "tau": tau, "m": m, "m*": m.conj()})
+    out = ("j", "i", "c", "d")
+    sink, source = ("m", ("t", "b", "p", "c")), ("m*", ("s", "a", "q", "d"))
+    solved, low = ("vsp", ("s", "t", "j", "i", "b", "q", "d")), ("tau", ("s", "t", "j", "i", "b", "a"))
+    plan.add([sink, solved], out)
+    plan.add([sink, solved], out, -1)
+    plan.add([sink, low, source], out)
+    plan.add([("psv", ("s", "t", "j", "i", "p", "c", "a")), source], out, -1)
+    return plan
+
+
 # --- sampled points ----------------------------------------------------------------------------
 
 #: A prime below 2**31: products of two residues stay below 2**62, and x -> x**5 is one-to-one, as 5 does not divide PRIME - 1.

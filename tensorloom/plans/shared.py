@@ -148,12 +148,32 @@ class Plan:
                 out.update(n.made[1:3])
         return out
 
+    def _weights(self) -> dict[tuple[int, tuple[str, ...]], Fraction | float]:
+        out: dict = {}
+        for w, part in self.terms:
+            out[part.node, part.labels] = out.get((part.node, part.labels), 0) + w
+        return {k: w for k, w in out.items() if w != 0}
+
+    def _wanted(self) -> set[int]:
+        """Nodes that terms of some weight need."""
+        out, open_ = set(), [node for node, _ in self._weights()]
+        while open_:
+            n = open_.pop()
+            if n not in out:
+                out.add(n)
+                made = self.nodes[n].made
+                open_ += made[1:2] if made[0] == "one" else made[1:3] if made[0] == "pair" else ()
+        return out
+
     # --- frames -------------------------------------------------------------------------------
 
     def tensors(self, hold: Callable[[DataFrame], DataFrame]) -> list[Tensor]:
         """The nodes' tensors, axes x0, x1, ...; pairs that are read more than once go through hold."""
-        uses, made = self.uses(), []
+        uses, made, wanted = self.uses(), [], self._wanted()
         for at, n in enumerate(self.nodes):
+            if at not in wanted:
+                made.append(None)
+                continue
             if n.made[0] == "leaf":
                 t = self.leaves[n.made[1]]
                 axes = [a for a in t.axes if a != CFG]
@@ -197,13 +217,8 @@ class Plan:
     def total(self, out: tuple[str, ...], hold: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
         """(cfg, out, re, im): the weighted sum of all terms. Whole numbers stay whole if all weights are."""
         made = self.tensors(hold)
-        weights: dict[tuple[int, tuple[str, ...]], Fraction | float] = {}
-        for w, part in self.terms:
-            weights[part.node, part.labels] = weights.get((part.node, part.labels), 0) + w
         frames, batch = [], ()
-        for (node, labels), w in weights.items():
-            if w == 0:
-                continue
+        for (node, labels), w in self._weights().items():
             t = made[node]
             batch = batch or t.batch
             if t.batch != batch:

@@ -128,6 +128,96 @@ def blocks(container: str, read: ReadAt, shape: tuple[int, ...] | None, dtype: s
     raise ValueError(f"unknown container {container}")
 
 
+def npy_head(shape: tuple[int, ...], dtype: str) -> bytes:
+    """Magic, version 1.0 and the array's description, padded to a multiple of 64 bytes."""
+    text = f"{{'descr': '{dtype}', 'fortran_order': False, 'shape': {tuple(shape)!r}, }}".encode()
+    text += b" " * (-(len(NPY_MAGIC) + 4 + len(text) + 1) % 64) + b"\n"
+    return NPY_MAGIC + b"\x01\x00" + struct.pack("<H", len(text)) + text
+
+
+def lime_record(name: str, size: int) -> bytes:
+    return LIME_MAGIC + b"\0\0" + struct.pack(">Q", size) + name.encode().ljust(128, b"\0")
+
+
+def lime_head(size: tuple[int, int, int, int], dtype: str, length: int) -> bytes:
+    lx, ly, lz, lt = size
+    xml = f"<f><lx>{lx}</lx><ly>{ly}</ly><lz>{lz}</lz><lt>{lt}</lt><precision>{np.dtype(dtype).itemsize * 4}</precision></f>".encode()
+    return lime_record("ildg-format", len(xml)) + xml + bytes(-len(xml) % 8) + lime_record("ildg-binary-data", length)
+
+
+def map_head(size: tuple[int, ...]) -> bytes:
+    def text(s: str) -> bytes:
+        return struct.pack(">i", len(s)) + s.encode()
+
+    return text(MAP_MAGIC) + struct.pack(">i", 1) + text(f"<m><lattSize>{' '.join(map(str, size))}</lattSize><decay_dir>3</decay_dir></m>")
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Where the segments of dense files lie: a segment holds the entries of one index of the `lead` leading axes.
+
+    container: npy, raw, lime (axes t, z, y, x, ...), map (axes t, e, z, y, x, c), or slices, npy files of
+    a segment each.
+    """
+
+    container: str
+    shape: tuple[int, ...]
+    type_: str
+    lead: int = 1
+
+    @property
+    def dtype(self) -> str:
+        return f">c{np.dtype(self.type_).itemsize}" if self.container == "lime" else self.type_
+
+    @property
+    def segment(self) -> tuple[int, ...]:
+        return self.shape[self.lead :]
+
+    @property
+    def bytes_(self) -> int:
+        return prod(self.segment) * np.dtype(self.dtype).itemsize
+
+    def name(self, cfg: str, lead: tuple[int, ...], suffix: str) -> str:
+        return cfg + "".join(f".t{i:03d}" for i in lead) + suffix if self.container == "slices" else cfg + suffix
+
+    def head(self) -> bytes:
+        if self.container == "raw":
+            return b""
+        if self.container == "npy":
+            return npy_head(self.shape, self.dtype)
+        if self.container == "slices":
+            return npy_head(self.segment, self.dtype)
+        if self.container == "lime":
+            t, z, y, x = self.shape[:4]
+            return lime_head((x, y, z, t), self.dtype, prod(self.shape) * np.dtype(self.dtype).itemsize)
+        if self.container == "map":
+            t, _, z, y, x = self.shape[:5]
+            head = map_head((x, y, z, t))
+            return head + struct.pack(">q", len(head) + 8 + prod(self.shape[: self.lead]) * self.bytes_)
+        raise ValueError(f"unknown container {self.container}")
+
+    def number(self, lead: tuple[int, ...]) -> int:
+        out = 0
+        for i, n in zip(lead, self.shape[: self.lead], strict=True):
+            out = out * n + i
+        return out
+
+    def place(self, lead: tuple[int, ...]) -> int:
+        return len(self.head()) + (0 if self.container == "slices" else self.number(lead) * self.bytes_)
+
+    def frame(self, cfg: str, suffix: str, leads: list[tuple[int, ...]]) -> list[tuple[str, bytes, int, bytes, int]]:
+        """(file name, what stands before the data, where and what stands after it, size without that) of a configuration's files."""
+        head, many = self.head(), prod(self.shape[: self.lead])
+        if self.container == "slices":
+            return [(self.name(cfg, x, suffix), head, len(head) + self.bytes_, b"", len(head) + self.bytes_) for x in leads]
+        end = len(head) + many * self.bytes_
+        after = b""
+        if self.container == "map":
+            keys = [x for x in np.ndindex(*self.shape[: self.lead])]
+            after = struct.pack(">I", many) + b"".join(struct.pack(f">i{self.lead}i", 4 * self.lead, *x) + struct.pack(">q", self.place(x)) for x in keys)
+        return [(cfg + suffix, head, end, after, end)]
+
+
 def map_file(entries: dict[tuple[int, ...], np.ndarray], size: tuple[int, ...]) -> bytes:
     """The bytes of a map file, for tests and export."""
 

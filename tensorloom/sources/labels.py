@@ -8,9 +8,10 @@ batch label: no contraction sums over it. Zeros are left out.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,16 +73,24 @@ def whole(t: Tensor) -> Tensor:
     return Tensor(t.frame.select(*t.axes, *parts), t.axes, t.sizes, t.rows, t.literal)
 
 
-def file_array(t: Tensor, kind: str) -> np.ndarray:
-    """One configuration of a tensor in file order; it must fit the driver. For fixtures and export of small tensors."""
+def file_rows(t: Tensor, kind: str, sizes: dict[str, int]) -> DataFrame:
+    """A tensor with operator labels as rows (cfg if it has it, file axes, re, im): labelled() the other way round. sizes as there."""
     names = {v: k for k, v in LABELS[kind].items()}
-    if "t_src" not in KINDS[kind].axes:
-        return t.relabelled(**names).ordered(*KINDS[kind].axes).dense()
-    lt = t.sizes["t"]
-    frame = t.frame.withColumn("dt", F.pmod(F.col("t") - F.col("s"), F.lit(lt))).drop("t")
-    axes = tuple("dt" if a == "t" else a for a in t.axes)
-    sizes = {("dt" if a == "t" else a): n for a, n in t.sizes.items()}
-    return Tensor(frame, axes, sizes).relabelled(s="t_src", **names).ordered(*KINDS[kind].axes).dense()
+    file_axes = KINDS[kind].axes
+    columns = {names.get(a, a): F.col(a) for a in t.axes}
+    if "t_src" in file_axes:
+        columns |= {"t_src": F.col("s"), "dt": F.pmod(F.col("t") - F.col("s"), F.lit(sizes["t"]))}
+    if kind == "eigenvector":
+        x, left = F.col("x"), 1
+        for a in ("c", "x", "y", "z"):
+            columns[a] = (F.floor(x / left) % sizes[a]).cast("long")
+            left *= sizes[a]
+    return t.frame.select(*t.batch, *[columns[a].alias(a) for a in file_axes], "re", "im")
+
+
+def file_shape(kind: str, sizes: dict[str, int]) -> tuple[int, ...]:
+    """Extents of a kind's file axes; times by `t`."""
+    return tuple(sizes.get(a, sizes["t"]) if a in ("t_src", "dt") else sizes[a] for a in KINDS[kind].axes)
 
 
 def fixture_folder(spark: SparkSession, name: str) -> str:
@@ -97,4 +106,5 @@ def fixture_folder(spark: SparkSession, name: str) -> str:
         root = tempfile.gettempdir()
     folder = os.path.join(root, f"tensorloom-files-{spark.sparkContext.applicationId}", name)
     os.makedirs(folder, exist_ok=True)
+    atexit.register(shutil.rmtree, os.path.dirname(folder), True)
     return folder

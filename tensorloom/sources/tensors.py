@@ -13,6 +13,7 @@ import glob
 import io
 import os
 import re
+import shutil
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -21,9 +22,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from tensorloom.sources.containers import Block, blocks
+from tensorloom.sources.containers import Block, Layout, blocks
 
 
 @dataclass(frozen=True)
@@ -138,6 +140,106 @@ class TensorReader(DataSourceReader):
         yield from pa.table(data).to_batches(max_chunksize=1 << 16)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """Segments that a task has written: (cfg, leading index)."""
+
+    segments: list[tuple[str, tuple[int, ...]]]
+
+
+class TensorWriter(DataSourceArrowWriter):
+    """Dense files, written segment by segment from the executors.
+
+    A segment is all entries of one leading index. Its place in the file follows from
+    the layout, so tasks write theirs into one file at once, and a task that runs
+    again writes the same bytes. The commit adds what stands before and after the
+    data, a few kilobytes a file, and only then gives files their names; what no row
+    names is zero. Rows must come dealt and sorted by (cfg, leading index), as
+    write_tensor() does; a segment of two tasks is an error.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.o = options
+        self.axes = options["axes"].split(",") if "axes" in options else list(KINDS[options["kind"]].axes)
+        self.layout = Layout(options.get("container", "npy"), _ints(options["shape"]), options.get("dtype", "<c16"), int(options.get("lead", 1)))
+        self.folder, self.suffix = options["path"], options.get("suffix", ".npy")
+
+    def _open(self, cfg: str, lead: tuple[int, ...]) -> str:
+        return os.path.join(self.folder, "_writing", self.layout.name(cfg, lead, self.suffix))
+
+    def _put(self, cfg: str, lead: tuple[int, ...], at: list[np.ndarray], values: list[np.ndarray]) -> None:
+        shape = self.layout.segment
+        x = np.zeros(int(np.prod(shape, dtype=int)), self.layout.dtype)
+        flat, number = np.concatenate(at), np.concatenate(values)
+        if len(np.unique(flat)) < len(flat):
+            raise ValueError(f"two rows for one index of {cfg} {lead}")
+        x[flat] = number
+        path = self._open(cfg, lead)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        file = os.open(path, os.O_WRONLY | os.O_CREAT)
+        try:
+            body, place = memoryview(x.tobytes()), self.layout.place(lead)
+            while body:
+                n = os.pwrite(file, body, place)
+                body, place = body[n:], place + n
+            os.fsync(file)
+        finally:
+            os.close(file)
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        lead, shape = self.layout.lead, self.layout.shape
+        done: list[tuple[str, tuple[int, ...]]] = []
+        key, at, values = None, [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            index = [b.column(a).to_numpy() for a in self.axes]
+            if any((x < 0).any() or (x >= n).any() for x, n in zip(index, shape, strict=True)):
+                raise ValueError(f"an index lies outside {shape}")
+            cfg = np.array([str(x) for x in b.column("cfg").to_pylist()], object)
+            flat = np.zeros(b.num_rows, np.int64)
+            for x, n in zip(index[lead:], shape[lead:], strict=True):
+                flat = flat * n + x
+            number = b.column("re").to_numpy() + 1j * b.column("im").to_numpy()
+            new = np.ones(b.num_rows, bool)
+            new[1:] = cfg[1:] != cfg[:-1]
+            for x in index[:lead]:
+                new[1:] |= x[1:] != x[:-1]
+            starts = np.flatnonzero(new).tolist()
+            for lo, hi in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                own = (cfg[lo], tuple(int(x[lo]) for x in index[:lead]))
+                if own != key:
+                    if key is not None:
+                        self._put(*key, at, values)
+                        done.append(key)
+                    key, at, values = own, [], []
+                at.append(flat[lo:hi])
+                values.append(number[lo:hi])
+        if key is not None:
+            self._put(*key, at, values)
+            done.append(key)
+        return Written(done)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        every = [x for m in messages if m is not None for x in m.segments]
+        if len(set(every)) < len(every):
+            self.abort(messages)
+            raise ValueError("rows of one segment came to two tasks: deal them by (cfg, leading axes)")
+        for cfg in sorted({cfg for cfg, _ in every}):
+            for name, before, at, after, size in self.layout.frame(cfg, self.suffix, [lead for c, lead in every if c == cfg]):
+                path = os.path.join(self.folder, "_writing", name)
+                with open(path, "r+b") as f:
+                    f.truncate(size)
+                    f.write(before)
+                    f.seek(at)
+                    f.write(after)
+                os.replace(path, os.path.join(self.folder, name))
+        self.abort(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        shutil.rmtree(os.path.join(self.folder, "_writing"), ignore_errors=True)
+
+
 class TensorSource(DataSource):
     """Options: path (a glob), kind or axes, container (npy, raw, lime, map), shape and dtype where the file does not tell, keys (of a map), cfg (a pattern for the file name)."""
 
@@ -152,6 +254,10 @@ class TensorSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return TensorReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        """Options: path (a folder), kind or axes, shape, container (npy, raw, lime, map, slices), dtype, suffix of the file names after cfg, lead (axes of a segment's index)."""
+        return TensorWriter(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -169,6 +275,21 @@ def load(spark: SparkSession, path: str, kind: str, container: str = "npy", **op
     return reader.load()
 
 
+def write_tensor(df: DataFrame, folder: str, kind: str, shape: tuple[int, ...], container: str = "npy", suffix: str = ".npy", dtype: str | None = None, lead: int | None = None) -> None:
+    """Rows (cfg, axes, re, im) of a kind as dense files, a file a configuration (container `slices`: a file a leading index), written by the executors.
+
+    folder: one that driver and executors can open by path. A task holds one segment:
+    the entries of one index of the `lead` leading axes.
+    """
+    register(df.sparkSession)
+    k = KINDS[kind]
+    lead = lead or max(1, k.keys)
+    keys = ["cfg", *k.axes[:lead]]
+    rows = df.select(F.col("cfg").cast("string").alias("cfg"), *[F.col(a).cast("long").alias(a) for a in k.axes], F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    out = rows.repartition(*keys).sortWithinPartitions(*keys).write.format("tensor").mode("append").option("path", folder).option("kind", kind).option("container", container)
+    out.option("shape", ",".join(map(str, shape))).option("dtype", dtype or k.dtype).option("suffix", suffix).option("lead", str(lead)).save()
+
+
 def binary_tensors(spark: SparkSession, path: str, axes: tuple[str, ...], container: str = "npy", shape=None, dtype: str | None = None, keys: int = 0) -> DataFrame:
     """The same through Spark's binaryFile reader; the file name up to the first dot is cfg."""
     schema = "cfg string, " + ", ".join(f"{a} long" for a in axes) + ", re double, im double"

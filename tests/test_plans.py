@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from tensorloom import catalog_diagrams as G
 from tensorloom import catalog_fields as C
+from tensorloom.catalog_correlators import Points
+from tensorloom.functions import links as L
+from tensorloom.operators import baryons as B
+from tensorloom.operators import construction as O
 from tensorloom.operators import fields as X
 from tensorloom.operators import modes as M
 from tensorloom.operators import points as P
 from tensorloom.plans import diagrams as D
+from tensorloom.plans import symmetry as S
 from tensorloom.plans.einsum import Tensor
 from tensorloom.plans.shared import Plan
 from tensorloom.sources import derived as T
@@ -138,6 +143,56 @@ def test_two_currents(spark):
     T.release()
 
 
+def test_triplets_are_determinants(spark):
+    """Elementals of three modes against determinants site by site."""
+    v = G.three_colours(spark, SF)
+    v = Tensor(v.frame.where("t = 1"), v.axes, v.sizes)
+    x = v.dense()[1]
+    got = np.zeros((T.NE,) * 3, complex)
+    for r in B.triplets(v).frame.collect():
+        got[r.a, r.b, r.c] += r.re + 1j * r.im
+    want = np.zeros_like(got)
+    for a, b, c in product(range(T.NE), repeat=3):
+        want[a, b, c] = sum(np.linalg.det(np.array([x[a, s], x[b, s], x[c, s]])) for s in range(G.SITES3))
+    assert np.abs(want).max() > 1 and np.abs(got - want).max() < 1e-9
+
+
+def test_link_operators_transform(spark):
+    """Rows of an irrep over a word's orbit turn into each other by its matrices; parity and charge signs are as asked."""
+    for word, rep, parity, charge in (((0,), "T_1", -1, -1), ((0,), "E", 1, 1), ((0, 1), "T_2", 1, 1), ((0, 1), "T_1", 1, -1)):
+        rows = S.link_rows(word, rep, parity, charge)
+        mats = S.irrep(rep, parity)
+        maps = {g: L.letter_map(m.tolist()) for g, m in S.vectors().items()}
+        for g in ("c4y", "c4z", "inviden", "c3delta"):
+            for k, row in enumerate(rows):
+                moved = {L.transform(w, maps[g]): c for w, c in row}
+                want = {}
+                for n, other in enumerate(rows):
+                    for w, c in other:
+                        want[w] = want.get(w, 0) + mats[g][n, k] * c
+                assert all(abs(moved.get(w, 0) - want.get(w, 0)) < 1e-7 for w in {*moved, *want})
+        for row in rows:
+            turned = {L.conjugate(w): c for w, c in row}
+            assert all(abs(turned[w] - charge * c) < 1e-9 for w, c in row)
+    with pytest.raises(ValueError):
+        S.link_rows((0,), "A_2", 1, 1)
+    with pytest.raises(ValueError):
+        O.whole_terms([[(0, (0,), 1.0), (0, (1,), 2**0.5)]])
+
+
+def test_summed_high_mode(spark):
+    """Summed inside the plan as summed from all pairs of points."""
+    q = Points(spark, SF)
+    cut_ = lambda t: Tensor(t.frame.where("s = 1 AND t = 2"), t.axes, t.sizes)
+    tau, vsp, psv, m = cut_(q.tau()), cut_(q.vsp()), cut_(q.psv()), q.ov()
+    psp = P.made_both_points(vsp, m)
+    rows = P.high_mode_both(psp, P.high_mode_source(vsp, tau, m), psv, m).frame.groupBy("j", "i", "c", "d").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).collect()
+    want = {(r.j, r.i, r.c, r.d): (r.re, r.im) for r in rows if r.re or r.im}
+    plan = P.summed_high_mode_plan(vsp, psv, tau, m)
+    got = {(r.j, r.i, r.c, r.d): (r.re, r.im) for r in plan.total(("j", "i", "c", "d")).collect() if r.re or r.im}
+    assert want and got == want
+
+
 # --- fields ----------------------------------------------------------------------------------
 
 

@@ -56,6 +56,39 @@ def test_lime_and_map(spark, tmp_path):
     assert np.allclose(back(df, T.KINDS["eigenvector"].axes, v.shape), v)
 
 
+@pytest.mark.parametrize(("container", "suffix", "kind", "lead"), [("npy", ".ov.npy", "overlap", 1), ("npy", ".ov.npy", "overlap", 2), ("raw", ".bin", "overlap", 1), ("slices", ".psl.npy", "overlap", 1), ("map", ".map", "eigenvector", 2), ("lime", ".lime", "gauge", 1)])
+def test_written_files_read_back(spark, tmp_path, container, suffix, kind, lead):
+    """Two configurations written from several tasks, indices without rows being zero."""
+    rng = np.random.default_rng(3)
+    shape = {"overlap": (3, 2, 4, 2), "eigenvector": (2, 3, 2, 2, 2, 3), "gauge": (2, 2, 2, 2, 4, 3, 3)}[kind]
+    x = rng.integers(-4, 5, (2, *shape)) + 1j * rng.integers(-4, 5, (2, *shape))
+    x[0, 1] = 0
+    axes = T.KINDS[kind].axes
+    rows = [(f"c{i[0]}", *map(int, i[1:]), float(x[i].real), float(x[i].imag)) for i in np.ndindex(*x.shape) if x[i] != 0]
+    df = spark.createDataFrame(rows, "cfg string, " + ", ".join(f"{a} long" for a in axes) + ", re double, im double").repartition(5)
+    T.write_tensor(df, str(tmp_path), kind, shape, container, suffix, lead=lead)
+    options = {"raw": {"shape": shape}, "map": {"shape": shape, "dtype": "<c16"}}.get(container, {})
+    got = T.load(spark, f"{tmp_path}/c*{suffix}", kind, "npy" if container == "slices" else container, **options)
+    for k in range(2):
+        assert np.array_equal(np.nan_to_num(back(got.where(f"cfg = 'c{k}'"), axes, shape)), x[k])
+    assert not (tmp_path / "_writing").exists()
+    if container == "npy":
+        assert np.array_equal(np.load(tmp_path / "c1.ov.npy"), x[1])
+
+
+def test_writer_errors(spark, tmp_path):
+    schema = "cfg string, t long, e long, p long, c long, re double, im double"
+    twice = spark.createDataFrame([("c", 0, 0, 0, 0, 1.0, 0.0)] * 2, schema)
+    outside = spark.createDataFrame([("c", 9, 0, 0, 0, 1.0, 0.0)], schema)
+    for df in (twice, outside):
+        with pytest.raises(Exception, match="two rows|outside"):
+            T.write_tensor(df, str(tmp_path), "overlap", (2, 2, 2, 2))
+    apart = spark.createDataFrame([("c", 0, 0, 0, i, 1.0, 0.0) for i in range(2)], schema).repartitionByRange(2, "c")
+    with pytest.raises(Exception, match="two tasks"):
+        apart.write.format("tensor").mode("append").option("path", str(tmp_path)).option("kind", "overlap").option("shape", "2,2,2,2").save()
+    assert not list(tmp_path.iterdir())
+
+
 def test_binary_route_and_strides(spark, tmp_path, x):
     np.save(tmp_path / "c1.npy", x)
     df = T.binary_tensors(spark, f"{tmp_path}/c1.npy", ("t", "e", "p", "c"))
