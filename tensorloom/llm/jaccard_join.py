@@ -4,13 +4,15 @@ Rows are distinct sets (copies of a set are one row), columns are shingles. The
 product of the incidence with its transpose holds every pair's overlap; it is
 never formed whole:
 
-* Columns: similar sets share a shingle among the first n - ceil(t n) + 1 of each
-  under any one order of all shingles. Only those entries are multiplied. The
+* Columns: similar sets share LEAST shingles among the first n - ceil(t n) + LEAST of
+  each under any one order of all shingles. Only those entries are multiplied. The
   order puts shingles last that share a counter with many documents; the counters
   (a fixed number) are counted over the whole corpus.
-* Blocks: the rows of one column are a unit of work. A column of more than BLOCK
-  rows is dealt into row blocks, and each pair of blocks is a unit of its own, so
-  that no task holds more than 2 BLOCK rows. Columns of the same rows are one.
+* Counts: columns of few rows give their pairs, and overlaps are added up over all
+  such columns; a pair of fewer than LEAST that meets in no larger column is dropped.
+* Blocks: a larger column is a unit of work. One of more than BLOCK rows is dealt
+  into row blocks, and each pair of blocks is a unit of its own, so that no task
+  holds more than 2 BLOCK rows. Columns of the same rows are one, with their number.
 * Bounds: a unit drops a pair whose sizes differ too much, or whose parity bits
   differ in more places than similar sets of these sizes can (a shingle flips one
   bit). What is left is accumulated exactly, one range of columns after the
@@ -40,8 +42,10 @@ from tensorloom.llm.staging import placed, ship_code, stage
 WIDTH, SIMILAR = 3, (9, 10)
 #: Counters that order shingles, dealt by the top bits of their hashes, and counters in a row of the sum.
 COUNTERS, CHUNK = 1 << 18, 1 << 12
-#: Rows of a column that one task compares among themselves; larger columns are split.
-BLOCK = 1 << 14
+#: Shingles that the multiplied entries of similar sets share at least.
+LEAST = 3
+#: Rows of a column that gives its pairs; larger ones are units. Rows that one task compares among themselves; larger columns are split.
+FEW, BLOCK = 8, 1 << 14
 #: A unit is asked for nearest partners again while more than one answer in so many links. No link depends on it.
 WORTH = 8
 #: Shingles of a range of columns when overlaps are accumulated.
@@ -67,6 +71,12 @@ def needed(sizes, similar: tuple[int, int] = SIMILAR):
     return -(-p * sizes // (p + q))
 
 
+def least_shared(similar: tuple[int, int]) -> int:
+    """LEAST, or the overlap of the smallest similar sets that differ, if that is less."""
+    p, q = similar
+    return min(LEAST, int(needed(2 * -(-p // (q - p)) + 1, similar)))
+
+
 def reaches(a: np.ndarray, b: np.ndarray, need: int) -> bool:
     """Whether two sorted sets share `need` shingles, accumulated over ranges of columns; ends as soon as that is certain."""
     got, i, j = 0, 0, 0
@@ -87,9 +97,9 @@ def counter_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def prefix(hashes: np.ndarray, counts: np.ndarray, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
-    """The entries of a row that are multiplied: its first n - ceil(t n) + 1 shingles by (counter, hash)."""
+    """The entries of a row that are multiplied: its first n - ceil(t n) + least_shared() shingles by (counter, hash)."""
     n, (p, q) = len(hashes), similar
-    return hashes[np.lexsort((hashes, counts[counter_of(hashes)]))[: n + (-p * n // q) + 1]]
+    return hashes[np.lexsort((hashes, counts[counter_of(hashes)]))[: n + (-p * n // q) + least_shared(similar)]]
 
 
 def parity(hashes: np.ndarray) -> bytes:
@@ -106,6 +116,15 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+def near(s: int, t: int, p: bytes, q: bytes, similar: tuple[int, int]) -> bool:
+    """Whether rows of sizes s and t with these parity bits can be similar."""
+    if similar[0] * max(s, t) > similar[1] * min(s, t):
+        return False
+    one, two = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    words = min(len(one), len(two))
+    return int(np.bitwise_count(folded(one, words) ^ folded(two, words)).sum(dtype=np.int64)) <= s + t - 2 * needed(s + t, similar)
+
+
 # --- tasks -----------------------------------------------------------------------------------
 
 
@@ -262,27 +281,6 @@ def _products(similar: tuple[int, int], whole: bool) -> Callable:
         yield rows(NEAREST, whom[asks], u.row[asks], best[asks])
         yield pd.DataFrame({"kind": AGAIN, "a": 0, "b": 0, "apart": 0, "h": x["h"].iloc[:1], "i": x["i"].iloc[:1], "j": x["j"].iloc[:1]})
 
-    def small(x: pd.DataFrame, starts: list[int], ends: list[int]) -> Iterator[pd.DataFrame]:
-        """Units of 2 or 3 rows have no more pairs than rows."""
-        size, row, comp, block = (x[c].tolist() for c in ("size", "row", "comp", "block"))
-        cross = (x["i"] != x["j"]).tolist()
-        bits = x["bits"].tolist()
-        p, q = similar
-        out: list[tuple[int, int]] = []
-        for lo, hi in zip(starts, ends, strict=True):
-            for i in range(lo, hi):
-                for j in range(i + 1, hi):
-                    s, t = size[i], size[j]
-                    if comp[i] == comp[j] or p * max(s, t) > q * min(s, t) or cross[i] and block[i] == block[j]:
-                        continue
-                    one, two = np.frombuffer(bits[i], np.uint64), np.frombuffer(bits[j], np.uint64)
-                    words = min(len(one), len(two))
-                    if np.bitwise_count(folded(one, words) ^ folded(two, words)).sum(dtype=np.int64) <= s + t - 2 * needed(s + t, similar):
-                        out.append((row[i], row[j]))
-        if out:
-            a, b = zip(*out, strict=True)
-            yield rows(PAIR, a, b, 0)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frames in _by_unit(batches):
             x = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame()
@@ -291,9 +289,7 @@ def _products(similar: tuple[int, int], whole: bool) -> Callable:
             h, i, j = (x[c].to_numpy() for c in ("h", "i", "j"))
             edge = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             starts, ends = np.append(0, edge), np.append(edge, len(x))
-            few = ends - starts <= 3
-            yield from small(x, starts[few].tolist(), ends[few].tolist())
-            for lo, hi in zip(starts[~few].tolist(), ends[~few].tolist(), strict=True):
+            for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
                 yield from unit(x.iloc[lo:hi])
 
     return run
@@ -326,16 +322,46 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, simi
     return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInPandas(_verified(width, similar), "u long, v long"), "similar")
 
 
-def _units(heads: DataFrame) -> DataFrame:
-    """(h, i, j, block, row, size, bits): the rows of each unit; i and j are a pair of row blocks of column h."""
-    index = heads.select("row", F.explode("head").alias("h"))
+def _entries(heads: DataFrame) -> DataFrame:
+    """(h, n, times, row, size): the entries of columns of several rows; of columns of the same rows one, times being their number."""
+    index = heads.select("row", "size", F.explode("head").alias("h"))
+    several = stage(index.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "columns")
+    some, _ = sieved(index, F.col("h"), several.select("h"))  # most shingles are in one row only: their entries are not shuffled again
+    entries = stage(some.join(several, "h"), "all-entries")
     marks = [F.bit_xor(F.xxhash64("row")).alias("m0"), F.bit_xor(F.xxhash64(F.lit("second"), "row")).alias("m1")]
-    columns = index.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *marks).where("n > 1").groupBy("n", "m0", "m1").agg(F.min("h").alias("h"))
-    entries = index.join(columns.select("h", "n"), "h")
+    alike = entries.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *marks).groupBy("n", "m0", "m1").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("times"))
+    return stage(entries.join(alike.select("h", "times"), "h"), "entries")
+
+
+def _counted_pairs(entries: DataFrame, marks: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(a, b): rows that share LEAST columns of at most FEW rows, and pass the bounds. marks: (row, size, bits)."""
+    p, q = similar
+    few = entries.where(F.col("n") <= FEW)
+    left = few.select("h", "times", F.col("row").alias("a"), F.col("size").alias("s"))
+    right = few.select("h", F.col("row").alias("b"), F.col("size").alias("t"))
+    both = left.join(right, "h").where((F.col("a") < F.col("b")) & (p * F.greatest("s", "t") <= q * F.least("s", "t")))
+    pairs = stage(both.groupBy("a", "b").agg(F.sum("times").alias("shared")).where(F.col("shared") >= least_shared(similar)).select("a", "b"), "counted")
+    wanted = pairs.select(F.xxhash64("a").alias("k")).unionByName(pairs.select(F.xxhash64("b").alias("k"))).distinct()
+    own, _ = sieved(marks, F.xxhash64("row"), wanted)
+    own = stage(own, "counted-bits")
+    both = pairs.join(own.select(F.col("row").alias("a"), F.col("size").alias("s"), F.col("bits").alias("p")), "a").join(own.select(F.col("row").alias("b"), F.col("size").alias("t"), F.col("bits").alias("q")), "b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            fits = [near(*r, similar) for r in zip(x["s"], x["t"], x["p"], x["q"], strict=True)]
+            yield x[["a", "b"]][np.array(fits, bool)]
+
+    return both.mapInPandas(run, "a long, b long")
+
+
+def _units(entries: DataFrame, marks: DataFrame) -> DataFrame:
+    """(h, i, j, block, row, size, bits): the rows of each unit; i and j are a pair of row blocks of column h. marks: (row, size, bits)."""
+    large = entries.where(F.col("n") > FEW)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    entries = entries.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "row"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    entries = entries.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row")
-    return stage(entries.join(heads.select("row", "size", "bits"), "row"), "units")
+    large = large.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "row"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    large = large.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row")
+    wanted, _ = sieved(marks, F.xxhash64("row"), large.select(F.xxhash64("row")).distinct())
+    return stage(large.join(wanted, "row"), "units")
 
 
 def class_links(docs: DataFrame, heads: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
@@ -343,7 +369,8 @@ def class_links(docs: DataFrame, heads: DataFrame, width: int, similar: tuple[in
 
     docs: (file, line, text); heads: (row, file, line, size, bits, head), distinct sets.
     """
-    nodes, units = heads.select("row", "file", "line"), _units(heads)
+    nodes, marks, entries = heads.select("row", "file", "line"), heads.select("row", "size", "bits"), _entries(heads)
+    units, more = _units(entries, marks), _counted_pairs(entries, marks, similar)
     open_ = units.withColumn("comp", F.col("row"))
     links, whole = None, False
     while True:
@@ -351,6 +378,7 @@ def class_links(docs: DataFrame, heads: DataFrame, width: int, similar: tuple[in
         found = stage(work.mapInPandas(_products(similar, whole), FOUND), "products")
         asked = found.where(F.col("kind") == NEAREST).groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b")
         pairs = found.where(F.col("kind") == PAIR).select("a", "b").unionByName(asked)
+        pairs, more = (pairs.unionByName(more), None) if more is not None else (pairs, None)
         pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         new = _links(docs, nodes, pairs, width, similar)
         links = new if links is None else links.unionByName(new)
@@ -365,6 +393,28 @@ def class_links(docs: DataFrame, heads: DataFrame, width: int, similar: tuple[in
         open_ = named.join(mixed.select("h", "i", "j"), ["h", "i", "j"], "left_semi")
 
 
+def classes(base: DataFrame, width: int, similar: tuple[int, int], empty_links: bool) -> DataFrame:
+    """base (doc_id LONG, text, file, line) as (doc_id, n_shingles, component_id, kept, file, line); empty_links: sets without shingles are one class."""
+    ship_code(base.sparkSession)
+    rows = base.withColumn("row", F.monotonically_increasing_id())
+    kind = "doc_id long, row long, file long, line long, size long, digest binary, bits binary, head array<long>"
+    sets = stage(rows.mapInPandas(_described(counters(base, width), width, similar), kind), "sets")
+    some = sets.select("doc_id", "row", "file", "line", "size", "digest")
+    linked = some if empty_links else some.where("size > 0")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("best")
+    alike = stage(linked.groupBy("digest").agg(best, F.count(F.lit(1)).alias("n")), "set-classes")
+    copies = stage(linked.join(alike.where("n > 1"), "digest").where("row <> best.row").select("row"), "copies")
+    maybe, clean = sieved(sets.where(F.size("head") > 0).select("row", "file", "line", "size", "bits", "head"), F.xxhash64("row"), copies.select(F.xxhash64("row")))
+    heads = stage(maybe.join(copies, "row", "left_anti").unionByName(clean), "heads")
+    roots = components(class_links(base, heads, width, similar))
+    owner = stage(alike.join(roots.withColumnRenamed("v", "root"), F.col("best.row") == F.col("u"), "left").select("digest", "best", F.coalesce("root", "best.row").alias("root")), "class-roots")
+    final = owner.select("digest", "root").join(owner.groupBy("root").agg(F.min("best").alias("top")), "root").select("digest", "top")
+    out = linked.join(final, "digest").select("doc_id", F.col("size").alias("n_shingles"), F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"), "file", "line")
+    if empty_links:
+        return out
+    return out.unionByName(some.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "file", "line"))
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (the one row of each component that stays), file, line (where the row lies).
 
@@ -376,18 +426,5 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id is a component's only if it has no other. Of equal smallest ids the
     first row read is kept. Extra columns are not read; no rows give no rows.
     """
-    ship_code(docs.sparkSession)
     base = placed(docs).select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), F.col(f"row.{text_col}").cast("string").alias("text"), "file", "line")
-    rows = base.withColumn("row", F.monotonically_increasing_id())
-    kind = "doc_id long, row long, file long, line long, size long, digest binary, bits binary, head array<long>"
-    sets = stage(rows.mapInPandas(_described(counters(base, width), width, similar), kind), "sets")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("best")
-    classes = stage(sets.where("size > 0").groupBy("digest").agg(best), "set-classes")
-    heads = stage(sets.join(classes.select("best.row"), "row", "left_semi").where(F.size("head") > 0).select("row", "file", "line", "size", "bits", "head"), "heads")
-    roots = components(class_links(base, heads, width, similar))
-    owner = stage(classes.join(roots.withColumnRenamed("v", "root"), F.col("best.row") == F.col("u"), "left").select("digest", "best", F.coalesce("root", "best.row").alias("root")), "class-roots")
-    final = owner.select("digest", "root").join(owner.groupBy("root").agg(F.min("best").alias("top")), "root").select("digest", "top")
-    some = sets.select("doc_id", "row", "file", "line", "size", "digest")
-    words = some.where("size > 0").join(final, "digest").select("doc_id", F.col("size").alias("n_shingles"), F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"), "file", "line")
-    none = some.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "file", "line")
-    return words.unionByName(none)
+    return classes(base, width, similar, False)

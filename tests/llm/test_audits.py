@@ -68,10 +68,11 @@ def test_no_rows(tables):
     assert jaccard_join.similar_classes(tables["empty"]).count() == 0
 
 
-@pytest.mark.parametrize(("width", "similar", "block", "worth"), [(3, (9, 10), 1 << 14, 8), (5, (4, 5), 4, 8), (3, (9, 10), 3, 0), (2, (3, 4), 5, 10**6)])
+@pytest.mark.parametrize(("width", "similar", "block", "worth"), [(3, (9, 10), 1 << 14, 8), (5, (4, 5), 4, 8), (3, (9, 10), 3, 0), (2, (3, 4), 5, 10**6), (1, (1, 2), 9, 8)])
 def test_edits(spark, monkeypatch, width, similar, block, worth):
     """Groups of edited copies, with columns split into row blocks and units asked once or until none links."""
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "FEW", min(block, 8) - 1)
     monkeypatch.setattr(jaccard_join, "WORTH", worth)
     rows = edited_rows(12, 10) + [(10_000 + i, t) for i, t in enumerate(["a b", "A  b", "a b c", "a b c d e f g h i j k", "a b c d e f g h i j k l", " ", None])]
     got, _ = found_classes(jaccard_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), width=width, similar=similar))
