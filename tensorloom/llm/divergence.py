@@ -2,10 +2,10 @@
 
 Sort-based streaming. Each task counts its own documents' terms by (lang,
 source, term) in blocks of bounded size, so that what a frequent term or a hot
-source sends on depends on the number of blocks, not of documents. The block rows
-are dealt by (lang, term) and sorted by (lang, term, source, block); a
-run-length scan adds documents and occurrences up, holds no more than one run's
-sources, and drops terms of too few documents as the run ends. A second scan of
+source sends on depends on the number of blocks, not of documents. A block's rows, a
+term with its sources in order, are dealt by (lang, term) and sorted by (lang, term,
+block); a run-length scan adds documents and occurrences up by source, holds no more
+than one run's sources, and drops terms of too few documents as the run ends. A second scan of
 the kept terms' runs emits partial sums for pairs of sources that both have the
 term. Pairs where one source lacks a term follow from the histogram of the
 other's counts, which is far smaller than the terms.
@@ -18,9 +18,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +32,7 @@ from tensorloom.llm.staging import ship_code, stage
 
 LEAST_DOCS, TOP, UNIT = 10, 10, 1_000_000_000
 #: Distinct (lang, source, term) that a task holds before it sends a block on, and pair sums before they are added up.
-BLOCK_ENTRIES, PAIR_ENTRIES = 1 << 18, 1 << 20
+BLOCK_ENTRIES, PAIR_ENTRIES = 1 << 19, 1 << 20
 
 #: Bytes: letters A-Z to a-z, other ASCII bytes to a space, those of other characters stay.
 FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -39,23 +42,31 @@ def terms(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (lang, term, block, sources, documents, occurrences) for each term of each block of this task's documents."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     part, number = TaskContext.get().partitionId(), 0
 
-    def out() -> Iterator[pd.DataFrame]:
-        for (lang, source), (count, docs) in held.items():
-            names = list(count)
-            for lo in range(0, len(names), 1 << 16):
-                own = names[lo : lo + (1 << 16)]
-                yield pd.DataFrame({
-                    "lang": lang, "term": [x.decode("utf-8", "surrogatepass") for x in own], "source": source,
-                    "block": (part << 32) + number, "docs": [docs[x] for x in own], "n": [count[x] for x in own],
-                })
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang in sorted({x for x, _ in held}):
+            own = [(source, *pair) for (x, source), pair in sorted(held.items()) if x == lang]
+            names = pa.array(chain.from_iterable(count for _, count, _ in own), pa.binary()).dictionary_encode()
+            code = names.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            size = np.array([len(count) for _, count, _ in own])
+            sources = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(own)), size)[order], pa.array([x for x, *_ in own], pa.string())).cast(pa.string())
+            n = np.fromiter(chain.from_iterable(count.values() for _, count, _ in own), np.int64, len(code))[order]
+            docs = np.fromiter(chain.from_iterable(map(docs.__getitem__, count) for _, count, docs in own), np.int64, len(code))[order]
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(code, minlength=len(names.dictionary)))).astype(np.int32))
+            rows = len(names.dictionary)
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (sources, pa.array(docs), pa.array(n))]
+            whole = pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(rows, np.int64))), names.dictionary.cast(pa.string()), pa.array(np.full(rows, (part << 32) + number)), *lists], names=BLOCK_COLUMNS)
+            for lo in range(0, rows, 1 << 14):
+                yield whole.slice(lo, 1 << 14)
         held.clear()
 
     for b in batches:
-        for lang, source, text in zip(b["lang"], b["source"], b["text"], strict=True):
+        for lang, source, text in zip(*[b.column(c).to_pylist() for c in ("lang", "source", "text")], strict=True):
             got = terms(text)
             if got:
                 count, docs = held.setdefault((lang, source), (Counter(), Counter()))
@@ -67,6 +78,9 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from out()
 
 
+BLOCK_COLUMNS = ["lang", "term", "block", "sources", "docs", "n"]
+
+
 def _edges(*columns: np.ndarray) -> np.ndarray:
     """Where a new run of equal values starts."""
     new = np.zeros(len(columns[0]), bool)
@@ -76,37 +90,57 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _by_source(x: pd.DataFrame) -> pd.DataFrame:
-    """Rows sorted by (lang, term, source), added up to one a source."""
-    at = _edges(*[x[c].to_numpy(object) for c in ("lang", "term", "source")])
-    sums = {c: np.add.reduceat(x[c].to_numpy("int64"), at) for c in ("docs", "n")} if len(x) else {"docs": x["docs"], "n": x["n"]}
-    return x.iloc[at].assign(**sums)
+def _summed_runs(rows: pa.Table) -> tuple[pa.Table, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Rows sorted by (lang, term): (lang, term) of each run; and by run and source: the run, the source, documents, occurrences."""
+    lang, term = (rows[c].combine_chunks() for c in ("lang", "term"))
+    new = np.ones(len(term), bool)
+    new[1:] = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+    lists = {c: rows[c].combine_chunks() for c in ("sources", "docs", "n")}
+    run = np.repeat(np.cumsum(new) - 1, lists["sources"].value_lengths().to_numpy())
+    names = lists["sources"].flatten().dictionary_encode()
+    many = max(1, len(names.dictionary))
+    key = run * many + names.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = _edges(key)
+    docs, n = (np.add.reduceat(lists[c].flatten().to_numpy()[order], at) for c in ("docs", "n"))
+    return rows.select(["lang", "term"]).filter(pa.array(new)), key[at] // many, names.dictionary.take(pa.array(key[at] % many)), docs, n
 
 
 def _runs(least: int):
-    """Sorted block rows to (lang, term, source, n, lang_n, lead) of terms of `least` or more documents; lead marks a term's first row."""
+    """Sorted block rows to (lang, term, source, n, lang_n, lead) of terms of `least` or more documents; lead marks a term's first row.
 
-    def whole(x: pd.DataFrame) -> pd.DataFrame:
-        at = _edges(x["lang"].to_numpy(object), x["term"].to_numpy(object))
-        size = np.diff(np.append(at, len(x)))
-        docs = np.repeat(np.add.reduceat(x["docs"].to_numpy("int64"), at), size)
-        total = np.repeat(np.add.reduceat(x["n"].to_numpy("int64"), at), size)
-        lead = np.zeros(len(x), bool)
+    What is carried from batch to batch is one run, added up to a row: as long as the term's sources.
+    """
+
+    def whole(runs: pa.Table, run: np.ndarray, source: pa.Array, docs: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = _edges(run)
+        size = np.diff(np.append(at, len(run)))
+        keep = np.repeat(np.add.reduceat(docs, at), size) >= least
+        if not keep.any():
+            return
+        lead = np.zeros(len(run), bool)
         lead[at] = True
-        return x[["lang", "term", "source", "n"]].assign(lang_n=total, lead=lead)[docs >= least]
+        total = np.repeat(np.add.reduceat(n, at), size)
+        names = runs.take(pa.array(run[keep]))
+        made = [names["lang"].combine_chunks(), names["term"].combine_chunks(), source.filter(pa.array(keep)), pa.array(n[keep]), pa.array(total[keep]), pa.array(lead[keep])]
+        yield pa.RecordBatch.from_arrays(made, names=["lang", "term", "source", "n", "lang_n", "lead"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for x in batches:
-            if not len(x):
+        for b in batches:
+            if not b.num_rows:
                 continue
-            x = _by_source(x if held is None else pd.concat([held, x], ignore_index=True))
-            last = _edges(x["lang"].to_numpy(object), x["term"].to_numpy(object))[-1]
-            held = x.iloc[last:]
+            rows = pa.Table.from_batches([b]).select(["lang", "term", "sources", "docs", "n"])
+            runs, run_, source, docs, n = _summed_runs(rows if held is None else pa.concat_tables([held, rows]))
+            last = int(np.searchsorted(run_, run_[-1]))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(run_) - last], pa.int32()), x) for x in (source[last:], pa.array(docs[last:]), pa.array(n[last:]))]
+            end = runs.slice(runs.num_rows - 1)
+            held = pa.table([end["lang"].combine_chunks(), end["term"].combine_chunks(), *lists], names=rows.column_names)
             if last:
-                yield whole(x.iloc[:last])
+                yield from whole(runs, run_[:last], source[:last], docs[:last], n[:last])
         if held is not None:
-            yield whole(held)
+            yield from whole(*_summed_runs(held))
 
     return run
 
@@ -188,9 +222,9 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     spark = docs.sparkSession
     ship_code(spark)
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    blocks = rows.mapInPandas(_blocks, "lang string, term string, source string, block long, docs long, n long")
-    scan = blocks.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "block")
-    kept = stage(scan.mapInPandas(_runs(least_docs), "lang string, term string, source string, n long, lang_n long, lead boolean"), "kept-terms")
+    blocks = rows.mapInArrow(_blocks, "lang string, term string, block long, sources array<string>, docs array<long>, n array<long>")
+    scan = blocks.repartition("lang", "term").sortWithinPartitions("lang", "term", "block")
+    kept = stage(scan.mapInArrow(_runs(least_docs), "lang string, term string, source string, n long, lang_n long, lead boolean"), "kept-terms")
     langs = kept.groupBy("lang").agg(F.sum(F.col("lead").cast("long")).alias("v"), F.sum("n").alias("lang_total"))
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = rows.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["v", "lang_total", "total"])
