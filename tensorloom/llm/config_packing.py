@@ -11,9 +11,13 @@ best configuration's value are feasible for the dual, so every round also gives
 a lower bound of the number of sequences.
 
 The fractional solution is rounded to whole copies, and the program is solved
-again for the pieces that this leaves, until none are left. Where a finer step
-may gain it is tried, and the plan with the fewest sequences counts; only if
-packing what some round leaves by best fit needs fewer, that rest is packed so.
+again for the pieces that this leaves, until none are left. Where that stays
+further than TOLERANCE from the bound, the program is solved to a stated gap: as a
+game of weights of lengths against shares of the configurations found so far, both
+updated multiplicatively (`played`), the averages being a solution and its dual,
+with new configurations priced by the dynamic program until the two meet. The plan
+with the fewest sequences counts; only if packing what some round leaves by best
+fit needs fewer, that rest is packed so.
 The plan says for every length which ranks go where; its size depends on
 seq_len, not on the corpus. Executors rank the pieces of a length and look up
 their places. Full pieces are sequences of their own and need neither.
@@ -53,9 +57,12 @@ class Effort:
     least: float = 0.03
 
 
-#: The second is tried where the first stays further from the bound than TOLERANCE, for at most WORK layers of the dynamic program.
+#: Where the first effort stays further from the bound than TOLERANCE, the program is solved to GAP for up to LENGTHS
+#: lengths and PLAYS products of weights with entries of configurations; with more lengths the finer effort is tried, for at
+#: most WORK layers of the dynamic program. PHASES: how often a rest is solved again. All of them bound the driver's time only.
 COARSE, FINE = Effort(), Effort(rounds=120, step=0.02, rate=16.0, least=0.001)
 TOLERANCE, WORK = 0.001, 400_000
+GAP, LENGTHS, PLAYS = 0.004, 400, 1.5e10
 PHASES = 64
 
 
@@ -150,6 +157,78 @@ def fractional(counts: dict[int, int], capacity: int, effort: Effort = COARSE) -
     return out, bound, work
 
 
+def played(cover: np.ndarray, weights: np.ndarray, shares: np.ndarray, gap: float, most: int, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray, float, float, int]:
+    """The game of lengths against configurations: cover[i, c] is the share of length i's pieces that a copy of c takes.
+
+    Weights fall with what is covered, shares of configurations rise with the
+    weights they take, each step foreseeing the next by the last change. Returns the
+    average weights and shares, the number of copies that cover everything, the
+    least number by the weights (over these configurations), and steps. weights and
+    shares come and go as logarithms.
+    """
+    def normal(x: np.ndarray) -> np.ndarray:
+        x = np.exp(x)
+        return x / x.sum()
+
+    w, p = normal(weights), normal(shares)
+    last_w, last_p = cover @ p, w @ cover
+    sum_w, sum_p = np.zeros_like(w), np.zeros_like(p)
+    for step in range(1, most + 1):
+        now_w, now_p = cover @ p, w @ cover
+        by = rate / max(float(now_p.max()), 1e-300)
+        weights -= by * (2 * now_w - last_w)
+        shares += by * (2 * now_p - last_p)
+        weights -= weights.max()
+        np.maximum(shares - shares.max(), -40, out=shares)
+        last_w, last_p = now_w, now_p
+        w, p = normal(weights), normal(shares)
+        sum_w += step * w
+        sum_p += step * p
+        if step % 200 == 0 or step == most:
+            mean_w, mean_p = sum_w / sum_w.sum(), sum_p / sum_p.sum()
+            copies, least = 1 / float((cover @ mean_p).min()), 1 / float((mean_w @ cover).max())
+            if copies <= least * (1 + gap):
+                break
+    return mean_w, mean_p, copies, least, step
+
+
+def converged(counts: dict[int, int], capacity: int, gap: float = GAP, plays: float = PLAYS) -> tuple[dict[Config, float], float]:
+    """Configurations and how often each is used, to within gap of the returned lower bound, unless plays runs out first."""
+    lengths = np.array(sorted(counts), np.int64)
+    need = np.array([counts[x] for x in lengths.tolist()], np.int64)
+    pool: dict[tuple[tuple[int, int], ...], float] = {((i, int(min(capacity // x, n))),): 0.0 for i, (x, n) in enumerate(zip(lengths.tolist(), need.tolist(), strict=True))}
+    w = lengths * need / (lengths @ need)
+    weights, bound, best, found = np.log(w), 0.0, np.inf, {}
+    free = [np.inf] * len(lengths), [0.0] * len(lengths)
+    while plays > 0:
+        sack = Knapsack(lengths, need, w / need, capacity)
+        bound = max(bound, 1 / sack.best)
+        if best <= bound * (1 + gap):
+            break
+        usual, before = float(np.mean(list(pool.values()))), len(pool)
+        for head in np.flatnonzero(sack.value >= 0.9 * sack.best).tolist():
+            pool.setdefault(tuple(sorted(sack.about(head, *free)[0].items())), usual)
+        cover = np.zeros((len(lengths), len(pool)))
+        for c, config in enumerate(pool):
+            for i, k in config:
+                cover[i, c] = k / need[i]
+        most = max(200, min(4000 if len(pool) > before else 40_000, int(plays / cover.size)))
+        w, p, copies, _, steps = played(cover, weights, np.array(list(pool.values())), gap / 4, most)
+        plays -= steps * cover.size
+        if copies < best:
+            best, found = copies, {config: copies * float(x) for config, x in zip(pool, p, strict=True)}
+        pool = {config: float(np.log(max(x, 1e-9))) for config, x in zip(pool, p, strict=True) if x > 1e-6 or len(config) == 1}
+    return {tuple((int(lengths[i]), k) for i, k in reversed(config)): x for config, x in found.items()}, bound
+
+
+def settled(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, Config]], list[tuple[int, Config]], float]:
+    """As programmed(), from the converged program: whole copies, then what they leave by the coarse effort."""
+    shares, bound = converged(counts, capacity)
+    copies, left = rounded(shares, counts)
+    more, rest, _ = programmed(left, capacity, COARSE) if left else ([], [], 0.0)
+    return copies + more, rest, bound
+
+
 def rounded(shares: dict[Config, float], counts: dict[int, int]) -> tuple[list[tuple[int, Config]], dict[int, int]]:
     """Whole copies: every share rounded down, then single copies of what the fractions add up to, as far as the pieces allow. And the rest of the histogram."""
     left, out, more = dict(counts), [], 0.0
@@ -257,7 +336,7 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
         return sum(n for n, _ in x)
 
     if size(copies) + size(rest) > (1 + TOLERANCE) * max(1, int(np.ceil(bound - 1e-6))):
-        again = programmed(counts, capacity, FINE, WORK)
+        again = settled(counts, capacity) if len(counts) <= LENGTHS else programmed(counts, capacity, FINE, WORK)
         bound = max(bound, again[2])
         if size(again[0]) + size(again[1]) < size(copies) + size(rest):
             copies, rest = again[:2]
