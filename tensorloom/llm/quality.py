@@ -31,6 +31,8 @@ from tensorloom.llm.staging import placed, ship_code, stage
 
 #: Labelled rows that the models are fitted on, at most; those of the smallest hash.
 TRAIN_ROWS = 20_000
+#: Hashed words of one of them that count, at most.
+TRAIN_PLACES = 4096
 #: Places of the hashed words and stems.
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
@@ -168,24 +170,27 @@ def fitted(numbers: np.ndarray, places: list[np.ndarray], labels: np.ndarray) ->
     return Model(np.array(all_odds), mean, scale, np.array([logistic(x, y) for y in labels.T.astype(float)]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
-    """docs with labels (doc_id, quality, toxic). The driver gets the features of at most train_rows documents.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, train_places: int = TRAIN_PLACES) -> Model:
+    """docs with labels (doc_id, quality, toxic). The driver gets the features of at most train_rows documents, train_places hashed words of each.
 
     A document labelled more than once counts as low quality or toxic if any of
     its labels says so; null labels say nothing, and without either kind a
-    document is not used. Repeated rows of a document count each.
+    document is not used. Of repeated rows of a labelled id the one with the
+    smallest hash of its text is used. Longer texts give the train_places lowest
+    places; scoring reads whole texts.
     """
     ship_code(docs.sparkSession)
     known = labels.groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max((F.col("quality") == 0).cast("int")).alias("low"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")).dropna()
     known = known.orderBy(F.xxhash64("of"), "of").limit(train_rows)
-    sample = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("text")).join(F.broadcast(known), "of")
+    sample = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("text")).join(F.broadcast(known), "of").withColumn("h", F.xxhash64("text"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [shape(t if isinstance(t, str) else "") for t in b["text"]]
-            yield pd.DataFrame({"of": b["of"], "x": [x for x, _ in got], "places": [p.tobytes() for _, p in got], "low": b["low"], "toxic": b["toxic"]})
+            yield pd.DataFrame({"of": b["of"], "h": b["h"], "x": [x for x, _ in got], "places": [p[:train_places].tobytes() for _, p in got], "low": b["low"], "toxic": b["toxic"]})
 
-    data = sample.mapInPandas(rows, "of long, x array<double>, places binary, low int, toxic int").toArrow().combine_chunks()
+    data = sample.mapInPandas(rows, "of long, h long, x array<double>, places binary, low int, toxic int")
+    data = data.groupBy("of").agg(F.min_by(F.struct("x", "places", "low", "toxic"), "h").alias("row")).select("of", "row.*").toArrow().combine_chunks()  # train_rows rows at most
     labels = np.column_stack([data["low"].to_numpy(), data["toxic"].to_numpy()]).astype("int64").reshape(-1, 2)
     if not labels.sum():
         return NOTHING

@@ -174,6 +174,22 @@ def test_program_beats_best_fit(counts):
     assert sum(n for n, _ in config_packing.best_fit_classes(counts, 4096)) >= 1050
 
 
+@pytest.mark.parametrize("lengths", [5, 10, 20])
+def test_program_converges(lengths):
+    """Random histograms: nearly all sequences by the program, and within 1 % of its bound."""
+    rng = np.random.default_rng(lengths)
+    names = rng.choice(np.arange(300, 2500), lengths, replace=False)
+    p = config_packing.plan({int(x): int(n) for x, n in zip(names, rng.integers(100, 3000, lengths), strict=True)}, 4096)
+    assert p.by_program >= 0.9 * p.sequences and p.bound <= p.sequences <= 1.01 * p.bound
+
+
+def test_played_game():
+    """Two lengths that fit together one by one: half the copies of what each alone would need."""
+    cover = np.array([[0.1, 0.0, 0.1], [0.0, 0.1, 0.1]])
+    _, shares, copies, least, _ = config_packing.played(cover, np.zeros(2), np.zeros(3), 0.001, 40_000)
+    assert 10 <= copies <= 10.02 and 9.98 <= least <= 10 + 1e-9 and shares[2] > 0.98
+
+
 def test_configuration_program():
     rng = np.random.default_rng(3)
     counts = dict(Counter(np.minimum(4096, np.maximum(1, rng.lognormal(6.3, 1, 5_000).astype(int))).tolist()))
@@ -480,6 +496,22 @@ def test_contradicting_labels(spark, docs):
     assert (one.weights == two.weights).all() and (one.weights == three.weights).all()
 
 
+def test_training_features_are_bounded(spark, monkeypatch):
+    """Repeated rows of a labelled id count once, long texts with so many places at most."""
+    seen = {}
+
+    def fitted(numbers, places, labels):
+        seen["rows"], seen["places"] = len(labels), max(map(len, places))
+        return quality.NOTHING
+
+    monkeypatch.setattr(quality, "fitted", fitted)
+    long = " ".join(f"word{i}" for i in range(3000))
+    docs = spark.createDataFrame([(i % 3, long if i % 2 else f"text {i}") for i in range(60)] + [(None, long)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(3)] + [(None, 0, 1)], "doc_id long, quality int, toxic int")
+    quality.fit(docs, labels, train_places=100)
+    assert seen["rows"] == 3 and seen["places"] <= 100
+
+
 def test_sieve(spark):
     rows = spark.range(3000).select(F.col("id").alias("sieve_row"), F.when(F.col("id") % 10 > 0, F.xxhash64("id")).alias("key"))
     wanted = spark.range(0, 3000, 7).select(F.when(F.col("id") % 5 > 0, F.xxhash64("id")).alias("h"))
