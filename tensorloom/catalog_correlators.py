@@ -360,6 +360,23 @@ def a18(spark, sf):
     return P.dagger_source_points(Points(spark, sf).vsp()).frame
 
 
+_FLIP = "CASE WHEN (i >= 2) <> (j >= 2) THEN -1 ELSE 1 END"
+
+
+@query("a18_sink_dagger", f"{PBASE}\nSELECT t AS s, s AS t, i AS j, j AS i, a AS b, p, c, re * {_FLIP} AS re, -im * {_FLIP} AS im FROM ps")
+def a18_sink(spark, sf):
+    """A source-on-points propagator from the daggered sink-on-points one."""
+    return P.dagger(Points(spark, sf).psv(), "PV").frame
+
+
+@query("a18_both_dagger", f"{PBASE},\n" + "pp AS (SELECT h.s, h.t, h.j, h.i, o.p, o.c, h.p AS q, h.c AS d, CAST(sum(o.re * h.re - o.im * h.im) AS BIGINT) AS re, CAST(sum(o.re * h.im + o.im * h.re) AS BIGINT) AS im FROM vs h JOIN ov o ON o.t = h.t AND o.e = h.b WHERE h.s = 1 GROUP BY ALL)\n" + f"SELECT t AS s, s AS t, i AS j, j AS i, q AS p, d AS c, p AS q, c AS d, re * {_FLIP} AS re, -im * {_FLIP} AS im FROM pp")
+def a18_both(spark, sf):
+    """Both ends on points: the pairs of points change places; from one source time."""
+    q = Points(spark, sf)
+    vsp = q.vsp()
+    return P.dagger(P.made_both_points(Tensor(vsp.frame.where("s = 1"), vsp.axes, vsp.sizes), q.ov()), "PP").frame
+
+
 @query("a19_high_mode_source", f"{PBASE},\n{HV}\nSELECT s, t, j, i, b, p, c, re, im FROM hv")
 def a19(spark, sf):
     q = Points(spark, sf)

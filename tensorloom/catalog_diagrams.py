@@ -146,25 +146,35 @@ CURRENT_GAMMA, CURRENT_WORDS = 8, ((0, 1), (1, 2))
 SCALE = T.NP * (T.NP - 1)
 
 
-def current_vertices(spark: SparkSession, sf: str) -> dict[tuple[str, str], Tensor]:
-    """A displaced current between mode and point ends, all from one tree of words."""
+#: Axes of current elementals by their ends, and their extents.
+CURRENT_AXES = {"vv": ("b", "c"), "vp": ("e", "p", "c"), "pv": ("p", "c", "e"), "pp": ("p_l", "c_l", "p_r", "c_r")}
+CURRENT_SIZES = {"b": T.NE, "e": T.NE, "p": T.NP, "p_l": T.NP, "p_r": T.NP, "c_l": T.NC, "c_r": T.NC, "t": T.LT}
+
+
+def current_elementals(spark: SparkSession, sf: str) -> dict[tuple[str, str], Tensor]:
+    """The displaced current's elementals between mode and point ends, all from one tree of words."""
     f, u, pts = field(spark, sf), gauge(spark, sf), T.points(spark, sf)
     words = [WORDS[w] for w, _ in CURRENT_WORDS]
     tree, moved = word_fields(f, u, words)
-    g = T.gammas(spark).where(F.col("n") == CURRENT_GAMMA)
-    g = Tensor(g.frame.drop("n"), ("i", "j"), {"i": T.NS, "j": T.NS}, 4, True)
     coeff = F.broadcast(spark.createDataFrame([(i, c) for i, (_, c) in enumerate(CURRENT_WORDS)], "w long, coeff long"))
-
-    def made(frame: DataFrame, axes: tuple[str, ...], sizes: tuple[int, ...]) -> Tensor:
+    frames = {"vv": elementals_v2v(f, tree, moved, words), "vp": elementals_v2p(pts, tree, moved, words), "pv": elementals_p2v(pts, tree, moved, words), "pp": elementals_p2p(pts, u, words)}
+    out = {}
+    for kind, frame in frames.items():
+        axes = CURRENT_AXES[kind]
         rows = frame.join(coeff, "w").groupBy("t", *axes).agg(F.sum(F.col("coeff") * F.col("re")).alias("re"), F.sum(F.col("coeff") * F.col("im")).alias("im"))
-        return contract([g, Tensor(rows, ("t", *axes), dict(zip(axes, sizes, strict=True)) | {"t": T.LT})], ("t", "i", "j", *axes))
+        out["j", kind] = Tensor(rows, ("t", *axes), CURRENT_SIZES | {"c": T.NE if kind == "vv" else T.NC})
+    return out
+
 
-    return {
-        ("j", "vv"): made(elementals_v2v(f, tree, moved, words), ("b", "c"), (T.NE, T.NE)),
-        ("j", "vp"): made(elementals_v2p(pts, tree, moved, words), ("e", "p", "c"), (T.NE, T.NP, T.NC)),
-        ("j", "pv"): made(elementals_p2v(pts, tree, moved, words), ("p", "c", "e"), (T.NP, T.NC, T.NE)),
-        ("j", "pp"): made(elementals_p2p(pts, u, words), ("p_l", "c_l", "p_r", "c_r"), (T.NP, T.NC, T.NP, T.NC)),
-    }
+def with_gamma(elementals: Tensor, gammas: Tensor, n: int) -> Tensor:
+    """(t, i, j, ends): a current's elementals times one spin matrix."""
+    g = gammas.where(F.col("n") == n)
+    g = Tensor(g.frame.drop("n"), ("i", "j"), {"i": T.NS, "j": T.NS}, 4, True)
+    return contract([g, elementals], ("t", "i", "j", *[a for a in elementals.axes if a not in ("t", CFG)]))
+
+
+def current_vertices(spark: SparkSession, sf: str) -> dict[tuple[str, str], Tensor]:
+    return {k: with_gamma(x, T.gammas(spark), CURRENT_GAMMA) for k, x in current_elementals(spark, sf).items()}
 
 
 def _j(name: str, ends: tuple[str, ...], source: str) -> str:
@@ -173,6 +183,17 @@ def _j(name: str, ends: tuple[str, ...], source: str) -> str:
     return f"{name} AS (SELECT x.t, gm.i AS l, gm.j AS r, {own}, CAST(sum(k * (gm.re * x.re - gm.im * x.im)) AS BIGINT) AS re, CAST(sum(k * (gm.re * x.im + gm.im * x.re)) AS BIGINT) AS im FROM (SELECT *, CASE w {coeff} END AS k FROM ({source}) WHERE w IN ({', '.join(str(w) for w, _ in CURRENT_WORDS)})) x, (SELECT * FROM g WHERE n = {CURRENT_GAMMA}) gm GROUP BY ALL)"
 
 
+def current_daggers(spark: SparkSession, sf: str) -> dict[tuple[str, str], Tensor]:
+    """The current at a source: gamma turned to its source dagger, elementals conjugated and their ends changed over, so that mode-point becomes point-mode."""
+    out = {}
+    for (_, kind), x in current_elementals(spark, sf).items():
+        n = {"v": 1, "p": 2}[kind[0]]
+        left, right = CURRENT_AXES[kind][:n], CURRENT_AXES[kind][n:]
+        turned = x.conj().ordered("t", *right, *left).renamed("t", *CURRENT_AXES[kind[::-1]])
+        out["j†", kind[::-1]] = with_gamma(turned, T.gammas(spark, True), CURRENT_GAMMA)
+    return out
+
+
 _TAUS = ("s", "t", "j", "i", "b", "a")
 _W1, _W2 = (int(D.sampling_weight(VOLUME, T.NP, k) * SCALE) for k in (1, 2))
 _HALF_V = flat_sql([("tau", _TAUS, ("s", "t", "j", "i", "b", "a"), False), ("jvv", ("t", "l", "r", "b", "c"), ("s", "i", "r", "a", "x"), False)], ("s", "t", "j", "b", "r", "x"))
@@ -335,6 +356,38 @@ def l13_nucleon(spark, sf):
     return nucleon_plan(spark, sf, tau).total(("s", "t"), T.kept)
 
 
+_CURRENT_SQL = f"WITH {T.V_SQL},\n{T.POINTS_SQL},\n{U_SQL},\n{F_SQL},\n{WF_SQL},\n{LE_SQL},\n{T.G_SQL},\n{T.GS_SQL}"
+
+
+def _dagger_sql(kind: str, source: str) -> str:
+    """The dagger of a current elemental of a kind: columns by those of the turned kind."""
+    n = {"v": 1, "p": 2}[kind[0]]
+    ends = CURRENT_AXES[kind]
+    columns = ", ".join(f"x.{a} AS {b}" for a, b in zip((*ends[n:], *ends[:n]), CURRENT_AXES[kind[::-1]], strict=True))
+    coeff = " ".join(f"WHEN {w} THEN {c}" for w, c in CURRENT_WORDS)
+    return f"SELECT x.t, gm.i, gm.j, {columns}, CAST(sum(k * (gm.re * x.re + gm.im * x.im)) AS BIGINT) AS re, CAST(sum(k * (gm.im * x.re - gm.re * x.im)) AS BIGINT) AS im FROM (SELECT *, CASE w {coeff} END AS k FROM ({source}) WHERE w IN ({', '.join(str(w) for w, _ in CURRENT_WORDS)})) x, (SELECT * FROM gs WHERE n = {CURRENT_GAMMA}) gm GROUP BY ALL"
+
+
+def _current_query(kind: str, source: str) -> None:
+    ends = CURRENT_AXES[kind]
+    names = {"v": "mode", "p": "point"}
+
+    @query(f"a15_displaced_{kind[0]}2{kind[1]}", f"{_CURRENT_SQL},\n{_j('jx', ends, source)}\nSELECT t, l AS i, r AS j, {', '.join(ends)}, re, im FROM jx")
+    def ahead(spark, sf, kind=kind):
+        return current_vertices(spark, sf)["j", kind].frame
+
+    @query(f"a15_dagger_{kind[1]}2{kind[0]}", f"{_CURRENT_SQL}\n{_dagger_sql(kind, source)}")
+    def back(spark, sf, kind=kind):
+        return current_daggers(spark, sf)["j†", kind[::-1]].frame
+
+    ahead.__doc__ = f"A displaced current from a {names[kind[0]]} to a {names[kind[1]]} end, with its spin matrix."
+    back.__doc__ = f"The dagger of the {names[kind[0]]}-{names[kind[1]]} current."
+
+
+for _kind, _source in (("vp", V2P_SQL), ("pv", P2V_SQL), ("pp", P2P_SQL)):
+    _current_query(_kind, _source)
+
+
 # points by seed -------------------------------------------------------------------------------
 
 LATTICE = (T.LX, T.LY, T.LZ, T.LT)

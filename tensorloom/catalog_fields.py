@@ -416,6 +416,31 @@ def n11(spark, sf):
     return contract([D.eigenvectors(spark, sf).conj().renamed("t", "b", "x"), solution(spark, sf)], ("t", "i", "b", "a")).frame
 
 
+_PX = f"pts.x + {D.LX} * (pts.y + {D.LY} * pts.z)"
+
+
+def solution_at_points(s: Tensor, points: DataFrame) -> DataFrame:
+    """(t, p, c, i, a): a stored solution read at sampled points, a join on coordinates: a propagator whose sink is points."""
+    x = F.col("x")
+    rows = s.frame.select("t", (x % D.NC).alias("c"), (F.floor(x / D.NC) % D.LX).cast("long").alias("sx"), (F.floor(x / (D.NC * D.LX)) % D.LY).cast("long").alias("sy"), F.floor(x / (D.NC * D.LX * D.LY)).cast("long").alias("sz"), "i", "a", "re", "im")
+    pts = points.select(F.col("t").alias("pt"), "p", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+    return rows.join(pts, [F.col("t") == F.col("pt"), F.col("sx") == F.col("px"), F.col("sy") == F.col("py"), F.col("sz") == F.col("pz")]).select("t", "p", "c", "i", "a", "re", "im")
+
+
+@query("n11_point_sink", f"WITH {S_SQL},\n{D.POINTS_SQL}\nSELECT sol.t, pts.p, sol.x % {D.NC} AS c, sol.i, sol.a, sol.re, sol.im FROM sol JOIN pts ON pts.t = sol.t AND {_PX} = sol.x // {D.NC}")
+def n11_point_sink(spark, sf):
+    """The solution at sampled points."""
+    return solution_at_points(solution(spark, sf), D.points(spark, sf))
+
+
+@query("n11_point_source", f"WITH {S_SQL},\n{D.POINTS_SQL}\nSELECT sol.t, sol.a AS b, sol.i, pts.p, sol.x % {D.NC} AS c, sol.re * CASE WHEN sol.i >= 2 THEN -1 ELSE 1 END AS re, -sol.im * CASE WHEN sol.i >= 2 THEN -1 ELSE 1 END AS im FROM sol JOIN pts ON pts.t = sol.t AND {_PX} = sol.x // {D.NC}")
+def n11_point_source(spark, sf):
+    """From sampled points to the modes: the solution at points, daggered, with the signs of the spin that it keeps."""
+    rows = solution_at_points(solution(spark, sf), D.points(spark, sf))
+    sgn = F.when(F.col("i") >= 2, -1).otherwise(1)
+    return rows.select("t", F.col("a").alias("b"), "i", "p", "c", (F.col("re") * sgn).alias("re"), (-F.col("im") * sgn).alias("im"))
+
+
 GEN = [("sol", ("t", "x", "i", "a"), ("t", "x", "j", "b"), True), ("g", ("n", "i", "j"), ("n", "j", "k"), False), ("sol", ("t", "x", "i", "a"), ("t", "x", "k", "a"), False)]
 
 

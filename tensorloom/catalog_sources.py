@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.catalog_correlators import REL, Base
-from tensorloom.catalog_fields import U_SQL, gauge
+from tensorloom.catalog_fields import LE_SQL, OL_SQL, P2P_SQL, U_SQL, WORDS, elementals_p2p, gauge
 from tensorloom.operators import correlators as C
 from tensorloom.plans.einsum import Tensor
 from tensorloom.sources import derived as D
@@ -124,3 +124,18 @@ def sc7_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """Mean and error of the two-point function over the configurations."""
     values = _from_files(spark, sf).select("cfg", "dt", F.col("re").cast("double").alias("value"))
     return C.ensemble(values, "dt").withColumn("error", F.round("error", 2))
+
+
+#: No displacement and one step each way, by their places in WORDS.
+STEPS = 7
+
+
+@query("sc8_sparse_pairs", f"WITH {U_SQL},\n{D.POINTS_SQL},\n{OL_SQL},\n{LE_SQL},\nall_p AS ({P2P_SQL})\nSELECT 'c' || k.range AS cfg, t, w AS disp, p_l, p_r, c_l, c_r, re, im FROM all_p, range(2) k WHERE w < {STEPS} AND (re <> 0 OR im <> 0)")
+def sc8(spark: SparkSession, sf: str) -> DataFrame:
+    """Point-to-point elementals of two configurations as npz files of sparse blocks, the undisplaced ones as identities, read back."""
+    rows = elementals_p2p(D.points(spark, sf), gauge(spark, sf), WORDS[:STEPS]).withColumnRenamed("w", "disp")
+    rows = rows.withColumn("cfg", F.explode(F.array(F.lit("c0"), F.lit("c1"))))
+    at = _folder(spark)
+    T.write_pairs(rows, at, identities=(0,))
+    out = T.read_pairs(spark, f"{at}/c*.pairs.npz", D.NP, D.NC)
+    return out.select("cfg", "t", "disp", "p_l", "p_r", "c_l", "c_r", *[F.round(c).cast("long").alias(c) for c in ("re", "im")])

@@ -59,11 +59,25 @@ def made_both_points(vsp: Tensor, m: Tensor) -> Tensor:
     return contract([vsp.renamed("s", "t", "j", "i", "b", "q", "d"), m.renamed("t", "b", "p", "c")], ("s", "t", "j", "i", "p", "c", "q", "d"))
 
 
-def dagger_source_points(vsp: Tensor) -> Tensor:
-    """g5 S^dagger g5 of a source-on-points propagator: times, spins and ends all change places."""
+#: Axes of propagators by their ends (sink, source): times, spins, then the ends.
+ENDS = {"VV": (("b",), ("a",)), "VP": (("b",), ("p", "c")), "PV": (("p", "c"), ("a",)), "PP": (("p", "c"), ("q", "d"))}
+
+
+def dagger(x: Tensor, ends: str) -> Tensor:
+    """g5 S^dagger g5 of a propagator with ends (sink, source): times, spins and ends all change places, so a VP becomes a PV and the other way round."""
+    sink, source = ENDS[ends]
+    new_sink, new_source = ENDS[ends[::-1]]
     sgn = 1 - 2 * ((F.col("i") >= 2) != (F.col("j") >= 2)).cast("long")
-    frame = vsp.frame.select(F.col("t").alias("s"), F.col("s").alias("t"), F.col("i").alias("j"), F.col("j").alias("i"), "p", "c", F.col("b").alias("a"), (F.col("re") * sgn).alias("re"), (-F.col("im") * sgn).alias("im"))
-    return Tensor(frame, ("s", "t", "j", "i", "p", "c", "a"), vsp.sizes)
+    columns = [F.col("t").alias("s"), F.col("s").alias("t"), F.col("i").alias("j"), F.col("j").alias("i")]
+    columns += [F.col(a).alias(b) for a, b in zip((*source, *sink), (*new_sink, *new_source), strict=True)]
+    frame = x.frame.select(*x.batch, *columns, (F.col("re") * sgn).alias("re"), (-F.col("im") * sgn).alias("im"))
+    sizes = {**x.sizes} | {b: x.sizes[a] for a, b in zip((*source, *sink), (*new_sink, *new_source), strict=True) if a in x.sizes}
+    return Tensor(frame, (*x.batch, "s", "t", "j", "i", *new_sink, *new_source), sizes)
+
+
+def dagger_source_points(vsp: Tensor) -> Tensor:
+    """A sink-on-points propagator from a source-on-points one."""
+    return dagger(vsp, "VP")
 
 
 def high_mode_source(vsp: Tensor, tau: Tensor, m: Tensor) -> Tensor:

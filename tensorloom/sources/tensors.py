@@ -14,6 +14,7 @@ import io
 import os
 import re
 import shutil
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -334,6 +335,55 @@ def sparse_pairs(spark: SparkSession, path: str, momenta: int = 1) -> DataFrame:
     return base.crossJoin(spark.range(momenta).withColumnRenamed("id", "mom"))
 
 
+def write_pairs(df: DataFrame, folder: str, suffix: str = ".pairs.npz", identities: tuple[int, ...] = ()) -> int:
+    """Rows (cfg, t, disp, p_l, p_r, c_l, c_r, re, im) as npz files of blocks between points, a file a configuration and time, written by the executors.
+
+    folder: one that driver and executors can open by path. Displacements named in
+    identities are stored by that name. A task holds one file's pairs. Returns the number of files.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, np.ndarray | str] = {}
+        colours = int(max(rows["c_l"].max(), rows["c_r"].max())) + 1
+        for d in range(int(rows["disp"].max()) + 1):
+            own = rows[rows["disp"] == d]
+            if d in identities:
+                out[f"type_{d}"] = "identity"
+                continue
+            pairs, at = np.unique(own[["p_l", "p_r"]].to_numpy("int64").reshape(-1, 2), axis=0, return_inverse=True)
+            values = np.zeros((len(pairs), colours, colours), complex)
+            values[at.reshape(-1), own["c_l"].to_numpy(int), own["c_r"].to_numpy(int)] = own["re"].to_numpy(float) + 1j * own["im"].to_numpy(float)
+            out |= {f"type_{d}": "sparse", f"indices_{d}": pairs, f"values_{d}": values}
+        name = f"{key[0]}.t{int(key[1]):03d}{suffix}"
+        path = os.path.join(folder, f".{uuid.uuid4().hex}{name}")
+        np.savez(path, **out)
+        os.replace(path, os.path.join(folder, name))
+        return pd.DataFrame({"file": [name]})
+
+    return df.groupBy("cfg", "t").applyInPandas(run, "file string").distinct().count()
+
+
+def read_pairs(spark: SparkSession, path: str, points: int, colours: int) -> DataFrame:
+    """npz files of write_pairs() as (cfg, t, disp, p_l, p_r, c_l, c_r, re, im): identities written out over all points and colours, zeros left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, body in zip(b["path"], b["content"], strict=True):
+                z = np.load(io.BytesIO(body), allow_pickle=False)
+                cfg, t = re.match(r"(.*)\.t(\d{3})\.", os.path.basename(name)).groups()
+                for d in range(sum(k.startswith("type_") for k in z.files)):
+                    if str(z[f"type_{d}"]) == "identity":
+                        left, value = np.repeat(np.arange(points), colours), np.ones(points * colours, complex)
+                        own = {"p_l": left, "p_r": left, "c_l": np.tile(np.arange(colours), points), "c_r": np.tile(np.arange(colours), points)}
+                    else:
+                        k, i, j = np.nonzero(z[f"values_{d}"])
+                        value, pairs = z[f"values_{d}"][k, i, j], z[f"indices_{d}"].reshape(-1, 2)
+                        own = {"p_l": pairs[k, 0], "p_r": pairs[k, 1], "c_l": i, "c_r": j}
+                    yield pd.DataFrame({"cfg": cfg, "t": int(t), "disp": d, **own, "re": value.real, "im": value.imag})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "cfg string, t long, disp long, p_l long, p_r long, c_l long, c_r long, re double, im double")
+
+
 def strided(path: str, offset: int, shape: tuple[int, ...], dtype: str, key: tuple) -> np.ndarray:
     """A slice of a raw file by seek and read, without mapping it: ints, slices with steps, lists of indices. What is contiguous is read at once."""
     full = [k if not isinstance(k, int) else [k] for k in key] + [slice(None)] * (len(shape) - len(key))
