@@ -8,7 +8,7 @@ from math import prod
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.catalog_correlators import BASE, H1O, H2O, HALF1, HALF2, OVER, POINT, SRCV, VERT, Points
+from tensorloom.catalog_correlators import BASE, H1O, H2O, HALF1, HALF2, OVER, POINT, REL, SRCV, VERT, Points
 from tensorloom.catalog_fields import F_SQL, LE_SQL, OL_SQL, P2P_SQL, P2V_SQL, U_SQL, V2P_SQL, V2V_SQL, WF_SQL, WORDS, elementals_p2p, elementals_p2v, elementals_v2p, elementals_v2v, field, gauge, word_fields
 from tensorloom.catalog_symbolic import CH, CHAINS, _tensors, cycle_sql
 from tensorloom.operators import baryons as B
@@ -88,6 +88,29 @@ def a22_two_pions(spark, sf):
     return out.select("cfg", "s", "t", *[F.floor(F.col(c).cast("double") / 1000000).cast("double").alias(c) for c in ("re", "im")])
 
 
+def _twopoints(spark: SparkSession, sf: str) -> DataFrame:
+    """(cfg, dt, value): the real part of the pion's two-point function, configuration by configuration, in one contraction."""
+    b = Points(spark, sf)
+    elem = b.elem().where("op = 0")
+    tau = over_configurations(b.tau())
+    return C.relative(C.twopoint(tau, b.v(elem), b.w(elem), ()), T.LT, ()).select("cfg", "dt", F.col("re").cast("double").alias("value"))
+
+
+_TWOPOINTS = f"{REL},\ncs AS (SELECT k.range AS cfg, dt, CAST(re * (k.range + 1) * (k.range + 1) AS DOUBLE) AS value FROM rel, range({CFGS}) k WHERE op_snk = 0 AND op_src = 0)"
+
+
+@query("a26_twopoint_mean", f"{_TWOPOINTS}\nSELECT dt, count(*) AS n, avg(value) AS mean, round(stddev_samp(value) / sqrt(count(*)), 2) AS error FROM cs GROUP BY dt")
+def a26_mean(spark, sf):
+    """Mean and error of the two-point function over its configurations."""
+    return C.ensemble(_twopoints(spark, sf), "dt").withColumn("error", F.round("error", 2))
+
+
+@query("a26_twopoint_covariance", f"{_TWOPOINTS}\nSELECT a.dt, b.dt AS other, round(covar_samp(a.value, b.value) / 1000000) AS cov FROM cs a JOIN cs b USING (cfg) GROUP BY ALL")
+def a26_covariance(spark, sf):
+    """Covariance of its times over the configurations, in millions."""
+    return C.ensemble_covariance(_twopoints(spark, sf), "dt").withColumn("cov", F.round(F.col("cov") / 1000000))
+
+
 # several sampled points ----------------------------------------------------------------------
 
 

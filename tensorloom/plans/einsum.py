@@ -25,6 +25,8 @@ LITERAL_ROWS = 4096
 CROSS_ROWS = 1e8
 #: Entries that one batch key's largest operand or result may have to be contracted as dense blocks in one task.
 BLOCK_ENTRIES = 1 << 24
+#: Entries of results that a task holds before it sends them on, or one result if that is larger.
+HELD_ENTRIES = 1 << 20
 CFG = "cfg"
 
 
@@ -175,13 +177,17 @@ def contract_blocks(operands: list[Tensor], out: tuple[str, ...], batch: tuple[s
     out = with_batch(operands, out)
     batch = with_batch(operands, batch)
     labels = sorted({a for t in operands for a in t.axes})
-    letter = {a: chr(ord("a") + i) for i, a in enumerate(labels)}
+    number_of = {a: i for i, a in enumerate(labels)}
     sizes = {k: v for t in operands for k, v in t.sizes.items()}
     inner = [[a for a in t.axes if a not in batch] for t in operands]
     free = [a for a in out if a not in batch]
-    spec = ",".join("".join(letter[a] for a in x) for x in inner) + "->" + "".join(letter[a] for a in free)
     shapes = [[sizes[a] for a in x] for x in inner]
-    path = np.einsum_path(spec, *[np.broadcast_to(0j, x) for x in shapes], optimize="optimal")[0]
+    places, result = [[number_of[a] for a in x] for x in inner], [number_of[a] for a in free]
+
+    def operands_of(dense: list[np.ndarray]) -> list:
+        return [y for x, at in zip(dense, places, strict=True) for y in (x, at)] + [result]
+
+    path = np.einsum_path(*operands_of([np.broadcast_to(0j, x) for x in shapes]), optimize="optimal")[0]
     whole = all(dict(t.frame.dtypes)[c] in ("bigint", "int") for t in operands for c in ("re", "im"))
     kinds = {b: dict(t.frame.dtypes)[b] for t in operands for b in t.axes if b in batch}
     both, names = None, []
@@ -199,28 +205,36 @@ def contract_blocks(operands: list[Tensor], out: tuple[str, ...], batch: tuple[s
     number = "long" if whole else "double"
     schema = ", ".join([f"{a} {kinds.get(a, 'long')}" for a in out] + [f"re {number}", f"im {number}"])
 
+    def written(frame: pd.DataFrame, rows: list[int], made: list[np.ndarray]) -> pd.DataFrame:
+        got = np.array(made)
+        n = got[0].size
+        at = np.indices(got.shape[1:]).reshape(len(free), n) if free else np.zeros((0, n), int)
+        columns = {a: np.tile(at[i], len(made)) for i, a in enumerate(free)} | {b: np.repeat(frame[b].to_numpy()[rows], n) for b in batch}
+        re, im = got.real.reshape(-1), got.imag.reshape(-1)
+        if whole:
+            if max(np.abs(re).max(initial=0), np.abs(im).max(initial=0)) >= 2.0**53:
+                raise OverflowError("sums beyond 2**53: use joins")
+            re, im = np.rint(re).astype("i8"), np.rint(im).astype("i8")
+        return pd.DataFrame({**columns, "re": re, "im": im})[[*out, "re", "im"]][(re != 0) | (im != 0)]
+
     def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        """Results go on as soon as HELD_ENTRIES are together, so a task holds little more than its largest one."""
         for frame in frames:
             made: list[np.ndarray] = []
-            for row in frame.to_dict("records"):
+            rows: list[int] = []
+            for k, row in enumerate(frame.to_dict("records")):
                 dense = []
                 for i, shape in enumerate(shapes):
                     x = np.zeros(int(np.prod(shape)) if shape else 1, complex)
                     np.add.at(x, np.asarray(row[f"at{i}"], np.int64), np.asarray(row[f"re{i}"], float) + 1j * np.asarray(row[f"im{i}"], float))
                     dense.append(x.reshape(shape))
-                made.append(np.einsum(spec, *dense, optimize=path))
-            if not made:
-                continue
-            got = np.array(made)
-            n = got[0].size
-            at = np.indices(got.shape[1:]).reshape(len(free), n) if free else np.zeros((0, n), int)
-            columns = {a: np.tile(at[i], len(made)) for i, a in enumerate(free)} | {b: np.repeat(frame[b].to_numpy(), n) for b in batch}
-            re, im = got.real.reshape(-1), got.imag.reshape(-1)
-            if whole:
-                if max(np.abs(re).max(initial=0), np.abs(im).max(initial=0)) >= 2.0**53:
-                    raise OverflowError("sums beyond 2**53: use joins")
-                re, im = np.rint(re).astype("i8"), np.rint(im).astype("i8")
-            yield pd.DataFrame({**columns, "re": re, "im": im})[[*out, "re", "im"]][(re != 0) | (im != 0)]
+                made.append(np.einsum(*operands_of(dense), optimize=path))
+                rows.append(k)
+                if len(made) * made[0].size >= HELD_ENTRIES:
+                    yield written(frame, rows, made)
+                    made, rows = [], []
+            if made:
+                yield written(frame, rows, made)
 
     return Tensor(both.mapInPandas(run, schema), tuple(out), sizes)
 

@@ -180,6 +180,33 @@ def test_link_operators_transform(spark):
         O.whole_terms([[(0, (0,), 1.0), (0, (1,), 2**0.5)]])
 
 
+def test_daggers_come_back(spark):
+    """Twice daggered is the propagator itself, for every kind of ends."""
+    rng = np.random.default_rng(8)
+    for ends, (sink, source) in P.ENDS.items():
+        axes = ("s", "t", "j", "i", *sink, *source)
+        x = made(spark, axes, entries(rng, 2, 2, 4, 4, *[{"p": 3, "q": 3}.get(a, 2) for a in (*sink, *source)]))
+        back = P.dagger(P.dagger(x, ends), ends[::-1])
+        assert back.axes == x.axes and np.array_equal(back.dense(), x.dense())
+
+
+def test_blocks_of_many_labels(spark):
+    """More labels than letters, and results sent on one by one."""
+    from tensorloom.plans import einsum as E
+
+    rng = np.random.default_rng(9)
+    names = [f"l{i}" for i in range(28)]
+    x = [entries(rng, 3, *[2 if k in (i, i + 1) else 1 for k in range(i, i + 4)]) for i in range(0, 24, 4)]
+    ops = [made(spark, ("k", *names[i : i + 4]), y) for i, y in zip(range(0, 24, 4), x, strict=True)]
+    got = E.contract_blocks(ops, ("k",), ("k",)).dense()
+    assert np.abs(got - np.prod([y.sum(axis=(1, 2, 3, 4)) for y in x], axis=0)).max() < 1e-6
+    held, E.HELD_ENTRIES = E.HELD_ENTRIES, 1
+    try:
+        assert np.array_equal(E.contract_blocks(ops, ("k",), ("k",)).dense(), got)
+    finally:
+        E.HELD_ENTRIES = held
+
+
 def test_summed_high_mode(spark):
     """Summed inside the plan as summed from all pairs of points."""
     q = Points(spark, SF)
