@@ -16,6 +16,7 @@ from tensorloom.operators import construction as O
 from tensorloom.operators import correlators as C
 from tensorloom.operators import points as P
 from tensorloom.plans import diagrams as D
+from tensorloom.plans import symmetry as S
 from tensorloom.plans import wick as W
 from tensorloom.plans.einsum import CFG, Tensor, contract, flat_sql
 from tensorloom.plans.shared import Plan
@@ -295,6 +296,43 @@ def o7(spark, sf):
     return C.relative(C.twopoint(b.tau(), b.v(elem), b.w(elem)), T.LT, ("op_snk", "op_src"))
 
 
+# group elements on sums of diagrams ---------------------------------------------------------------
+
+#: Rows of a vector meson, and weights of its three correlators; no rotation leaves the weighted sum as it is.
+ROWS3, WEIGHTS3, TURN = (1, 2, 4), (1, 2, 5), "c3delta"
+
+
+def vector_sum(weights: tuple[int, ...]) -> D.Expression:
+    """Connected correlators of row k at time 1 with its dagger at time 0, by weight."""
+    edges = (D.Edge(0, 1, "q"), D.Edge(1, 0, "q"))
+    return D.simplify_sum({(D.Diagram(((0, f"rho.{k}†"), (1, f"rho.{k}")), edges),): Fraction(w) for k, w in enumerate(weights)})
+
+
+def turned_sum(weights: tuple[int, ...], element: str) -> D.Expression:
+    return D.acted(vector_sum(weights), D.irrep_image({"rho": "T_1"}, element, lambda rep: S.irrep(rep, -1)))
+
+
+def _vector_sql() -> str:
+    """The weights go with the axes that the rotation takes rows to."""
+    m = S.vectors()[TURN]
+    weights = [sum(int(m[n, k]) ** 2 * w for k, w in enumerate(WEIGHTS3)) for n in range(3)]
+    ops = T.values_sql("ops", "op, gamma, coeff, deriv, mom", [(k, n, 1, 0, 0) for k, n in enumerate(ROWS3)])
+    one = " UNION ALL ".join(f"SELECT s, t, {w} * re AS re, {w} * im AS im FROM ({cycle_sql([k, k], ['s', 't'])})" for k, w in enumerate(weights))
+    return f"{CHAINS.replace(T.OP_SQL, ops)}\nSELECT s, t, CAST(sum(re) AS BIGINT) AS re, CAST(sum(im) AS BIGINT) AS im FROM ({one}) GROUP BY s, t"
+
+
+@query("l10_group_action", _vector_sql())
+def l10_action(spark, sf):
+    """A weighted sum of a vector's correlators after a rotation, its vertices expanded by the irrep's matrix and merged, evaluated on the tables."""
+    b = Points(spark, sf)
+    terms = T.operator_terms(spark, [(k, n, 1, 0, 0) for k, n in enumerate(ROWS3)])
+    v = b.v(C.operator_elementals(terms, b.phi()))
+    rows = {k: Tensor(v.frame.where(F.col("op") == k).drop("op"), v.axes[1:], v.sizes, v.expected() / 4) for k in range(3)}
+    vertices = {f"rho.{k}{mark}": x for k, x in rows.items() for mark in ("", "†")}
+    e = {k: Fraction(w).limit_denominator(10**6) for k, w in turned_sum(WEIGHTS3, TURN).items()}
+    return D.evaluate_sum(e, {"q": b.tau()}, vertices, {0: "s", 1: "t"}, ("s", "t"), T.kept)
+
+
 # three-quark vertices --------------------------------------------------------------------------
 
 #: Sites of fields of three colours; component c of site x is number (3 x + c) modulo the numbers of an embedding.

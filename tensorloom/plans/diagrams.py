@@ -139,6 +139,46 @@ def conjugated(e: Expression) -> Expression:
     return mapped(e, lambda d: Diagram(tuple((t, v[:-1] if v.endswith("†") else v + "†") for t, v in d.vertices), d.edges))
 
 
+def acted(e: Expression, image: Callable[[str], list[tuple[complex, str]]], tol: float = 1e-9) -> Expression:
+    """A sum after a linear map of its vertices: image gives each vertex name as a combination of names.
+
+    Products of vertices are multiplied out, and equal products of canonical
+    diagrams are merged, so an invariant sum comes back as itself. Coefficients below tol are dropped.
+    """
+    out: dict = {}
+    for factors, weight in e.items():
+        terms: list[tuple[complex, tuple[Diagram, ...]]] = [(weight, ())]
+        for d in factors:
+            images = [image(name) for _, name in d.vertices]
+            own = []
+            for choice in product(*images):
+                c = prod((x for x, _ in choice), start=1)
+                own.append((c, Diagram(tuple((t, name) for (t, _), (_, name) in zip(d.vertices, choice, strict=True)), d.edges)))
+            terms = [(w * c, (*ds, x)) for w, ds in terms for c, x in own]
+        for w, ds in terms:
+            key = tuple(sorted(x for d in ds for x in simplify(d)))
+            out[key] = out.get(key, 0) + w
+    clean = {k: complex(w) for k, w in out.items()}
+    return {k: w.real if abs(w.imag) <= tol else w for k, w in clean.items() if abs(w) > tol}
+
+
+def irrep_image(families: dict[str, str], element: str, matrices: Callable[[str], dict]) -> Callable[[str], list[tuple[complex, str]]]:
+    """For acted(): vertex `name.k` (or its dagger `name.k†`) is row k of an irrep; an element takes it to the sum over n of D[n, k] (conjugated for daggers) `name.n`.
+
+    families: irrep of each name; matrices: irrep -> element -> matrix. Other vertices stay.
+    """
+
+    def image(vertex: str) -> list[tuple[complex, str]]:
+        name, _, row = vertex.removesuffix("†").rpartition(".")
+        if name not in families:
+            return [(1, vertex)]
+        mark = "†" if vertex.endswith("†") else ""
+        m = matrices(families[name])[element]
+        return [(complex(m[n, int(row)]).conjugate() if mark else complex(m[n, int(row)]), f"{name}.{n}{mark}") for n in range(len(m)) if abs(m[n, int(row)]) > 1e-12]
+
+    return image
+
+
 def without_unexpected(e: Expression, fine: Callable[[str], bool]) -> Expression:
     """Products in which every propagator is fine."""
     return {k: c for k, c in e.items() if all(fine(p) for d in k for p in d.props())}

@@ -207,6 +207,21 @@ def test_blocks_of_many_labels(spark):
         E.HELD_ENTRIES = held
 
 
+def test_invariant_sums_of_diagrams():
+    """The sum over rows comes back from all 96 elements, a weighted one only from those that keep its axes apart; two elements in turn are their product."""
+    same = G.vector_sum((1, 1, 1))
+    for g in S.NAMES:
+        got = G.turned_sum((1, 1, 1), g)
+        assert set(got) == set(same) and all(abs(got[k] - same[k]) < 1e-7 for k in same)
+    uneven = G.vector_sum((1, 2, 5))
+    assert sum(set(G.turned_sum((1, 2, 5), g)) == set(uneven) and all(abs(G.turned_sum((1, 2, 5), g)[k] - c) < 1e-7 for k, c in uneven.items()) for g in S.NAMES) == 16
+    image = lambda g: D.irrep_image({"h": "H"}, g, lambda rep: S.irrep(rep, 1))
+    e = {(D.Diagram(((0, "h.0†"), (1, "h.1")), (D.Edge(0, 1, "q"), D.Edge(1, 0, "q"))),): Fraction(1)}
+    for g, h in (("c4y", "c3delta"), ("rc4z", "invc2a")):
+        one, two = D.acted(D.acted(e, image(h)), image(g)), D.acted(e, image(S.mul(g, h)))
+        assert all(abs(one.get(k, 0) - two.get(k, 0)) < 1e-6 for k in {*one, *two})
+
+
 def test_summed_high_mode(spark):
     """Summed inside the plan as summed from all pairs of points."""
     q = Points(spark, SF)
