@@ -171,15 +171,9 @@ def derivative_elementals(f: DataFrame, u: DataFrame, paths=PATHS, coeff: DataFr
 
     coeff (b, c, cr, ci): optional blending coefficients, a factor of each entry.
     """
-    splits = []
-    for n, path in enumerate(paths):
-        for pick in range(1 << len(path)):
-            right = tuple(d for i, d in enumerate(path) if pick >> i & 1)
-            left = tuple(d for i, d in enumerate(path) if not pick >> i & 1)[::-1]
-            splits.append((n, left, right, (-1) ** len(right)))
-    tree = X.WordTree([p for _, left, right, _ in splits for p in (left, right)], forward=True)
+    tree = X.WordTree([p for _, left, right, _ in splits(paths) for p in (left, right)], forward=True)
     made = X.derived_by_paths(f, u, tree, EXT, ("e",), D.kept)
-    pairs = f.sparkSession.createDataFrame([(n, tree.number[left], tree.number[right], s) for n, left, right, s in splits], "path long, nl long, nr long, s long")
+    pairs = f.sparkSession.createDataFrame([(n, tree.number[left], tree.number[right], s) for n, left, right, s in splits(paths)], "path long, nl long, nr long, s long")
     a = made.join(F.broadcast(pairs), F.col("node") == F.col("nl")).select("path", "nr", "s", "t", "x", "y", "z", F.col("c").alias("k"), F.col("e").alias("b"), F.col("re").alias("ar"), F.col("im").alias("ai"))
     b = made.select(F.col("node").alias("nr"), "t", "x", "y", "z", F.col("c").alias("k"), F.col("e").alias("c"), "re", "im")
     out = a.join(b, ["nr", "t", "x", "y", "z", "k"]).groupBy("path", "t", "x", "y", "z", "b", "c").agg(
@@ -195,11 +189,6 @@ def derivative_elementals(f: DataFrame, u: DataFrame, paths=PATHS, coeff: DataFr
     return out.join(coeff, ["b", "c"]).select("path", "mom", "t", "b", "c", (F.col("re") * F.col("cr") - F.col("im") * F.col("ci")).alias("re"), (F.col("re") * F.col("ci") + F.col("im") * F.col("cr")).alias("im"))
 
 
-@query("n5_derivative_elementals")
-def n5_paths(spark, sf):
-    return derivative_elementals(field(spark, sf), gauge(spark, sf))
-
-
 AX = ("t", "x", "y", "z", "c", "e")
 
 
@@ -311,6 +300,45 @@ OL_SQL = (
 )
 _WALK = "CAST(sum(ol.re * f.re - ol.im * f.im) AS BIGINT) AS re, CAST(sum(ol.re * f.im + ol.im * f.re) AS BIGINT) AS im"
 _MEET = "JOIN ol ON ol.t = f.t AND ol.fx = f.x AND ol.fy = f.y AND ol.fz = f.z AND ol.k = f.c GROUP BY ALL"
+#: Derivatives of the modes by node: 0, then 1 + d, then 4 + 3 d + e for direction d first, e second.
+_GRAD = "sum(CASE WHEN ol.dir < 3 THEN 1 ELSE -1 END * (ol.re * f.re - ol.im * f.im)) AS re, sum(CASE WHEN ol.dir < 3 THEN 1 ELSE -1 END * (ol.re * f.im + ol.im * f.re)) AS im"
+DV_SQL = f"""dv1 AS (SELECT 1 + ol.dir % 3 AS node, ol.t, ol.x, ol.y, ol.z, ol.c, f.e, {_GRAD} FROM f {_MEET}),
+dv AS (SELECT 0 AS node, t, x, y, z, c, e, re, im FROM f UNION ALL SELECT * FROM dv1 UNION ALL
+  SELECT 4 + 3 * (f.node - 1) + ol.dir % 3 AS node, ol.t, ol.x, ol.y, ol.z, ol.c, f.e, {_GRAD} FROM dv1 f {_MEET})"""
+
+
+def _node(path: tuple[int, ...]) -> int:
+    return 0 if not path else 1 + path[0] if len(path) == 1 else 4 + 3 * path[0] + path[1]
+
+
+def splits(paths: tuple[tuple[int, ...], ...]) -> list[tuple[int, tuple[int, ...], tuple[int, ...], int]]:
+    """(place of the path, left part reversed, right part, sign) of all splits of paths."""
+    out = []
+    for n, path in enumerate(paths):
+        for pick in range(1 << len(path)):
+            right = tuple(d for i, d in enumerate(path) if pick >> i & 1)
+            left = tuple(d for i, d in enumerate(path) if not pick >> i & 1)[::-1]
+            out.append((n, left, right, (-1) ** len(right)))
+    return out
+
+
+def derivative_sql(name: str, paths: tuple[tuple[int, ...], ...]) -> str:
+    """The derivative elementals of paths of up to two letters as CTEs, after FIELD and OL_SQL: (path, mom, t, b, c, re, im)."""
+    rows = D.values_sql("sp", "path, nl, nr, s", [(n, _node(left), _node(right), sign) for n, left, right, sign in splits(paths)])
+    turns = D.values_sql("tn", "mom, px, py, pz", [(m, *p) for m, p in enumerate(D.MOMENTA)])
+    return f"""{DV_SQL},
+{rows},
+{turns},
+de AS (SELECT sp.path, l.t, l.x, l.y, l.z, l.e AS b, r.e AS c, sum(sp.s * (l.re * r.re + l.im * r.im)) AS re, sum(sp.s * (l.re * r.im - l.im * r.re)) AS im FROM sp JOIN dv l ON l.node = sp.nl JOIN dv r ON r.node = sp.nr AND r.t = l.t AND r.x = l.x AND r.y = l.y AND r.z = l.z AND r.c = l.c GROUP BY ALL),
+dk AS (SELECT path, mom, t, b, c, ((px * x + 2 * py * y + 2 * pz * z) % 4 + 4) % 4 AS k, re, im FROM de, tn),
+{name} AS (SELECT path, mom, t, b, c, CAST(sum(CASE k WHEN 0 THEN re WHEN 1 THEN -im WHEN 2 THEN -re ELSE im END) AS BIGINT) AS re, CAST(sum(CASE k WHEN 0 THEN im WHEN 1 THEN re WHEN 2 THEN -im ELSE -re END) AS BIGINT) AS im FROM dk GROUP BY path, mom, t, b, c)"""
+
+
+@query("n5_derivative_elementals", f"{FIELD},\n{OL_SQL},\n{derivative_sql('der', PATHS)}\nSELECT path, mom, t, b, c, re, im FROM der")
+def n5_paths(spark, sf):
+    return derivative_elementals(field(spark, sf), gauge(spark, sf))
+
+
 #: U_w V of all words by number: 0, then 1 + d, then 7 + 6 d + e.
 WF_SQL = f"""{OL_SQL},
 wf1 AS (SELECT 1 + ol.dir AS w, ol.t, ol.x, ol.y, ol.z, ol.c, f.e, {_WALK} FROM f {_MEET}),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tensorloom import catalog_correlators, catalog_diagrams, catalog_fields, catalog_sources, catalog_symbolic
+from tensorloom import catalog_bound, catalog_correlators, catalog_diagrams, catalog_fields, catalog_sources, catalog_symbolic
 
-MODULES = [catalog_correlators, catalog_symbolic, catalog_fields, catalog_diagrams, catalog_sources]
+MODULES = [catalog_correlators, catalog_symbolic, catalog_fields, catalog_diagrams, catalog_sources, catalog_bound]
 
 
 def queries() -> dict:
