@@ -23,7 +23,7 @@ from tensorloom.sources.derived import release  # noqa: E402
 HEADLINE = (
     "a4_twopoint", "a4_twopoint_joins", "a5_twopoint_profile", "a7_twopoint_matrix", "a9_isoscalar_matrix", "a10_twopoint_momenta", "a12_operator_elementals",
     "a21_high_mode_both", "a22_diagram_triangle", "a22_diagram_box", "a25_effective_mass", "a26_ensemble_covariance", "a27_overlap", "n1_laplacian", "n5_elementals", "n9_distance_elemental",
-    "a22_two_pion_configurations", "s6_four_points", "n8_words_v2v", "l13_nucleon",
+    "s6_four_points", "n8_words_v2v", "l13_nucleon",
 )
 
 
