@@ -17,6 +17,7 @@ from tensorloom.functions import momenta as M
 from tensorloom.operators import construction as O
 from tensorloom.operators import correlators as C
 from tensorloom.plans import diagrams as D
+from tensorloom.plans import exact as E
 from tensorloom.plans import symmetry as S
 from tensorloom.plans.einsum import Tensor, contract, flat_sql
 from tensorloom.sources import derived as T
@@ -159,23 +160,17 @@ def g14_traces(spark, sf):
 
 
 def projected_momenta() -> list[tuple[str, int, int, int, int, int]]:
-    """(irrep, row, momentum, coefficient): shell 1 projected onto A_1 (even) and onto all rows of T_1 (odd), in whole numbers."""
-    ps = M.shell(1)
-    at = {p: i for i, p in enumerate(ps)}
-
-    def action(g: str) -> np.ndarray:
-        m = np.zeros((6, 6))
-        for p, i in at.items():
-            m[at[S.rotate(g, p)], i] = 1
-        return m
-
+    """(irrep, row, momentum, coefficient): shell 1 projected onto A_1 (even) and onto all rows of T_1 (odd), exactly, in whole numbers."""
     out = []
     for rep, parity in (("A_1", 1), ("T_1", -1)):
-        mats = S.irrep(rep, parity)
-        p = S.project(mats, action)
-        rows = S.connection(mats, action, p[:, S.independent(list(p.T))[0]])
-        least = min(abs(x) for row in rows for x in row if abs(x) > 1e-9)
-        out += [(rep, k, *ps[i], int(round((x / least).real))) for k, row in enumerate(rows) for i, x in enumerate(row) if abs(x) > 1e-9]
+        mats = E.exact_irrep(rep, parity)
+
+        def act(g: str, p: tuple[int, int, int]) -> list[tuple[int, tuple[int, int, int]]]:
+            return [(1, S.rotate(g, p))]
+
+        firsts = E.projected([{p: E.Surd.of(1)} for p in M.shell(1)], mats, act)
+        rows = E.whole(E.multiplet(firsts[E.independent(firsts)[0]], mats, act))
+        out += [(rep, k, *p, c) for k, row in enumerate(rows) for p, c in sorted(row.items())]
     return out
 
 
