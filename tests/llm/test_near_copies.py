@@ -7,7 +7,7 @@ import corpus_pipeline as P
 import pytest
 from tests.llm.test_operators import WORD, messy_rows
 
-from tensorloom.llm import near_copies
+from tensorloom.llm import jaccard_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,11 +58,12 @@ def stays(spark, tmp_path, rows):
     return [r.doc_id for r in step(spark, spark.read.parquet(str(tmp_path / "in")), SF).collect()]
 
 
-@pytest.mark.parametrize(("common", "worth"), [(2, 8), (3, 0), (10**9, 10**6)])
-def test_edited_texts(spark, tmp_path, monkeypatch, common, worth):
-    """Whatever the order of shingles, and whether nearest nodes are asked for once or until none links."""
-    monkeypatch.setattr(near_copies, "COMMON", common)
-    monkeypatch.setattr(near_copies, "WORTH", worth)
+@pytest.mark.parametrize(("few", "block", "worth"), [(8, 1 << 14, 8), (1, 5, 0), (2, 4, 10**6)])
+def test_edited_texts(spark, tmp_path, monkeypatch, few, block, worth):
+    """Whatever is counted or compared in blocks, and whether nearest nodes are asked for once or until none links."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "WORTH", worth)
     rows = edited_rows() + [(10_000 + i, t) for i, t in enumerate(["", None, " \n", "a b", "A  b", "a b c"])]
     got = stays(spark, tmp_path, rows)
     assert len(got) == len(set(got)) and set(got) == brute_kept(rows)
