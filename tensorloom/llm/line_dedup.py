@@ -164,7 +164,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whatever their names, travel inside `row`. No rows give no rows.
 
     Only rows that a bitmap of ids does not clear are shuffled to meet the places
-    of their lost lines; the others stay where they are.
+    of their lost lines; the others stay where they are. That join has one form at
+    every size: a large corpus can't broadcast the places, so a small one doesn't.
     """
     gone = _dropped(docs, id_col, text_col, batches)
     base = docs.select(F.struct("*").alias("row"))
@@ -175,7 +176,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return rows.select("row", F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept_text"))
 
     some, clean = sieved(base, F.when(doc_id.isNotNull(), F.xxhash64(doc_id, F.xxhash64(text))), gone.select(F.xxhash64("gone_from", "gone_text")))
-    some = some.join(gone, (doc_id == F.col("gone_from")) & (F.xxhash64(text) == F.col("gone_text")), "left")
+    some = some.join(gone.hint("merge"), (doc_id == F.col("gone_from")) & (F.xxhash64(text) == F.col("gone_text")), "left")
     whole = F.coalesce(text, F.lit(""))
     kept = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(_without(lines, F.col("gone")), "\n"))
     return report(some, F.coalesce(F.size("gone"), F.lit(0)), kept).unionByName(report(clean, F.lit(0), whole))

@@ -363,6 +363,13 @@ def test_lines(request, table, batches):
     assert Counter(r.row for r in out) == Counter(df.collect())
 
 
+def test_lines_shuffle_alike_at_every_size(docs):
+    """Texts meet the places of their lost lines by one join, however small these are: shuffles grow in proportion."""
+    plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x and "gone_from" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 # mixing ---------------------------------------------------------------------------------------
 
 
