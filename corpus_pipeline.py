@@ -39,6 +39,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of texts of Jaccard similarity 0.8 or more (5-word shingles) stays, that with the smallest id.
 
+    Covering SimHash finds copies first, checked exactly; the Jaccard join finds the links that its radius misses.
     Texts without words (null, empty) are one group; repeated rows are copies; a
     null id stays only where its group has no other; extra columns stay as they
     are; no rows give no rows.

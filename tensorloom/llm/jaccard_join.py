@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.components import components
 from tensorloom.llm.sieve import sieved
-from tensorloom.llm.simhash import shingle_hashes
+from tensorloom.llm.simhash import fingerprint, near_pairs, shingle_hashes, signed
 from tensorloom.llm.staging import placed, ship_code, stage
 
 WIDTH, SIMILAR = 3, (9, 10)
@@ -164,7 +164,7 @@ def counters(docs: DataFrame, width: int) -> np.ndarray:
     return total
 
 
-def _described(counts: np.ndarray, width: int, similar: tuple[int, int]) -> Callable:
+def _described(counts: np.ndarray, width: int, similar: tuple[int, int], marked: int | None) -> Callable:
     rank = np.minimum(counts, 2**31 - 1).astype(np.int32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,10 +172,11 @@ def _described(counts: np.ndarray, width: int, similar: tuple[int, int]) -> Call
         for b in batches:
             sets = [shingle_set(x, width) for x in b["text"]]
             lone = [n * q // p <= n and -(-n * p // q) >= n for n in map(len, sets)]  # similar to equal sets only
+            own = {} if marked is None else {"mark": [0 if y else signed(fingerprint(x if isinstance(x, str) else "", marked)) for x, y in zip(b["text"], lone, strict=True)]}
             yield pd.DataFrame({
                 "doc_id": b["doc_id"].astype("Int64"), "row": b["row"], "file": b["file"], "line": b["line"], "size": [len(x) for x in sets],
                 "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "bits": [b"" if y else parity(x) for x, y in zip(sets, lone, strict=True)],
-                "head": [[] if y else prefix(x, rank, similar).view(np.int64) for x, y in zip(sets, lone, strict=True)],
+                "head": [[] if y else prefix(x, rank, similar).view(np.int64) for x, y in zip(sets, lone, strict=True)], **own,
             })
 
     return run
@@ -333,14 +334,21 @@ def _entries(heads: DataFrame) -> DataFrame:
     return stage(entries.join(alike.select("h", "times"), "h"), "entries")
 
 
-def _counted_pairs(entries: DataFrame, marks: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(a, b): rows that share LEAST columns of at most FEW rows, and pass the bounds. marks: (row, size, bits)."""
+def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components; group (row, comp): rows that are not the least of their component."""
+    both = pairs.join(group.select(F.col("row").alias("a"), F.col("comp").alias("c")), "a", "left").join(group.select(F.col("row").alias("b"), F.col("comp").alias("d")), "b", "left")
+    return both.where(F.coalesce("c", "a") != F.coalesce("d", "b")).select("a", "b")
+
+
+def _counted_pairs(entries: DataFrame, marks: DataFrame, similar: tuple[int, int], group: DataFrame | None) -> DataFrame:
+    """(a, b): rows of different components that share LEAST columns of at most FEW rows, and pass the bounds. marks: (row, size, bits)."""
     p, q = similar
     few = entries.where(F.col("n") <= FEW)
     left = few.select("h", "times", F.col("row").alias("a"), F.col("size").alias("s"))
     right = few.select("h", F.col("row").alias("b"), F.col("size").alias("t"))
     both = left.join(right, "h").where((F.col("a") < F.col("b")) & (p * F.greatest("s", "t") <= q * F.least("s", "t")))
-    pairs = stage(both.groupBy("a", "b").agg(F.sum("times").alias("shared")).where(F.col("shared") >= least_shared(similar)).select("a", "b"), "counted")
+    pairs = both.groupBy("a", "b").agg(F.sum("times").alias("shared")).where(F.col("shared") >= least_shared(similar)).select("a", "b")
+    pairs = stage(pairs if group is None else _apart(pairs, group), "counted")
     wanted = pairs.select(F.xxhash64("a").alias("k")).unionByName(pairs.select(F.xxhash64("b").alias("k"))).distinct()
     own, _ = sieved(marks, F.xxhash64("row"), wanted)
     own = stage(own, "counted-bits")
@@ -354,25 +362,42 @@ def _counted_pairs(entries: DataFrame, marks: DataFrame, similar: tuple[int, int
     return both.mapInPandas(run, "a long, b long")
 
 
-def _units(entries: DataFrame, marks: DataFrame) -> DataFrame:
-    """(h, i, j, block, row, size, bits): the rows of each unit; i and j are a pair of row blocks of column h. marks: (row, size, bits)."""
+def _between(units: DataFrame, group: DataFrame) -> DataFrame:
+    """The units whose rows are of several components, with `comp`."""
+    named = units.drop("comp").join(group, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    named = stage(named, "units-again")
+    mixed = named.groupBy("h", "i", "j").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    return named.join(mixed.select("h", "i", "j"), ["h", "i", "j"], "left_semi")
+
+
+def _units(entries: DataFrame, marks: DataFrame, group: DataFrame | None) -> DataFrame:
+    """(h, i, j, block, row, comp, size, bits): the rows of each unit of several components; i and j are a pair of row blocks of column h. marks: (row, size, bits)."""
     large = entries.where(F.col("n") > FEW)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     large = large.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "row"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     large = large.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row")
+    large = large.withColumn("comp", F.col("row")) if group is None else _between(large, group)
     wanted, _ = sieved(marks, F.xxhash64("row"), large.select(F.xxhash64("row")).distinct())
     return stage(large.join(wanted, "row"), "units")
 
 
+def _groups(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("u").alias("row"), F.col("v").alias("comp"))
+
+
 def class_links(docs: DataFrame, heads: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
     """(u, v): links between rows of heads that join exactly the components of all similar pairs.
 
-    docs: (file, line, text); heads: (row, file, line, size, bits, head), distinct sets.
+    docs: (file, line, text); heads: (row, file, line, size, bits, head), distinct
+    sets. With a column `mark` covering SimHash comes first: its pairs are checked on whole
+    sets, and the product is asked only for links between the components these make.
     """
-    nodes, marks, entries = heads.select("row", "file", "line"), heads.select("row", "size", "bits"), _entries(heads)
-    units, more = _units(entries, marks), _counted_pairs(entries, marks, similar)
-    open_ = units.withColumn("comp", F.col("row"))
-    links, whole = None, False
+    nodes, marks = heads.select("row", "file", "line"), heads.select("row", "size", "bits")
+    links = _links(docs, nodes, near_pairs(heads.select("row", "mark")), width, similar) if "mark" in heads.columns else None
+    group = None if links is None else _groups(links)
+    entries = _entries(heads)
+    units, more = _units(entries, marks, group), _counted_pairs(entries, marks, similar, group)
+    open_, whole = units, False
     while True:
         work = open_.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
         found = stage(work.mapInPandas(_products(similar, whole), FOUND), "products")
@@ -386,25 +411,24 @@ def class_links(docs: DataFrame, heads: DataFrame, width: int, similar: tuple[in
         if whole or again.isEmpty():
             return links
         whole = WORTH * new.count() <= pairs.count()
-        group = components(links).select(F.col("u").alias("row"), F.col("v").alias("comp"))
-        named = units.join(again, ["h", "i", "j"], "left_semi").join(group, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-        named = stage(named, "units-again")
-        mixed = named.groupBy("h", "i", "j").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
-        open_ = named.join(mixed.select("h", "i", "j"), ["h", "i", "j"], "left_semi")
+        open_ = _between(units.join(again, ["h", "i", "j"], "left_semi"), _groups(links))
 
 
-def classes(base: DataFrame, width: int, similar: tuple[int, int], empty_links: bool) -> DataFrame:
-    """base (doc_id LONG, text, file, line) as (doc_id, n_shingles, component_id, kept, file, line); empty_links: sets without shingles are one class."""
+def classes(base: DataFrame, width: int, similar: tuple[int, int], empty_links: bool, marked: int | None = None) -> DataFrame:
+    """base (doc_id LONG, text, file, line) as (doc_id, n_shingles, component_id, kept, file, line); empty_links: sets without shingles are one class.
+
+    marked: the words of a shingle of the SimHash fingerprints whose links are taken first; None: none are.
+    """
     ship_code(base.sparkSession)
     rows = base.withColumn("row", F.monotonically_increasing_id())
-    kind = "doc_id long, row long, file long, line long, size long, digest binary, bits binary, head array<long>"
-    sets = stage(rows.mapInPandas(_described(counters(base, width), width, similar), kind), "sets")
+    kind = "doc_id long, row long, file long, line long, size long, digest binary, bits binary, head array<long>" + ("" if marked is None else ", mark long")
+    sets = stage(rows.mapInPandas(_described(counters(base, width), width, similar, marked), kind), "sets")
     some = sets.select("doc_id", "row", "file", "line", "size", "digest")
     linked = some if empty_links else some.where("size > 0")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("best")
     alike = stage(linked.groupBy("digest").agg(best, F.count(F.lit(1)).alias("n")), "set-classes")
     copies = stage(linked.join(alike.where("n > 1"), "digest").where("row <> best.row").select("row"), "copies")
-    maybe, clean = sieved(sets.where(F.size("head") > 0).select("row", "file", "line", "size", "bits", "head"), F.xxhash64("row"), copies.select(F.xxhash64("row")))
+    maybe, clean = sieved(sets.where(F.size("head") > 0).select("row", "file", "line", "size", "bits", "head", *(() if marked is None else ("mark",))), F.xxhash64("row"), copies.select(F.xxhash64("row")))
     heads = stage(maybe.join(copies, "row", "left_anti").unionByName(clean), "heads")
     roots = components(class_links(base, heads, width, similar))
     owner = stage(alike.join(roots.withColumnRenamed("v", "root"), F.col("best.row") == F.col("u"), "left").select("digest", "best", F.coalesce("root", "best.row").alias("root")), "class-roots")

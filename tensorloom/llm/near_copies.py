@@ -1,7 +1,10 @@
-"""Near copies by exact Jaccard similarity: 5-word shingle sets of similarity 0.8 or more link.
+"""Near copies by covering SimHash with an exact check, and an exact way for what its radius does not reach.
 
-The join of jaccard_join.py, with texts without words as one group: all similar
-pairs count, one document of each component stays.
+5-word shingle sets of Jaccard similarity 0.8 or more link. The fingerprints and
+covering tables of op4 (3 words, 3 bits) give candidates, whose whole sets are
+compared; links between different components of these, of fingerprints further
+apart, come from the join of jaccard_join.py. Texts without words are one group;
+all similar pairs count, one document of each component stays.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 from tensorloom.llm import jaccard_join
 
 WIDTH, SIMILAR = 5, (4, 5)
+#: Words of a shingle of the fingerprints, as in op4.
+MARKED = 3
 
 
 def dropped_rows(docs: DataFrame) -> DataFrame:
@@ -25,4 +30,4 @@ def dropped_rows(docs: DataFrame) -> DataFrame:
     Extra columns are not read; no rows give no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "file", "line")
-    return jaccard_join.classes(base, WIDTH, SIMILAR, True).where(~F.col("kept")).select("file", "line")
+    return jaccard_join.classes(base, WIDTH, SIMILAR, True, MARKED).where(~F.col("kept")).select("file", "line")

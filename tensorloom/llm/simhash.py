@@ -170,6 +170,23 @@ def fingerprint_links(marks: DataFrame) -> DataFrame:
         rows = hot.select("mark", F.explode(F.element_at(table, F.col("mask"))).alias("mask"))
 
 
+def node_links(nodes: DataFrame) -> DataFrame:
+    """nodes (mark, node): one node of each distinct fingerprint. (u, v): links of nodes that join exactly what distances of 3 or less join."""
+    links = fingerprint_links(nodes.select("mark"))
+    return links.join(nodes.select(F.col("mark").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("mark").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
+
+
+def near_pairs(marks: DataFrame) -> DataFrame:
+    """marks (row, mark), rows different. (a, b), a < b: pairs that join exactly the rows that equal fingerprints and distances of 3 or less join.
+
+    Stars about the smallest row of each fingerprint, and links between these rows; no pair comes twice.
+    """
+    nodes = stage(marks.groupBy("mark").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "mark-nodes")
+    alike = marks.join(nodes.where("n > 1").select("mark", "node"), "mark").where("row <> node").select(F.col("node").alias("a"), F.col("row").alias("b"))
+    apart = node_links(nodes.select("mark", "node")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    return stage(alike.unionByName(apart), "near-pairs")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept, and the long columns named in carry.
 
@@ -187,9 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("best")
     classes = stage(base.groupBy("mark").agg(best), "fingerprint-classes")
     nodes = classes.select("mark", F.col("best.row").alias("node"))
-    links = fingerprint_links(classes.select("mark"))
-    edges = links.join(nodes.select(F.col("mark").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("mark").alias("b"), F.col("node").alias("v")), "b")
-    roots = components(edges.select("u", "v"))
+    roots = components(node_links(nodes))
     owner = classes.join(roots.withColumnRenamed("v", "root"), F.col("best.row") == F.col("u"), "left")
     owner = stage(owner.select("mark", "best", F.coalesce("root", "best.row").alias("root")), "fingerprint-roots")
     top = owner.groupBy("root").agg(F.min("best").alias("top"))

@@ -5,7 +5,7 @@ import re
 
 import corpus_pipeline as P
 import pytest
-from tests.llm.test_operators import WORD, messy_rows
+from tests.llm.test_operators import WORD, brute_mark, messy_rows
 
 from tensorloom.llm import jaccard_join
 
@@ -81,3 +81,47 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
     got = stays(spark, tmp_path, rows)
     want = {frozenset(shingles(t)) for _, t in rows}
     assert len(got) <= len(want) and sum(i is None for i in got) == 0
+
+
+def marked_rows():
+    """Long texts and their copies with a changed word; texts of equal repeats, so alike in fingerprints, with different ends."""
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(4000)]
+    out = []
+    for _ in range(12):
+        base = rng.choices(words, k=400)
+        out += [" ".join(base), " ".join([*base[:200], "changed", *base[201:]])]
+    start = rng.sample(words, 9) * 111
+    return list(enumerate([*out, *(" ".join(start + rng.choices(words, k=30)) for _ in range(4))]))
+
+
+def test_fingerprints_link_first(spark, tmp_path, monkeypatch):
+    """Without any column of the product, covering SimHash alone finds the similar pairs within 3 bits, and the check on whole sets keeps the others."""
+    rows = marked_rows()
+    marks, sets = [brute_mark(t, 3) for _, t in rows], [shingles(t) for _, t in rows]
+    within = [(i, j) for j in range(len(rows)) for i in range(j) if (marks[i] ^ marks[j]).bit_count() <= 3]
+    alike = [(i, j) for i, j in within if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(alike) > 3 and len(within) > len(alike) and len({j for _, j in alike}) == len(alike)
+    real = jaccard_join._entries
+    monkeypatch.setattr(jaccard_join, "_entries", lambda heads: real(heads).where("false"))
+    assert sorted(stays(spark, tmp_path, rows)) == sorted({i for i, _ in rows} - {j for _, j in alike})
+
+
+def test_product_is_asked_for_the_rest(spark, tmp_path, monkeypatch):
+    """No pair that fingerprints have linked is compared again, and all similar pairs are linked."""
+    rows = marked_rows()
+    marks, sets = [brute_mark(t, 3) for _, t in rows], [shingles(t) for _, t in rows]
+    compared, real = [], jaccard_join._links
+
+    def links(docs, nodes, pairs, *more):
+        at = nodes.join(docs, ["file", "line"]).select("row", "text")
+        texts = {r.row: r.text for r in at.collect()}
+        compared.append([{texts[r.a], texts[r.b]} for r in pairs.collect()])
+        return real(docs, nodes, pairs, *more)
+
+    monkeypatch.setattr(jaccard_join, "_links", links)
+    assert set(stays(spark, tmp_path, rows)) == brute_kept(rows)
+    assert len(compared) >= 2
+    near = [{rows[i][1], rows[j][1]} for j in range(len(rows)) for i in range(j) if (marks[i] ^ marks[j]).bit_count() <= 3 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert near and all(x in compared[0] for x in near)
+    assert not any(x in near for later in compared[1:] for x in later) and any(later for later in compared[1:])
