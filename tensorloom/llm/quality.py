@@ -47,12 +47,14 @@ SYMBOLS[[ord(c) for c in "!#$%&*+<=>@^~|\\/{}[]()_"]] = True
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 LIMIT = 30.0
+#: Words whose hashes a worker remembers, at most (about 15 MB).
+REMEMBERED = 1 << 16
 _HASHES: dict[str, tuple[int, int]] = {}
 
 
 def _hashed(words: list[str]) -> np.ndarray:
     """n x 2 hashes, of words without punctuation at their ends and of their stems (0 for short words); a worker remembers those of common words."""
-    if len(_HASHES) > 1 << 19:
+    if len(_HASHES) > REMEMBERED:
         _HASHES.clear()
     out = np.empty((len(words), 2), np.uint64)
     for i, raw in enumerate(words):
@@ -60,7 +62,7 @@ def _hashed(words: list[str]) -> np.ndarray:
         if h is None:
             w = raw.strip(EDGES)
             h = tuple(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) if x else 0 for x in (w, f"^{w[:STEM]}" if len(w) > STEM else ""))
-            if len(raw) < 64:
+            if len(raw) < 64 and len(_HASHES) <= REMEMBERED:
                 _HASHES[raw] = h
         out[i] = h
     return out
@@ -190,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"of": b["of"], "h": b["h"], "x": [x for x, _ in got], "places": [p[:train_places].tobytes() for _, p in got], "low": b["low"], "toxic": b["toxic"]})
 
     data = sample.mapInPandas(rows, "of long, h long, x array<double>, places binary, low int, toxic int")
-    data = data.groupBy("of").agg(F.min_by(F.struct("x", "places", "low", "toxic"), "h").alias("row")).select("of", "row.*").toArrow().combine_chunks()  # train_rows rows at most
+    data = data.groupBy("of").agg(F.min_by(F.struct("x", "places", "low", "toxic"), "h").alias("row")).select("of", "row.*").toArrow()  # train_rows rows at most, read where they lie
     labels = np.column_stack([data["low"].to_numpy(), data["toxic"].to_numpy()]).astype("int64").reshape(-1, 2)
     if not labels.sum():
         return NOTHING

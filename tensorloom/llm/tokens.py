@@ -19,8 +19,9 @@ import numpy as np
 SAFE = re.compile("[\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ſ]*")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-ſ]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-ſ]+")
 #: Characters of text handled at once, so that a huge text never becomes one huge list.
-BLOCK = 1 << 21
-MEMO = 400_000
+BLOCK = 1 << 19
+#: Chunks whose ids a worker remembers, a block's new ones more; the table of their keys has 14 MB.
+MEMO = 100_000
 
 
 def _byte_letters() -> list[str]:
